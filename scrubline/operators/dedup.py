@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.operators.lookup import ValueTable
-from scrubline.operators.steps import Step, col
+from scrubline.operators.steps import Step, col, row_key
 
 
 class RemoveDuplicates(Step):
@@ -71,8 +71,7 @@ def exact_duplicate_groups(df: DataFrame, row_id: str, subset: Sequence[str] | N
     in one cell. ``group_id`` is the smallest row id of the group.
     """
     keys = list(subset) if subset else [c for c in df.columns if c != row_id]
-    body = F.to_json(F.struct(*[col(c) for c in keys]))
-    rows = df.select(col(row_id).alias("row_id"), body.alias("__body"))
+    rows = df.select(col(row_id).alias("row_id"), row_key(df, keys).alias("__body"))
     groups = rows.groupBy("__body").agg(F.min("row_id").alias("group_id"), F.count("*").alias("n"))
     table = ValueTable(groups.where("n > 1"), "__body")
     matched = table.attach(rows, "__body")
@@ -82,7 +81,7 @@ def exact_duplicate_groups(df: DataFrame, row_id: str, subset: Sequence[str] | N
 def duplicate_count(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """One row: rows in duplicate groups, and rows beyond the first of each group."""
     keys = [c for c in df.columns if c not in ignore]
-    sizes = df.groupBy(*[col(c) for c in keys]).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(row_key(df, keys).alias("key")).agg(F.count("*").alias("n"))
     return sizes.agg(
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_groups"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"),

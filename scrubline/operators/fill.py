@@ -45,17 +45,15 @@ class FillDirection(Step):
         )
         carry = self._carry(cut)
         group = self._group()
-        frame = Window.partitionBy("__range", *[col(c) for c in self.partition_by]).orderBy(
-            *[col(c) for c in self.order_by]
+        # backward is forward over the reversed order: a frame that grows by one row costs
+        # one step per row, a frame that reaches ahead is scanned anew for every row
+        turn = F.desc if self.backward else F.asc
+        frame = (
+            Window.partitionBy("__range", *[col(c) for c in self.partition_by])
+            .orderBy(*[turn(col(c)) for c in self.order_by])
+            .rowsBetween(Window.unboundedPreceding, 0)
         )
-        if self.backward:
-            near = F.first(col(self.column), ignorenulls=True).over(
-                frame.rowsBetween(0, Window.unboundedFollowing)
-            )
-        else:
-            near = F.last(col(self.column), ignorenulls=True).over(
-                frame.rowsBetween(Window.unboundedPreceding, 0)
-            )
+        near = F.last(col(self.column), ignorenulls=True).over(frame)
         filled = cut.withColumn(self.column, near)
         if carry is None:
             return filled.select(*[col(c) for c in df.columns])

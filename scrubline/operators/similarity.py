@@ -16,14 +16,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.functions.text import strip
 from scrubline.operators.lookup import SALTS, ValueTable, dense_index
 from scrubline.operators.steps import Step, col
 from scrubline.session import stage_table
 
-# rows compared with the first PROBES undecided rows of each block per round
-PROBES = 16
+# rows a block offers for comparison per round; few when many rows are undecided
+PROBES = 32
+MAX_PROBES = 512
+ROUND_PAIRS = 1 << 20
+# similar pairs up to this number are settled in one pass over the sorted ids
+DRIVER_EDGES = 200_000
 # tasks that share the rows of one block
 SPREAD = 8
 # grams whose frequency is known to every task; the rest count as rare
@@ -57,7 +62,7 @@ def ratio(a: str, b: str) -> int:
     return int(round(200.0 * lcs_length(a, b) / total))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)],
@@ -190,7 +195,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     la, lb = F.length("sa"), F.length("sb")
     long_enough = 2 * F.least(la, lb) >= F.lit(t) * (la + lb) - 1e-9
     joined = salted.join(probes, ["a", "salt"]).join(right, "b").where(long_enough)
-    scored = joined.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
+    # substitutions make this distance no larger than the one of the ratio; it stops early
+    edits = f"cast(floor({1 - t} * (length(sa) + length(sb)) + 1e-9) as int)"
+    close = joined.where(F.expr(f"levenshtein(sa, sb, {edits}) >= 0"))
+    scored = close.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 
 
@@ -234,64 +242,94 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
     """(id, leader, similarity) of every text that an earlier leader absorbs.
 
     Rounds: each block offers its first undecided texts as probes; every text is compared
-    with the earlier probes of its blocks. A text that ranks among the first in all its
-    blocks and is similar to no probe has no earlier candidate left, so it leads; texts
-    similar to a new leader are absorbed. A crowded block is worked off in slices and
-    never paired with itself.
+    once with the earlier probes of its blocks. A text that ranks among the first in all
+    its blocks has been compared with every earlier candidate, so its fate depends on
+    those alone. Texts similar to a new leader are absorbed. A crowded block is worked
+    off in slices and never paired with itself.
     """
     blocks = stage_table(_file_in_blocks(texts, threshold), "blocks")
-    # state: leader = NULL and not leads -> undecided
+    undecided = F.lit(None)
     state = texts.select(
         "id",
         F.lit(False).alias("leads"),
-        F.lit(None).cast("long").alias("leader"),
-        F.lit(None).cast("int").alias("similarity"),
+        undecided.cast("long").alias("leader"),
+        undecided.cast("int").alias("similarity"),
     )
-    probes_per_block = PROBES
-    while True:
-        state, open_rows = _round(blocks, texts, state, threshold, probes_per_block)
-        if open_rows == 0:
-            return state.where("leader is not null").select("id", "leader", "similarity")
-        probes_per_block = min(probes_per_block * 2, 8 * PROBES)
-
-
-def _round(blocks, texts, state, threshold, probes_per_block):
-    live = blocks.join(state.where("not leads").select("id", "leader"), "id")
-    undecided = live.where("leader is null")
-    first = Window.partitionBy("key").orderBy("id")
-    ranked = undecided.select("key", "id", F.row_number().over(first).alias("rank")).where(
-        F.col("rank") <= probes_per_block
+    offered: DataFrame | None = None
+    similar: DataFrame | None = None
+    open_rows = state.count()
+    while open_rows:
+        slice_size = max(PROBES, min(MAX_PROBES, ROUND_PAIRS // open_rows))
+        live = blocks.join(state.where("not leads").select("id", "leader"), "id")
+        first = Window.partitionBy("key").orderBy("id")
+        rank = F.row_number().over(first)
+        ranked = live.where("leader is null").select("key", "id", rank.alias("rank"))
+        near = stage_table(ranked.where(F.col("rank") <= slice_size).select("key", "id"), "probes")
+        fresh = near if offered is None else near.join(offered, ["key", "id"], "left_anti")
+        offered = near if offered is None else stage_table(offered.unionByName(fresh), "offered")
+        # an absorbed text still looks for an earlier leader
+        pairs = _pair_up(live, fresh).where("leader is null or a < leader").select("a", "b").distinct()
+        found = stage_table(_verified(pairs, texts, threshold), "similar")
+        similar = found if similar is None else similar.unionByName(found)
+        leaders = stage_table(_new_leaders(live, near, similar), "leaders")
+        state = stage_table(_take(state, similar, leaders), "state")
+        open_rows = state.where("not leads and leader is null").count()
+    return state.where("leader is not null").select("id", "leader", "similarity")
+
+
+def _new_leaders(live: DataFrame, near: DataFrame, similar: DataFrame) -> DataFrame:
+    """Ids of undecided texts that no earlier text can absorb any more."""
+    open_blocks = live.where("leader is null").groupBy("id").agg(F.count("*").alias("blocks"))
+    seen = near.groupBy("id").agg(F.count("*").alias("near"))
+    open_ids = stage_table(
+        open_blocks.join(seen, "id", "left").select("id", (F.col("blocks") == F.coalesce("near", F.lit(0))).alias("compared")),
+        "open",
     )
-    ranked = stage_table(ranked, "probes")
-    # an absorbed text still looks for an earlier leader
-    candidates = _pair_up(live, ranked).where("leader is null or a < leader").select("a", "b").distinct()
-    similar = stage_table(_verified(candidates, texts, threshold), "similar")
-    blocked = similar.select(F.col("b").alias("id")).distinct()
-    whole = undecided.groupBy("id").count()
-    seen = ranked.groupBy("id").agg(F.count("*").alias("near"))
-    complete = whole.join(seen, "id").where("near = count").select("id")
-    leads_now = complete.join(blocked, "id", "left_anti").withColumn("new", F.lit(True))
-    leads_now = stage_table(leads_now, "leaders")
+    # earlier similar texts that are still undecided stand in the way
+    ends = [open_ids.select(F.col("id").alias(x), F.col("compared").alias(f"{x}_compared")) for x in "ab"]
+    edges = similar.join(ends[0], "a").join(ends[1].where("b_compared"), "b")
+    edges = edges.select("a", "b", F.col("a_compared").alias("known"))
+    compared = open_ids.where("compared").select("id")
+    alone = compared.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    few = edges.limit(DRIVER_EDGES + 1).toArrow()
+    if few.num_rows > DRIVER_EDGES:
+        return alone
+    free = _settle_in_order(few.to_pylist())
+    return alone.unionByName(live.sparkSession.createDataFrame([(i,) for i in free], "id long"))
+
+
+def _settle_in_order(edges: list[dict]) -> list[int]:
+    """Leaders among the later ends of the edges, visiting them in order.
+
+    A text is absorbed once an earlier similar text leads, and leads once all of them are
+    absorbed; it stays open if one of them is open.
+    """
+    before: dict[int, list[dict]] = {}
+    for e in edges:
+        before.setdefault(e["b"], []).append(e)
+    leads: dict[int, bool | None] = {}
+    for b in sorted(before):
+        # a compared text without earlier similar texts leads
+        fates = [leads.get(e["a"], True) if e["known"] else None for e in before[b]]
+        leads[b] = False if True in fates else None if None in fates else True
+    return [b for b, lead in leads.items() if lead]
+
+
+def _take(state: DataFrame, similar: DataFrame, leaders: DataFrame) -> DataFrame:
+    """State after the new leaders absorb the texts similar to them."""
     taken = (
-        similar.join(leads_now.withColumnRenamed("id", "a"), "a")
+        similar.join(leaders.withColumnRenamed("id", "a"), "a")
         .groupBy(F.col("b").alias("id"))
         .agg(F.min(F.struct("a", "similarity")).alias("by"))
     )
-    updated = (
-        state.join(leads_now, "id", "left")
-        .join(taken, "id", "left")
-        .select(
-            "id",
-            (F.col("leads") | F.coalesce("new", F.lit(False))).alias("leads"),
-            F.least("leader", F.col("by.a")).alias("leader"),
-            F.when(
-                F.col("by.a").isNotNull() & (F.col("leader").isNull() | (F.col("by.a") < F.col("leader"))),
-                F.col("by.similarity"),
-            ).otherwise(F.col("similarity")).alias("similarity"),
-        )
-    )
-    updated = stage_table(updated, "state")
-    return updated, updated.where("not leads and leader is null").count()
+    earlier = F.col("by.a").isNotNull() & (F.col("leader").isNull() | (F.col("by.a") < F.col("leader")))
+    joined = state.join(leaders.withColumn("new", F.lit(True)), "id", "left").join(taken, "id", "left")
+    return joined.select(
+        "id",
+        (F.col("leads") | F.coalesce("new", F.lit(False))).alias("leads"),
+        F.when(earlier, F.col("by.a")).otherwise(F.col("leader")).alias("leader"),
+        F.when(earlier, F.col("by.similarity")).otherwise(F.col("similarity")).alias("similarity"),
+    )
 
 
 def _pair_up(live: DataFrame, probes: DataFrame) -> DataFrame:
@@ -315,7 +353,7 @@ def similar_pairs(texts: DataFrame, threshold: int) -> DataFrame:
     found = None
     while True:
         first = Window.partitionBy("key").orderBy("id")
-        probes = live.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 8 * PROBES)
+        probes = live.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MAX_PROBES)
         probes = stage_table(probes.select("key", "id"), "probes")
         pairs = _pair_up(live, probes).select("a", "b").distinct()
         edges = stage_table(_verified(pairs, texts, threshold), "similar")

@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.operators.quantiles import exact_quantiles
 
@@ -94,3 +95,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+
+
+def row_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the given cells: equal rows have equal keys, NULL differs from text.
+
+    Grouping by the key shuffles a digest per row instead of whole rows.
+    """
+    cells = []
+    for name in columns:
+        kind, c = df.schema[name].dataType, col(name)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0).cast(kind)  # -0.0 equals 0.0
+        nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+        cells.append((F.to_json(c) if nested else c.cast("string")).alias(name))
+    return F.unhex(F.sha2(F.to_json(F.struct(*cells)), 256))

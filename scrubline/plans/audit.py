@@ -6,26 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrubline.operators.validate import Validation
 from scrubline.plans.actions import Plan
 from scrubline.plans.execute import Execution
 
-ACTION = "struct<action_id:string,action_type:string,columns_added:array<string>,columns_removed:array<string>,success:boolean,error:string>"
-EVENT_SCHEMA = T._parse_datatype_string(
+EVENT_SCHEMA = (
     "event_id string, event_type string, timestamp timestamp, file_name string, file_hash string, "
     "file_format string, row_count_before long, row_count_after long, quality_score_before double, "
     "quality_score_after double, improvement double, total_actions int, approved_actions int, "
     "rejected_actions int, rows_modified long, attempts int, col_count_before int, col_count_after int, "
-    f"columns_added int, columns_removed int, actions array<{ACTION}>"
+    "columns_added int, columns_removed int, actions array<struct<action_id:string,action_type:string,"
+    "columns_added:array<string>,columns_removed:array<string>,success:boolean,error:string>>"
 )
 
 
 def _event(spark: SparkSession, values: dict) -> DataFrame:
-    row = {f.name: values.get(f.name) for f in EVENT_SCHEMA.fields}
-    row["event_id"] = uuid.uuid4().hex
-    return spark.createDataFrame([row], EVENT_SCHEMA).withColumn("timestamp", F.current_timestamp())
+    values["event_id"] = uuid.uuid4().hex
+    return spark.createDataFrame([values], EVENT_SCHEMA).withColumn("timestamp", F.current_timestamp())
 
 
 def cleaning_event(

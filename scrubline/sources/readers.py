@@ -175,9 +175,7 @@ def read_json_records(spark: SparkSession, path: str, records_path: str | None =
     """
     reader = spark.read.option("primitivesAsString", True)
     raw = reader.option("multiLine", not lines).json(path)
-    found = records_path if lines is False else None
-    if found is None and not lines:
-        found = _first_record_array(raw.schema)
+    found = records_path or (None if lines else _first_record_array(raw.schema))
     warnings = []
     if found:
         raw = raw.select(F.explode(F.col(_quoted(found))).alias("record")).select("record.*")
