@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scrubline.catalog import cleaning
+from scrubline.catalog import cleaning, profiling
 
-MODULES = (cleaning,)
+MODULES = (cleaning, profiling)
 
 
 def queries():
