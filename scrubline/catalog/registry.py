@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scrubline.catalog import cleaning, profiling
+from scrubline.catalog import cleaning, featuring, profiling, running
 
-MODULES = (cleaning, profiling)
+MODULES = (cleaning, profiling, featuring, running)
 
 
 def queries():

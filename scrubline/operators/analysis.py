@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.numbers import numeric, numeric_columns, string_columns
 from scrubline.operators.steps import col
 
+# up to this many columns, all pairs fit one aggregate; beyond, a matrix of cross products
+MATRIX_COLUMNS = 16
+
 ANALYSIS_SCHEMA = T.StructType(
     [
         T.StructField("column_name", T.StringType()),
@@ -68,7 +74,7 @@ def analyze_columns(df: DataFrame, target: str | None = None, exact_distinct: bo
                 F.bool_or(x == 0).alias(f"zero{i}"),
             ]
             if with_target and c != target:
-                aggs.append(F.corr(x, numeric(df, target)).alias(f"r{i}"))
+                aggs.append(pearson(x, numeric(df, target)).alias(f"r{i}"))
         if not exact_distinct:
             aggs.append(F.approx_count_distinct(col(c)).alias(f"d{i}"))
     row = df.agg(*aggs).first().asDict()
@@ -127,11 +133,21 @@ def sample_kurtosis(g2: float | None, n: int) -> float:
     return round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 4)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows where both are known; NULL if either does not vary.
+
+    ``corr`` itself fails on a constant column in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def target_correlation(df: DataFrame, target: str) -> DataFrame:
     """(column_name, correlation) of every other numeric column with the target."""
     names = [c for c in numeric_columns(df) if c != target]
     y = numeric(df, target)
-    wide = df.agg(*[F.corr(numeric(df, c), y).alias(c) for c in names])
+    wide = df.agg(*[pearson(numeric(df, c), y).alias(c) for c in names])
     return wide.unpivot([], [col(c) for c in names], "column_name", "correlation")
 
 
@@ -141,10 +157,48 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[
     pairs = list(combinations(names, 2))
     if not pairs:
         return {}
-    row = df.agg(*[F.corr(numeric(df, a), numeric(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+    if len(names) > MATRIX_COLUMNS:
+        return _correlation_matrix(df, names)
+    row = df.agg(*[pearson(numeric(df, a), numeric(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[f"r{i}"] for i, p in enumerate(pairs)}
 
 
+def _correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
+    """The same for many columns: every batch adds its cross products, one row per pair.
+
+    Values are centred first, so the sums keep their digits.
+    """
+    k = len(names)
+    xs = df.select(*[numeric(df, c).alias(f"x{i}") for i, c in enumerate(names)])
+    means = xs.agg(*[F.avg(c) for c in xs.columns]).first()
+    centred = xs.select(*[(F.col(c) - F.lit(m or 0.0)).alias(c) for c, m in zip(xs.columns, means, strict=True)])
+    upper = np.triu_indices(k, 1)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            cross, square = x.T @ m, (x * x).T @ m
+            part = np.stack([m.T @ m, cross, cross.T, square, square.T, x.T @ x])
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            flat = sums[:, upper[0], upper[1]]
+            yield pd.DataFrame(dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), flat, strict=True))).assign(pair=range(flat.shape[1]))
+
+    schema = "n double, sx double, sy double, sxx double, syy double, sxy double, pair int"
+    total = centred.mapInPandas(products, schema).groupBy("pair").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    )
+    r = F.try_divide(
+        F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"),
+        F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n"))),
+    )
+    found = {row["pair"]: row["r"] for row in total.where("n > 0").select("pair", r.alias("r")).collect()}
+    return {(names[i], names[j]): found.get(p) for p, (i, j) in enumerate(zip(*upper, strict=True))}
+
+
 def correlated_pairs(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(col1, col2, correlation): pairs whose absolute correlation exceeds the threshold."""
     found = correlations(df)
