@@ -101,13 +101,13 @@ class StandardizeMissing(CellStep):
 def _present(df: DataFrame, column: str) -> Column:
     """The cell, or NULL if missing; numeric columns keep their type."""
     if numbers.is_numeric_type(df.schema[column].dataType):
-        return F.when(~missing.is_missing(as_text(df, column)), col(column))
+        return F.when(~missing.is_missing_cell(df, column), col(column))
     return missing.nullify(as_text(df, column))
 
 
 def _present_number(df: DataFrame, column: str) -> Column:
     if numbers.is_numeric_type(df.schema[column].dataType):
-        return F.when(~missing.is_missing(as_text(df, column)), numbers.numeric(df, column))
+        return F.when(~missing.is_missing_cell(df, column), numbers.numeric(df, column))
     return numbers.to_double(missing.nullify(as_text(df, column)))
 
 
