@@ -15,7 +15,10 @@ from scrubline.functions.numbers import numeric, numeric_columns, string_columns
 from scrubline.operators.steps import col
 
 # up to this many columns, all pairs fit one aggregate; beyond, a matrix of cross products
-MATRIX_COLUMNS = 16
+MATRIX_COLUMNS = 12
+
+# a spread below this share of the mean is rounding
+FLAT = 1e-12
 
 ANALYSIS_SCHEMA = T.StructType(
     [
@@ -139,8 +142,13 @@ def pearson(x: Column, y: Column) -> Column:
     ``corr`` itself fails on a constant column in ANSI mode.
     """
     both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+
+    def spread(c: Column) -> Column:
+        known = F.when(both, c)
+        # merging partial moments leaves a trace of rounding in a constant column
+        return F.when(F.stddev_pop(known) > FLAT * F.abs(F.avg(known)), F.stddev_pop(known))
+
+    return F.covar_pop(x, y) / (spread(x) * spread(y))
 
 
 def target_correlation(df: DataFrame, target: str) -> DataFrame:
@@ -170,8 +178,8 @@ def _correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str]
     """
     k = len(names)
     xs = df.select(*[numeric(df, c).alias(f"x{i}") for i, c in enumerate(names)])
-    means = xs.agg(*[F.avg(c) for c in xs.columns]).first()
-    centred = xs.select(*[(F.col(c) - F.lit(m or 0.0)).alias(c) for c, m in zip(xs.columns, means, strict=True)])
+    means = [m or 0.0 for m in xs.agg(*[F.avg(c) for c in xs.columns]).first()]
+    centred = xs.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(xs.columns, means, strict=True)])
     upper = np.triu_indices(k, 1)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,11 +199,12 @@ def _correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str]
     total = centred.mapInPandas(products, schema).groupBy("pair").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
-    r = F.try_divide(
-        F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"),
-        F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n"))),
-    )
-    found = {row["pair"]: row["r"] for row in total.where("n > 0").select("pair", r.alias("r")).collect()}
+    found = {}
+    for row in total.where("n > 0").collect():
+        n, i, j = row["n"], int(upper[0][row["pair"]]), int(upper[1][row["pair"]])
+        vx, vy = row["sxx"] / n - (row["sx"] / n) ** 2, row["syy"] / n - (row["sy"] / n) ** 2
+        if vx > (FLAT * means[i]) ** 2 and vy > (FLAT * means[j]) ** 2:
+            found[row["pair"]] = (row["sxy"] / n - row["sx"] / n * row["sy"] / n) / (vx * vy) ** 0.5
     return {(names[i], names[j]): found.get(p) for p, (i, j) in enumerate(zip(*upper, strict=True))}
 
 

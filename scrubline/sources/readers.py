@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubline.functions.text import CP1252_BYTES, CP1252_CHARS
 from scrubline.operators.steps import col
 
 # Candidate delimiters, ties go to the earlier one.
@@ -95,7 +96,9 @@ def sniff_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame
 
     seen = ranges.repartition("path", "start").mapInPandas(look, "path string, utf8 boolean, head binary")
     files = seen.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.max("head").alias("head"))
-    sample = F.substring(F.make_valid_utf8(F.col("head").cast("string")), 1, SNIFF_CHARS)
+    text = F.when(F.col("utf8"), F.make_valid_utf8(F.col("head").cast("string")))
+    text = text.otherwise(_as_cp1252(F.decode("head", "ISO-8859-1")))
+    sample = F.substring(text, 1, SNIFF_CHARS)
     counts = [
         F.struct(_occurrences(sample, d).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d"))
         for i, d in enumerate(DELIMITERS)
@@ -108,6 +111,11 @@ def sniff_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame
     )
 
 
+def _as_cp1252(c: Column) -> Column:
+    """Text read as Latin-1, with the characters Windows-1252 has in their place."""
+    return F.translate(c, CP1252_BYTES, CP1252_CHARS)
+
+
 def _occurrences(c: Column, d: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
 
@@ -151,17 +159,19 @@ def read_delimited(
 def _read_csv(spark, paths, names, sep, enc, multiline=False) -> DataFrame:
     # a cell beyond the header lands in the extra column
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA)])
-    return (
+    latin = enc.lower() == "windows-1252"
+    read = (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("encoding", enc)
+        .option("encoding", "ISO-8859-1" if latin else enc)
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
         .csv(paths)
     )
+    return read.withColumns({c: _as_cp1252(col(c)) for c in names}) if latin else read
 
 
 # ---- JSON -----------------------------------------------------------------------
