@@ -71,8 +71,6 @@ def analyze_columns(df: DataFrame, target: str | None = None, exact_distinct: bo
                 F.max(x).alias(f"max{i}"),
                 F.avg(x).alias(f"mean{i}"),
                 F.stddev_samp(x).alias(f"std{i}"),
-                F.skewness(x).alias(f"g1{i}"),
-                F.kurtosis(x).alias(f"g2{i}"),
                 F.bool_or(x < 0).alias(f"neg{i}"),
                 F.bool_or(x == 0).alias(f"zero{i}"),
             ]
@@ -81,6 +79,7 @@ def analyze_columns(df: DataFrame, target: str | None = None, exact_distinct: bo
         if not exact_distinct:
             aggs.append(F.approx_count_distinct(col(c)).alias(f"d{i}"))
     row = df.agg(*aggs).first().asDict()
+    shapes = _shapes(df, {c: row[f"mean{i}"] for i, c in enumerate(names) if c in nums})
     unique = distinct_counts(df, names) if exact_distinct else {c: row[f"d{i}"] for i, c in enumerate(names)}
     total = row["rows"]
     out = []
@@ -101,8 +100,8 @@ def analyze_columns(df: DataFrame, target: str | None = None, exact_distinct: bo
                 "max": row[f"max{i}"],
                 "mean": _round(mean),
                 "std": _round(std),
-                "skewness": sample_skewness(row[f"g1{i}"], n),
-                "kurtosis": sample_kurtosis(row[f"g2{i}"], n),
+                "skewness": sample_skewness(shapes[c][0], n),
+                "kurtosis": sample_kurtosis(shapes[c][1], n),
                 "has_negatives": bool(row[f"neg{i}"]),
                 "has_zeros": bool(row[f"zero{i}"]),
                 "coefficient_of_variation": _variation(mean, std),
@@ -112,6 +111,22 @@ def analyze_columns(df: DataFrame, target: str | None = None, exact_distinct: bo
     return df.sparkSession.createDataFrame(out, ANALYSIS_SCHEMA)
 
 
+def _shapes(df: DataFrame, means: dict[str, float | None]) -> dict[str, tuple[float | None, float | None]]:
+    """Population skewness and excess kurtosis from plain sums around known means."""
+    aggs = []
+    for i, (c, mean) in enumerate(means.items()):
+        d = numeric(df, c) - F.lit(mean or 0.0)
+        aggs += [F.avg(d * d).alias(f"a{i}"), F.avg(d * d * d).alias(f"b{i}"), F.avg(d * d * d * d).alias(f"c{i}")]
+    if not aggs:
+        return {}
+    row, out = df.agg(*aggs).first(), {}
+    for i, (c, mean) in enumerate(means.items()):
+        m2, m3, m4 = row[f"a{i}"], row[f"b{i}"], row[f"c{i}"]
+        varies = m2 is not None and m2 > (FLAT * abs(mean)) ** 2
+        out[c] = (m3 / m2**1.5, m4 / m2**2 - 3) if varies else (None, None)
+    return out
+
+
 def _round(x: float | None) -> float | None:
     return None if x is None else round(float(x), 4)
 
@@ -167,8 +182,27 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[
         return {}
     if len(names) > MATRIX_COLUMNS:
         return _correlation_matrix(df, names)
-    row = df.agg(*[pearson(numeric(df, a), numeric(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {p: row[f"r{i}"] for i, p in enumerate(pairs)}
+    xs = {c: numeric(df, c) for c in names}
+    aggs = [F.covar_pop(xs[a], xs[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    for i, c in enumerate(names):
+        aggs += [F.count(xs[c]).alias(f"n{i}"), F.avg(xs[c]).alias(f"m{i}"), F.stddev_pop(xs[c]).alias(f"s{i}")]
+    row = df.agg(F.count("*").alias("rows"), *aggs).first()
+    whole = {c: i for i, c in enumerate(names) if row[f"n{i}"] == row["rows"]}
+    flat = {c for c, i in whole.items() if not row[f"s{i}"] or row[f"s{i}"] <= FLAT * abs(row[f"m{i}"])}
+    out: dict[tuple[str, str], float | None] = {}
+    holes = []
+    for i, (a, b) in enumerate(pairs):
+        if a in flat or b in flat:
+            out[a, b] = None
+        elif a in whole and b in whole:
+            out[a, b] = row[f"c{i}"] / (row[f"s{whole[a]}"] * row[f"s{whole[b]}"])
+        else:
+            holes.append((a, b))
+    if holes:
+        # the moments of a column with NULLs differ from pair to pair
+        masked = df.agg(*[pearson(xs[a], xs[b]).alias(f"r{i}") for i, (a, b) in enumerate(holes)]).first()
+        out |= {pair: masked[f"r{i}"] for i, pair in enumerate(holes)}
+    return {p: out[p] for p in pairs}
 
 
 def _correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:

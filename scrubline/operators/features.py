@@ -237,10 +237,12 @@ class PowerTransform(Scaler):
         log = F.signum(x) * F.log1p(F.abs(x)) if self.method == "yeo-johnson" else F.ln(x)
         return Needs(aggregates={"min": F.min(x), "max": F.max(x), "n": F.count(x), "logs": F.sum(log)})
 
-    def power(self, x: Column, lam: float) -> Column:
+    def power(self, x: Column, lam: float, positive: bool = False) -> Column:
         if self.method == "box-cox":
             return F.ln(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
         up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
+        if positive:
+            return up
         rest = 2 - lam
         down = -F.log1p(-x) if abs(rest) < 1e-12 else -(F.pow(1 - x, F.lit(rest)) - 1) / rest
         return F.when(x >= 0, up).otherwise(down)
@@ -276,8 +278,8 @@ class PowerTransform(Scaler):
         return {"lambda": best, "mean": row["mean"], "std": row["std"] or 1.0, "identity": False}
 
     def _likelihood(self, values: DataFrame, grid: list[float], stats) -> list[float]:
-        x = F.col("x")
-        row = values.agg(*[F.var_pop(self.power(x, lam)).alias(f"v{i}") for i, lam in enumerate(grid)]).first()
+        powers = [self.power(F.col("x"), lam, stats["min"] >= 0).alias(f"y{i}") for i, lam in enumerate(grid)]
+        row = values.select(*powers).agg(*[F.var_pop(f"y{i}").alias(f"v{i}") for i in range(len(grid))]).first()
         out = []
         for i, lam in enumerate(grid):
             v = row[f"v{i}"]
