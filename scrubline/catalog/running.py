@@ -23,7 +23,7 @@ from scrubline.plans.actions import Action, Plan
 from scrubline.plans.execute import run_plan
 from scrubline.plans.prepare import prepare, propose
 from scrubline.plans.recommend import recommend_features
-from scrubline.session import shared_path
+from scrubline.session import shared_path, stage_table
 from scrubline.sources import readers, sinks
 from scrubline.streaming.steps import deduplicate_stream, drain, transform_stream
 
@@ -208,7 +208,8 @@ def recommend_fe(spark, sf):
 
 def _clean_event(spark, sf):
     run = _run(spark, sf)
-    report = validate(run.source, run.df, 70.0, run.succeeded, run.executed, ("row_id",))
+    cleaned = stage_table(run.df, "cleaned")
+    report = validate(run.source, cleaned, 70.0, run.succeeded, run.executed, ("row_id",))
     return audit.cleaning_event(spark, PLAN, run, report, "orders")
 
 

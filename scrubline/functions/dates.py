@@ -97,7 +97,9 @@ def parse_timestamp(c: Column) -> Column:
 
 def is_date_shaped(c: Column) -> Column:
     """True where the text is a complete date; bare numbers are not dates."""
-    return ~strip(c).rlike(_COMPACT) & parse_timestamp(c).isNotNull()
+    # every shape has a separator and a year, most text has not
+    likely = c.rlike(r"\d{4}") & c.rlike(r"[-/. ]")
+    return F.coalesce(F.when(likely, parse_timestamp(c).isNotNull()), F.lit(False))
 
 
 def reformat_date(c: Column, target_format: str = "%Y-%m-%d") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.numbers import numeric, numeric_columns, string_columns
+from scrubline.operators.profile import columns_by_kind, value_counts
 from scrubline.operators.steps import col
 
 # up to this many columns, all pairs fit one aggregate; beyond, a matrix of cross products
@@ -49,10 +51,12 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """
     if not columns:
         return {}
-    text = df.select(*[col(c).cast("string").alias(c) for c in columns])
-    long = text.unpivot([], [col(c) for c in columns], "column_name", "value")
-    pairs = long.where("value is not null").distinct()
-    found = {r[0]: r[1] for r in pairs.groupBy("column_name").count().collect()}
+    chosen = df.select(*[col(c) for c in columns])
+    parts = []
+    for kind, names in columns_by_kind(chosen).items():
+        counts = value_counts(chosen, names, kind).where("value is not null")
+        parts.append(counts.groupBy("column_name").agg(F.count("*").alias("k")))
+    found = {r[0]: r[1] for r in reduce(DataFrame.unionByName, parts).collect()}
     return {c: found.get(c, 0) for c in columns}
 
 

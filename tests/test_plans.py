@@ -200,7 +200,7 @@ def test_checks(spark):
     assert v.success_rate_check(0, 0)[1] and not v.success_rate_check(8, 10)[1]
     assert v.after_score(70, 10, 4, 30, 0) == 92.0 and v.after_score(99, 50, 0, 50, 0) == 100.0
     df = spark.createDataFrame([("1", None), ("two", None), ("3", None)], "m string, n string")
-    assert v.mixed_types_check(df)[2] == "Mixed-type columns: ['m(number,text)']"
+    assert v.mixed_types_check(v.text_facts(df).collect())[2] == "Mixed-type columns: ['m(number,text)']"
     assert v.null_columns_check(v.table_counts(df))[2] == "All-null columns: ['n']"
 
 
