@@ -296,7 +296,7 @@ def fuzzy_dedup(spark, sf):
     return RemoveFuzzyDuplicates("c_custkey").run(table(spark, sf, "customer"))
 
 
-@query("auto_standardize")
+@query("auto_standardize", f"WITH {MO} SELECT row_id, upper(trim(priority_s)) AS priority_s FROM mo")
 def auto_standardize(spark, sf):
     return AutoStandardize("priority_s").run(messy_orders(spark, sf)).select("row_id", "priority_s")
 

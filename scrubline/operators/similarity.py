@@ -14,12 +14,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.text import strip
-from scrubline.operators.lookup import SALTS, ValueTable, dense_index
+from scrubline.operators.lookup import ValueTable, dense_index, hot_values, skew_join
 from scrubline.operators.steps import Step, col
 from scrubline.session import stage_table
 
@@ -31,8 +31,6 @@ ROUND_PAIRS = 1 << 20
 SMALL_DICTIONARY = 256
 # similar pairs up to this number are settled in one pass over the sorted ids
 DRIVER_EDGES = 200_000
-# tasks that share the rows of one block
-SPREAD = 8
 # grams whose frequency is known to every task; the rest count as rare
 KNOWN_GRAMS = 50_000
 
@@ -186,17 +184,14 @@ def _file_in_blocks(texts: DataFrame, threshold: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b, similarity) of the candidate pairs at or above the threshold."""
-    # a probe may be compared with a large share of all rows: spread it
-    salted = pairs.withColumn("salt", F.pmod("b", F.lit(SALTS)))
+    pairs = stage_table(pairs, "pairs")
     left = texts.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    probes = left.join(pairs.select("a").distinct(), "a", "left_semi").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    )
     right = texts.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     t = (threshold - 0.5) / 100
     la, lb = F.length("sa"), F.length("sb")
     long_enough = 2 * F.least(la, lb) >= F.lit(t) * (la + lb) - 1e-9
-    joined = salted.join(probes, ["a", "salt"]).join(right, "b").where(long_enough)
+    # a probe may be compared with a large share of all rows, a row only with few probes
+    joined = skew_join(pairs, left, "a", hot_values(pairs, "a"), "b").join(right, "b").where(long_enough)
     # substitutions make this distance no larger than the one of the ratio; it stops early
     edits = f"cast(floor({1 - t} * (length(sa) + length(sb)) + 1e-9) as int)"
     close = joined.where(F.expr(f"levenshtein(sa, sb, {edits}) >= 0"))
@@ -250,6 +245,7 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
     off in slices and never paired with itself.
     """
     blocks = stage_table(_file_in_blocks(texts, threshold), "blocks")
+    hot = hot_values(blocks, "key")
     undecided = F.lit(None)
     state = texts.select(
         "id",
@@ -270,7 +266,7 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
         fresh = near if offered is None else near.join(offered, ["key", "id"], "left_anti")
         offered = near if offered is None else stage_table(offered.unionByName(fresh), "offered")
         # an absorbed text still looks for an earlier leader
-        pairs = _pair_up(live, fresh).where("leader is null or a < leader").select("a", "b").distinct()
+        pairs = _pair_up(live, fresh, hot).where("leader is null or a < leader").select("a", "b").distinct()
         found = stage_table(_verified(pairs, texts, threshold), "similar")
         similar = found if similar is None else similar.unionByName(found)
         leaders = stage_table(_new_leaders(live, near, similar), "leaders")
@@ -293,20 +289,20 @@ def _new_leaders(live: DataFrame, near: DataFrame, similar: DataFrame) -> DataFr
     edges = edges.select("a", "b", F.col("a_compared").alias("known"))
     compared = open_ids.where("compared").select("id")
     alone = compared.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-    few = edges.limit(DRIVER_EDGES + 1).toArrow()
-    if few.num_rows > DRIVER_EDGES:
+    few = edges.limit(DRIVER_EDGES + 1).collect()
+    if len(few) > DRIVER_EDGES:
         return alone
-    free = _settle_in_order(few.to_pylist())
+    free = _settle_in_order(few)
     return alone.unionByName(live.sparkSession.createDataFrame([(i,) for i in free], "id long"))
 
 
-def _settle_in_order(edges: list[dict]) -> list[int]:
+def _settle_in_order(edges: list[Row]) -> list[int]:
     """Leaders among the later ends of the edges, visiting them in order.
 
     A text is absorbed once an earlier similar text leads, and leads once all of them are
     absorbed; it stays open if one of them is open.
     """
-    before: dict[int, list[dict]] = {}
+    before: dict[int, list[Row]] = {}
     for e in edges:
         before.setdefault(e["b"], []).append(e)
     leads: dict[int, bool | None] = {}
@@ -334,15 +330,14 @@ def _take(state: DataFrame, similar: DataFrame, leaders: DataFrame) -> DataFrame
     )
 
 
-def _pair_up(live: DataFrame, probes: DataFrame) -> DataFrame:
+def _pair_up(live: DataFrame, probes: DataFrame, hot: list) -> DataFrame:
     """Every row of a block with the block's earlier probes.
 
-    A block may hold a large share of all texts, so its few probes go to several tasks.
+    A block may hold a large share of all texts, so the probes of hot blocks go to
+    several tasks.
     """
     offers = probes.groupBy("key").agg(F.collect_list("id").alias("probes"))
-    offers = offers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    salted = live.withColumn("salt", F.pmod("id", F.lit(SPREAD)))
-    joined = salted.join(offers, ["key", "salt"]).withColumnRenamed("id", "b")
+    joined = skew_join(live.withColumnRenamed("id", "b"), offers, "key", hot, "b")
     return joined.withColumn("a", F.explode("probes")).where("a < b")
 
 
@@ -352,12 +347,13 @@ def similar_pairs(texts: DataFrame, threshold: int) -> DataFrame:
     Blocks are worked off in slices of probes, so one round emits at most a slice per row.
     """
     live = stage_table(_file_in_blocks(texts, threshold), "blocks")
+    hot = hot_values(live, "key")
     found = None
     while True:
         first = Window.partitionBy("key").orderBy("id")
         probes = live.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MAX_PROBES)
         probes = stage_table(probes.select("key", "id"), "probes")
-        pairs = _pair_up(live, probes).select("a", "b").distinct()
+        pairs = _pair_up(live, probes, hot).select("a", "b").distinct()
         edges = stage_table(_verified(pairs, texts, threshold), "similar")
         found = edges if found is None else found.unionByName(edges)
         rest = live.join(probes, ["key", "id"], "left_anti")
