@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scrubline.llm import language, toxicity
 from scrubline.llm.divergence import quality_rules
+from scrubline.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +17,35 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_divergence,)}
+def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "text")
+    found = language.identify(rows, language.learn(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin")
+
+
+def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(~language.held_out("doc_id", 4, 2)))
+    rows = docs.withColumn("held_out", language.held_out("doc_id", 4, 2))
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_divergence, op8_language_zstd, op9_toxicity_fm, op10_warc_shards)}
 ORACLE: dict[str, str] = {}
+
+ORACLE["op10_warc_shards"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS leader, count(*) AS n FROM p
+    WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+    CASE WHEN leader IS NOT NULL AND page_id IS DISTINCT FROM leader THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)"""
