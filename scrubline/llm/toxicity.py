@@ -32,13 +32,24 @@ MAX_TERMS = 2_048
 MIN_ROWS = 8
 MIN_CHI2 = 20.0
 FACTORS = 8
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
 
 def term_buckets(text: Column) -> Column:
-    """Distinct buckets of a text's terms (runs of letters, lower case)."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("\\p{L}+"), F.lit(0)))
-    return F.array_distinct(F.transform(terms, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    """Distinct buckets of a text's terms: runs of letters, lower case, and their stems.
+
+    Stems are the first four, five and six letters, so that inflected forms share a bucket.
+    """
+    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\\P{L}+", " "))
+    terms = F.array_distinct(F.split(plain, " "))
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+
+    def stem(k: int) -> Column:
+        # a word that is no longer than the stem keeps its own bucket
+        return F.transform(terms, lambda w: F.when(F.length(w) > k, bucket(F.substring(w, 1, k), F.lit(k))).otherwise(bucket(w)))
+
+    return F.array_distinct(F.flatten(F.array(F.transform(terms, lambda w: bucket(w)), *map(stem, STEMS))))
 
 
 @dataclass
