@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import language, toxicity
+from scrubline.llm import language, pii, toxicity
 from scrubline.llm.divergence import quality_rules
+from scrubline.llm.probminhash import near_duplicates
+from scrubline.llm.substring_dedup import repeated_passages
 from scrubline.llm.warc import archive_round_trip
 
 
@@ -17,6 +19,18 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "text")
@@ -37,7 +51,16 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_divergence, op8_language_zstd, op9_toxicity_fm, op10_warc_shards)}
+ALL = (
+    op1_substring_dedup,
+    op3_pii_disclosure,
+    op5_quality_divergence,
+    op6_probminhash,
+    op8_language_zstd,
+    op9_toxicity_fm,
+    op10_warc_shards,
+)
+QUERIES = {f.__name__: f for f in ALL}
 ORACLE: dict[str, str] = {}
 
 ORACLE["op10_warc_shards"] = """

@@ -19,7 +19,10 @@ def words(text: Column) -> Column:
 
 
 def shingles(w: Column, n: int = SHINGLE) -> Column:
-    """64-bit hashes of all runs of ``n`` words, repeats included; a shorter text is one shingle."""
+    """64-bit hashes of all runs of ``n`` words, repeats included; a shorter text is one shingle.
+
+    ``w`` must be a column of the frame: an expression would be evaluated again for every run.
+    """
     gram = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
     return (
         F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), gram))
