@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import language, pii, toxicity
+from scrubline.llm import html_crf, language, pii, toxicity
 from scrubline.llm.divergence import quality_rules
+from scrubline.llm.latent import leaked
 from scrubline.llm.probminhash import near_duplicates
 from scrubline.llm.substring_dedup import repeated_passages
 from scrubline.llm.warc import archive_round_trip
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,10 @@ def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "text")
@@ -54,8 +63,10 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     op1_substring_dedup,
     op3_pii_disclosure,
+    op4_html_crf,
     op5_quality_divergence,
     op6_probminhash,
+    op7_latent_decontamination,
     op8_language_zstd,
     op9_toxicity_fm,
     op10_warc_shards,
