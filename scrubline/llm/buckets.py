@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,33 +11,39 @@ from scrubline.session import stage_table
 GROWTH = 4
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) of the graph of all verified pairs that share a bucket.
+def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose distinct shingles overlap enough; ``sets`` has (id, n, s)."""
+    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+    near = near.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    # sets whose sizes differ more can't be that similar
+    near = near.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    near = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    near = near.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    near = near.where(shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared))
+    return near.select(*pairs.columns)
+
 
-    ``members`` has distinct (key, id); ``verify`` keeps the rows of (a, b) that are links. Each bucket first
-    compares everything with its least id. Buckets whose members then lie in several components
-    go on: some more members, picked by hash, are compared with the members of other components,
-    four times as many in each round, until the bucket is in one component or every pair
-    between its components has been compared. So no connection is lost, while a bucket of copies
-    costs about one comparison for each member.
+def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) of the graph of all pairs that share a bucket and are similar enough.
+
+    ``members`` has distinct (key, id), ``sets`` (id, n, s) with the n distinct shingles of each id.
+    Each bucket first compares everything with its least id. The ids of buckets that then still hold
+    several components meet again by their rarest shingles: two sets of similarity t share one of the
+    ``n - ceil(t * n) + 1`` shingles that come first in any fixed order, so texts that share only their
+    common parts no longer meet, and no similar pair is lost. These smaller buckets start like
+    the first ones; then members picked by hash are compared with the members of other
+    components, four times as many in each round, until a bucket is one component or every pair
+    between its components has been compared.
     """
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowd = stage_table(members.join(counts, "key"), "crowd")
-    lead = crowd.groupBy("key").agg(F.min("id").alias("lead"))
-    first = crowd.join(lead, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    label = stage_table(components(verify(first)), "labels")
-    crowd = crowd.where("n > 2").select("key", "id", "n", F.col("id").alias("component"))
+    label, crowd = _star(members, sets, similarity, None)
+    ids = crowd.select("id").distinct()
+    if ids.isEmpty():
+        return label
+    label, crowd = _star(_rare_shingles(stage_table(ids, "open"), sets, similarity), sets, similarity, label)
     place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
     picked = GROWTH
-    while True:
-        known = label.select("id", F.col("component").alias("c"))
-        crowd = crowd.join(known, crowd["component"] == known["id"], "left").select(
-            "key", crowd["id"], "n", F.coalesce("c", "component").alias("component")
-        )
-        split = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        crowd = stage_table(crowd.join(split.select("key"), "key", "left_semi"), "crowd")
-        if crowd.isEmpty():
-            break
+    while not crowd.isEmpty():
         before = F.when(F.lit(picked == GROWTH), F.lit(0.0)).otherwise(F.lit(picked / GROWTH) / F.col("n"))
         pivots = crowd.where((place >= before) & (place < F.lit(float(picked)) / F.col("n")))
         pivots = pivots.select("key", F.col("id").alias("p"), F.col("component").alias("pc"))
@@ -47,16 +51,54 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
         pairs = pairs.groupBy(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).agg(
             F.min(F.least("pc", "component")).alias("low"), F.max(F.greatest("pc", "component")).alias("high")
         )
-        links = verify(pairs.select("a", "b", "low", "high")).select("low", "high")
-        label = _merge(label, components(links, "low", "high"))
-        crowd = crowd.where(F.col("n") > picked)
+        label = _merge(label, components(jaccard_links(pairs, sets, similarity), "low", "high"))
+        crowd = _still_open(crowd.where(F.col("n") > picked), label)
         picked *= GROWTH
     return label
 
 
+def _star(members: DataFrame, sets: DataFrame, similarity: float, label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Compare every bucket with its least id; (labels, the rows (key, id, n, component) of buckets that stay open)."""
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = stage_table(members.join(counts, "key"), "crowd")
+    own = crowd.withColumn("component", F.col("id")) if label is None else _labelled(crowd, label)
+    lead = own.groupBy("key").agg(F.min(F.struct("id", "component")).alias("lead"))
+    pairs = own.join(lead, "key").where("component <> lead.component").select(
+        F.col("lead.id").alias("a"), F.col("id").alias("b"),
+        F.least("lead.component", "component").alias("low"), F.greatest("lead.component", "component").alias("high"),
+    ).distinct()
+    merged = components(jaccard_links(pairs, sets, similarity), "low", "high")
+    label = stage_table(merged, "labels") if label is None else _merge(label, merged)
+    # all pairs of a bucket of two have been compared
+    return label, _still_open(crowd.where("n > 2"), label)
+
+
+def _labelled(crowd: DataFrame, label: DataFrame) -> DataFrame:
+    known = label.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    return crowd.join(known, F.col("id") == F.col("i"), "left").select("key", "id", "n", F.coalesce("c", "id").alias("component"))
+
+
+def _still_open(crowd: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of buckets that lie in several components, with their components."""
+    own = stage_table(_labelled(crowd, label), "labelled")
+    split = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return stage_table(own.join(split.select("key"), "key", "left_semi"), "open")
+
+
+def _rare_shingles(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, id): the shingles of each id that come first by rarity among ``ids``, as many as similar sets must share one of."""
+    own = stage_table(sets.join(ids, "id", "left_semi").select("id", "n", F.explode("s").alias("key")), "tokens")
+    often = own.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = own.join(often, "key").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("t"))
+    wanted = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    first = ranked.select("id", F.explode(F.slice("t", F.lit(1), wanted.cast("int"))).alias("t"))
+    # a shingle of one set joins nothing
+    return first.where("t.often > 1").select("t.key", "id")
+
+
 def _merge(label: DataFrame, merged: DataFrame) -> DataFrame:
     """Labels after some components have become one; components may be ids that had no link before."""
-    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    merged = stage_table(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "merged")
     moved = label.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     new = merged.join(label.select(F.col("id").alias("component")), "component", "left_anti")
     return stage_table(moved.union(new.select(F.col("component").alias("id"), F.col("to").alias("component"))), "labels")
