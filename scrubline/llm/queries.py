@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import html_crf, language, pii, toxicity
+from scrubline.llm import html_crf, language, pieces, pii, toxicity
 from scrubline.llm.divergence import quality_rules
 from scrubline.llm.latent import leaked
 from scrubline.llm.probminhash import near_duplicates
@@ -28,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_table(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_substring_dedup,
+    op2_sentencepiece_lattice,
     op3_pii_disclosure,
     op4_html_crf,
     op5_quality_divergence,
