@@ -128,6 +128,26 @@ def fill_mean(spark, sf):
     return out.select(*_line_keys(), F.round("qty", 4).alias("qty"))
 
 
+@query(
+    "fill_mean_text",
+    f"WITH {MO}, x AS (SELECT row_id, CASE WHEN NOT {missing_sql('price_s')} THEN {number_sql('price_s')} END AS price FROM mo) "
+    "SELECT row_id, round(coalesce(price, (SELECT avg(price) FROM x)), 4) AS price_s FROM x",
+)
+def fill_mean_text(spark, sf):
+    """Prices as text, with ``twenty`` filled like a missing cell."""
+    out = c.fill_step("price_s", "mean", text_cells="fill").run(messy_orders(spark, sf))
+    return out.select("row_id", F.round("price_s", 4).alias("price_s"))
+
+
+@query(
+    "fill_median_text",
+    f"WITH {MO}, x AS (SELECT row_id, CASE WHEN NOT {missing_sql('price_s')} THEN {number_sql('price_s')} END AS price FROM mo) "
+    "SELECT row_id, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM x)) AS price_s FROM x",
+)
+def fill_median_text(spark, sf):
+    return c.fill_step("price_s", "median", text_cells="fill").run(messy_orders(spark, sf)).select("row_id", "price_s")
+
+
 @query("fill_median", f"WITH {ML} SELECT {_K}, coalesce(qty, (SELECT quantile_cont(qty, 0.5) FROM ml)) AS qty FROM ml")
 def fill_median(spark, sf):
     return c.fill_step("qty", "median").run(messy_lineitem(spark, sf)).select(*_line_keys(), "qty")

@@ -11,10 +11,12 @@ from scrubline.catalog.tables import (
     MO,
     date_sql,
     messy_orders,
+    missing_sql,
     number_sql,
     present_sql,
     table,
 )
+from scrubline.functions.missing import is_missing_cell
 from scrubline.operators.cleaning import ConvertType, NormalizeCase, TrimWhitespace
 from scrubline.operators.features import StandardScale
 from scrubline.operators.validate import validate
@@ -86,7 +88,7 @@ def run_plan_query(spark, sf):
     "run_plan_log",
     f"WITH {_FILLED}, l AS (SELECT 'action_001' AS action_id, 'succeeded' AS status, (SELECT count(*) FROM mo WHERE priority_s <> trim(priority_s)) AS n UNION ALL "
     "SELECT 'action_002', 'succeeded', (SELECT count(*) FROM mo WHERE trim(priority_s) <> upper(trim(priority_s))) UNION ALL "
-    "SELECT 'action_003', 'succeeded', (SELECT count(price_s) FROM mo) UNION ALL "
+    "SELECT 'action_003', 'succeeded', (SELECT count(*) FROM mo WHERE TRY_CAST(price_s AS DOUBLE) IS NULL AND price_s IS NOT NULL) UNION ALL "
     "SELECT 'action_004', 'succeeded', (SELECT count(*) FROM p JOIN f USING (row_id) WHERE p.date_s <> f.d) UNION ALL "
     "SELECT 'action_005', 'succeeded', (SELECT count(*) FROM p WHERE price IS NULL) UNION ALL "
     "SELECT 'action_006', 'succeeded', (SELECT count(*) FROM p JOIN f USING (row_id) WHERE p.status_s <> f.status) UNION ALL "
@@ -98,9 +100,26 @@ def run_plan_log(spark, sf):
     return _run(spark, sf).log(samples=False).select("action_id", "status", "rows_affected")
 
 
-@query("plan_summary", "SELECT CAST(9 AS BIGINT) AS total_actions, CAST(8 AS BIGINT) AS approved_actions, CAST(4 AS BIGINT) AS high_priority, (SELECT count(*) FROM orders) AS estimated_rows")
+@query(
+    "plan_summary",
+    f"""WITH {MO}, p AS (SELECT count(*) FILTER (WHERE {missing_sql('price_s')}) AS gaps, count(*) FILTER (WHERE status_s <> trim(status_s)) AS blanks,
+      count(*) - count(DISTINCT order_id) AS copies FROM mo)
+    SELECT CAST((gaps > 0)::INT + (blanks > 0)::INT + (copies > 0)::INT AS BIGINT) AS total_actions, CAST((gaps > 0)::INT + (copies > 0)::INT AS BIGINT) AS approved_actions,
+      CAST((copies > 0)::INT AS BIGINT) AS high_priority, gaps + copies AS estimated_rows FROM p""",
+)
 def plan_summary(spark, sf):
-    plan = Plan([a for a in PLAN.actions if a.id != "action_002"], estimated_rows_affected=table(spark, sf, "orders").count())
+    """A plan made from what the table holds: only faults that occur get an action."""
+    df = messy_orders(spark, sf)
+    facts = df.agg(
+        F.count_if(is_missing_cell(df, "price_s")).alias("gaps"), F.count_if(F.col("status_s") != F.trim("status_s")).alias("blanks"),
+        (F.count("*") - F.count_distinct("order_id")).alias("copies"),
+    ).first()
+    found = [
+        (facts["gaps"], Action("gaps", "fill_missing", "price_s", {"strategy": "mode"}, priority="medium")),
+        (facts["blanks"], Action("blanks", "trim_whitespace", "status_s", priority="low", approved=False)),
+        (facts["copies"], Action("copies", "remove_duplicates", None, {"keep": "first"}, priority="high")),
+    ]
+    plan = Plan([a for n, a in found if n], estimated_rows_affected=facts["gaps"] + facts["copies"])
     return plan.summary(spark)
 
 
@@ -148,47 +167,51 @@ def prepare_two_attempts(spark, sf):
 
 # ---- feature plans --------------------------------------------------------------
 
+# what a demand model needs of line items: the return state as a rank, open or closed as flags, a discounted price
 FEATURES = Plan(
     [
-        Action("fe_001", "one_hot_encode", "l_returnflag", {"drop_first": True}),
-        Action("fe_002", "label_encode", "l_linestatus", {"order": ["O", "F"]}),
-        Action("fe_003", "log_transform", "l_extendedprice", {"base": "natural"}),
-        Action("fe_004", "standard_scale", "l_quantity"),
-        Action("fe_005", "min_max_scale", "l_tax", approved=False),
-        Action("fe_006", "interaction_features", None, {"column_pairs": [["l_discount", "l_tax"]]}),
-        Action("fe_007", "binning", "l_discount", {"n_bins": 4, "strategy": "uniform"}),
-        Action("fe_008", "target_encode", "l_shipdate", {"target_column": "absent"}),
+        Action("return_rank", "ordinal_encode", "l_returnflag", {"mapping": {"N": 1, "A": 5, "R": 9}}),
+        Action("status_flags", "one_hot_encode", "l_linestatus", {"drop_first": False}),
+        Action("per_day", "frequency_encode", "l_shipdate"),
+        Action("discounted", "interaction_features", None, {"column_pairs": [["l_extendedprice", "l_discount"]]}),
+        Action("share_of_top", "max_abs_scale", "l_quantity"),
+        Action("tax_class", "binning", "l_tax", {"n_bins": 3, "strategy": "uniform"}),
+        Action("price_again", "robust_scale", "l_extendedprice", approved=False),
+        Action("by_buyer", "target_encode", "l_partkey", {"target_column": "buyer"}),
     ]
 )
 _FE_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
 def _fe_run(spark, sf):
-    return run_plan(table(spark, sf, "lineitem").drop("l_shipdate_x"), FEATURES)
+    return run_plan(table(spark, sf, "lineitem"), FEATURES)
 
 
 @query(
     "run_fe_plan",
-    "WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd, min(l_extendedprice) AS lp, min(l_discount) AS dl, (max(l_discount) - min(l_discount)) / 4 AS w FROM lineitem) "
-    f"SELECT {_FE_KEYS}, CAST(l_returnflag = 'N' AS INTEGER) AS \"l_returnflag_N\", CAST(l_returnflag = 'R' AS INTEGER) AS \"l_returnflag_R\", "
-    "CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE -1 END AS l_linestatus, round(ln(CASE WHEN lp <= 0 THEN l_extendedprice + abs(lp) + 1 ELSE l_extendedprice END), 5) AS l_extendedprice, "
-    "round((l_quantity - m) / sd, 5) AS l_quantity, l_tax, round(l_discount * l_tax, 6) AS l_discount_x_l_tax, "
-    "CAST((l_discount >= dl + w)::INT + (l_discount >= dl + w * 2)::INT + (l_discount >= dl + w * 3)::INT AS INTEGER) AS l_discount_binned FROM lineitem, s",
+    "WITH s AS (SELECT max(abs(l_quantity)) AS top, min(l_tax) AS tl, (max(l_tax) - min(l_tax)) / 3 AS w FROM lineitem), "
+    "d AS (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1) "
+    f"SELECT {_FE_KEYS}, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 5 WHEN 'R' THEN 9 ELSE -1 END AS l_returnflag, "
+    "CAST(l_linestatus = 'F' AS INTEGER) AS \"l_linestatus_F\", CAST(l_linestatus = 'O' AS INTEGER) AS \"l_linestatus_O\", n AS l_shipdate, "
+    "l_extendedprice, l_discount, round(l_extendedprice * l_discount, 4) AS l_extendedprice_x_l_discount, round(l_quantity / top, 6) AS l_quantity, "
+    "CAST((l_tax >= tl + w)::INT + (l_tax >= tl + w * 2)::INT AS INTEGER) AS l_tax_binned FROM lineitem JOIN d USING (l_shipdate), s",
 )
 def run_fe_plan(spark, sf):
     out = _fe_run(spark, sf).df
     keys = [k.strip() for k in _FE_KEYS.split(",")]
     return out.select(
-        *keys, "l_returnflag_N", "l_returnflag_R", "l_linestatus", F.round("l_extendedprice", 5).alias("l_extendedprice"),
-        F.round("l_quantity", 5).alias("l_quantity"), "l_tax", F.round("l_discount_x_l_tax", 6).alias("l_discount_x_l_tax"), "l_discount_binned",
+        *keys, "l_returnflag", "l_linestatus_F", "l_linestatus_O", "l_shipdate", "l_extendedprice", "l_discount",
+        F.round("l_extendedprice_x_l_discount", 4).alias("l_extendedprice_x_l_discount"), F.round("l_quantity", 6).alias("l_quantity"), "l_tax_binned",
     )
 
 
 @query(
     "run_fe_plan_log",
-    "WITH l(action_id, status, columns_added, columns_removed) AS (VALUES ('fe_001', 'succeeded', 'l_returnflag_N,l_returnflag_R', 'l_returnflag'), "
-    "('fe_002', 'succeeded', '', ''), ('fe_003', 'succeeded', '', ''), ('fe_004', 'succeeded', '', ''), ('fe_006', 'succeeded', 'l_discount_x_l_tax', ''), "
-    "('fe_007', 'succeeded', 'l_discount_binned', ''), ('fe_008', 'failed', '', '')) SELECT * FROM l WHERE (SELECT count(*) FROM lineitem) > 0",
+    "WITH v AS (SELECT string_agg('l_linestatus_' || l_linestatus, ',' ORDER BY l_linestatus) AS flags FROM (SELECT DISTINCT l_linestatus FROM lineitem)) "
+    "SELECT id AS action_id, CASE WHEN id = 'by_buyer' THEN 'failed' ELSE 'succeeded' END AS status, "
+    "CASE id WHEN 'status_flags' THEN flags WHEN 'discounted' THEN 'l_extendedprice_x_l_discount' WHEN 'tax_class' THEN 'l_tax_binned' ELSE '' END AS columns_added, "
+    "CASE id WHEN 'status_flags' THEN 'l_linestatus' ELSE '' END AS columns_removed "
+    "FROM v, unnest(['return_rank', 'status_flags', 'per_day', 'discounted', 'share_of_top', 'tax_class', 'by_buyer']) AS t(id)",
 )
 def run_fe_plan_log(spark, sf):
     log = _fe_run(spark, sf).log(samples=False)
@@ -199,8 +222,7 @@ def run_fe_plan_log(spark, sf):
 
 @query("recommend_fe")
 def recommend_fe(spark, sf):
-    df = table(spark, sf, "lineitem").drop("l_shipdate")
-    return recommend_features(df, "l_extendedprice").rows(spark)
+    return recommend_features(table(spark, sf, "lineitem"), "l_extendedprice").rows(spark)
 
 
 # ---- audit ----------------------------------------------------------------------
@@ -222,7 +244,7 @@ def audit_event(spark, sf):
     return _clean_event(spark, sf).select(*_EVENT_COLUMNS)
 
 
-@query("audit_fe", "SELECT 'feature_engineering' AS event_type, count(*) AS row_count_before, CAST(8 AS INTEGER) AS total_actions, CAST(7 AS INTEGER) AS approved_actions, CAST(4 AS INTEGER) AS columns_added, CAST(1 AS INTEGER) AS columns_removed FROM lineitem")
+@query("audit_fe", "SELECT 'feature_engineering' AS event_type, count(*) AS row_count_before, CAST(8 AS INTEGER) AS total_actions, CAST(7 AS INTEGER) AS approved_actions, CAST(2 + count(DISTINCT l_linestatus) AS INTEGER) AS columns_added, CAST(1 AS INTEGER) AS columns_removed FROM lineitem")
 def audit_fe(spark, sf):
     run = _fe_run(spark, sf)
     event = audit.feature_event(spark, FEATURES, run, table(spark, sf, "lineitem").count())
@@ -297,6 +319,43 @@ def file_metadata(spark, sf):
     return files.groupBy("format", "encoding", "col_count").agg(F.sum("row_count").alias("row_count"))
 
 
+_WIDE = 400
+
+
+def _wide_lines(spark, sf):
+    """Line items under a header of far over 4,096 characters, every 97th order with a cell too many."""
+    path = shared_path(spark, "wide")
+    header = ",".join(["order", "line", "order", ""] + [f"a rather long column name {i}" for i in range(_WIDE)])
+    cells = F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    bad = F.when(F.col("l_orderkey") % 97 == 0, "," * _WIDE + "extra").otherwise("")
+    rows = table(spark, sf, "lineitem").select(F.concat(cells, bad).alias("value"))
+    rows.repartition(4, "value").mapInPandas(_with_header(header), "value string").write.text(path)
+    return path
+
+
+def _with_header(header):
+    def run(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    return run
+
+
+@query(
+    "src_wide_csv",
+    "SELECT CAST(l_orderkey AS VARCHAR) AS \"order\", CAST(l_linenumber AS VARCHAR) AS line, CAST(l_partkey AS VARCHAR) AS order_1, CAST(l_suppkey AS VARCHAR) AS column_4, "
+    "CAST(404 AS INTEGER) AS columns, (SELECT count(*) FROM lineitem WHERE l_orderkey % 97 = 0) AS rejected FROM lineitem WHERE l_orderkey % 97 <> 0",
+)
+def src_wide_csv(spark, sf):
+    source = readers.read_delimited(spark, _wide_lines(spark, sf))
+    return source.df.select(
+        "order", "line", F.col("`order.1`").alias("order_1"), "column_4", F.lit(len(source.df.columns)).alias("columns"),
+        F.lit(source.rejected.where(f"{readers.LINE} like '%,extra'").count()).alias("rejected"),
+    )
+
+
 @query("src_json", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, md5(text) AS text FROM conversations")
 def src_json(spark, sf):
     """One JSON object per turn, with the turn in a nested array of records."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,9 +15,6 @@ from scrubline.functions.numbers import numeric, numeric_columns, string_columns
 from scrubline.operators.profile import columns_by_kind, value_counts
 from scrubline.operators.steps import col
 
-# up to this many columns, all pairs fit one aggregate; beyond, a matrix of cross products
-MATRIX_COLUMNS = 12
-
 # a spread below this share of the mean is rounding
 FLAT = 1e-12
 
@@ -179,41 +175,14 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair of numeric columns, pairwise complete, in one scan."""
+    """Pearson correlation of every pair of numeric columns, pairwise complete.
+
+    Every batch adds its cross products, so a task sends one row per pair however many rows it
+    read. Values are centred first, so the sums keep their digits. Flat columns have none.
+    """
     names = columns if columns is not None else numeric_columns(df)
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    if len(names) < 2:
         return {}
-    if len(names) > MATRIX_COLUMNS:
-        return _correlation_matrix(df, names)
-    xs = {c: numeric(df, c) for c in names}
-    aggs = [F.covar_pop(xs[a], xs[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    for i, c in enumerate(names):
-        aggs += [F.count(xs[c]).alias(f"n{i}"), F.avg(xs[c]).alias(f"m{i}"), F.stddev_pop(xs[c]).alias(f"s{i}")]
-    row = df.agg(F.count("*").alias("rows"), *aggs).first()
-    whole = {c: i for i, c in enumerate(names) if row[f"n{i}"] == row["rows"]}
-    flat = {c for c, i in whole.items() if not row[f"s{i}"] or row[f"s{i}"] <= FLAT * abs(row[f"m{i}"])}
-    out: dict[tuple[str, str], float | None] = {}
-    holes = []
-    for i, (a, b) in enumerate(pairs):
-        if a in flat or b in flat:
-            out[a, b] = None
-        elif a in whole and b in whole:
-            out[a, b] = row[f"c{i}"] / (row[f"s{whole[a]}"] * row[f"s{whole[b]}"])
-        else:
-            holes.append((a, b))
-    if holes:
-        # the moments of a column with NULLs differ from pair to pair
-        masked = df.agg(*[pearson(xs[a], xs[b]).alias(f"r{i}") for i, (a, b) in enumerate(holes)]).first()
-        out |= {pair: masked[f"r{i}"] for i, pair in enumerate(holes)}
-    return {p: out[p] for p in pairs}
-
-
-def _correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
-    """The same for many columns: every batch adds its cross products, one row per pair.
-
-    Values are centred first, so the sums keep their digits.
-    """
     k = len(names)
     xs = df.select(*[numeric(df, c).alias(f"x{i}") for i, c in enumerate(names)])
     means = [m or 0.0 for m in xs.agg(*[F.avg(c) for c in xs.columns]).first()]

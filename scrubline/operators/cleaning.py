@@ -108,27 +108,37 @@ def _present(df: DataFrame, column: str) -> Column:
 def _present_number(df: DataFrame, column: str) -> Column:
     if numbers.is_numeric_type(df.schema[column].dataType):
         return F.when(~missing.is_missing_cell(df, column), numbers.numeric(df, column))
-    return numbers.to_double(missing.nullify(as_text(df, column)))
+    return numbers.to_double(missing.nullify(as_text(df, column)), strip_currency=True)
 
 
 class FillNumber(CellStep):
-    """Missing cells to the mean or median of the numeric cells; the column becomes double."""
+    """Missing cells to the mean or median of the numeric cells; the column becomes double.
 
-    def __init__(self, column: str, statistic: str):
+    Text that is neither missing nor a number has no place in such a column: ``text_cells="refuse"``
+    raises and leaves the column alone, ``"fill"`` fills it like a missing cell.
+    """
+
+    def __init__(self, column: str, statistic: str, text_cells: str = "refuse"):
         super().__init__(column)
-        self.statistic = statistic
+        if text_cells not in ("refuse", "fill"):
+            raise ValueError(f"unknown text_cells {text_cells!r}")
+        self.statistic, self.text_cells = statistic, text_cells
 
     def needs(self, df):
         x = _present_number(df, self.column)
+        text_cells = F.count_if(_present(df, self.column).isNotNull() & x.isNull())
         if self.statistic == "mean":
-            return Needs(aggregates={"fill": F.avg(x)})
-        return Needs(quantiles={"fill": (x, [0.5])})
+            return Needs(aggregates={"fill": F.avg(x), "text": text_cells})
+        return Needs(aggregates={"text": text_cells}, quantiles={"fill": (x, [0.5])})
+
+    def learn(self, df, stats):
+        if stats["text"] and self.text_cells == "refuse":
+            raise ValueError(f"{stats['text']} cells of '{self.column}' are text; convert the column or fill with text_cells='fill'")
+        return stats
 
     def cell(self, df, stats):
         fill = stats["fill"][0] if self.statistic == "median" else stats["fill"]
-        x = _present_number(df, self.column)
-        # text that is neither missing nor a number stays a non-value, it is not imputed
-        return F.when(_present(df, self.column).isNull(), F.lit(fill).cast("double")).otherwise(x)
+        return F.coalesce(_present_number(df, self.column), F.lit(fill).cast("double"))
 
 
 class FillMode(CellStep):
@@ -227,28 +237,33 @@ class MapCategories(CellStep):
         return map_values(trimmed, self.column, self.mapping)
 
 
-# up to this many pairs, a mapping is a CASE expression; beyond, a broadcast join
+# up to this many pairs, a lookup is a CASE expression; beyond, a broadcast join with the same answer
 INLINE_PAIRS = 64
 
 
-def map_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
-    """Replace values by a driver-side mapping, keeping unmapped values."""
-    if not mapping:
-        return df
+def look_up(df: DataFrame, column: str, pairs: dict[str, Any], kind: str, other: Column) -> DataFrame:
+    """``column`` replaced by what ``pairs`` say, else by ``other``; a value of None gives NULL.
+
+    The pairs come from a plan, so they are as small as its JSON text.
+    """
+    if not pairs:
+        return df.withColumn(column, other)
     c = col(column)
-    if len(mapping) <= INLINE_PAIRS:
+    if len(pairs) <= INLINE_PAIRS:
         chosen = None
-        for raw, canonical in mapping.items():
-            hit = c == F.lit(str(raw))
-            value = F.lit(None if canonical is None else str(canonical))
-            chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
-        return df.withColumn(column, chosen.otherwise(c))
-    pairs = df.sparkSession.createDataFrame(
-        [(str(k), str(v)) for k, v in mapping.items()], "__raw string, __canonical string"
-    )
-    joined = df.join(F.broadcast(pairs), c == F.col("__raw"), "left")
-    value = F.coalesce("__canonical", c)
-    return joined.withColumn(column, value).select(*[col(x) for x in df.columns])
+        for raw, value in pairs.items():
+            value = F.lit(value).cast(kind)
+            chosen = F.when(c == F.lit(raw), value) if chosen is None else chosen.when(c == F.lit(raw), value)
+        return df.withColumn(column, chosen.otherwise(other))
+    rows = df.sparkSession.createDataFrame([(k, v, True) for k, v in pairs.items()], f"__raw string, __value {kind}, __hit boolean")
+    joined = df.join(F.broadcast(rows), c == F.col("__raw"), "left")
+    return joined.withColumn(column, F.when(F.col("__hit"), F.col("__value")).otherwise(other)).select(*[col(x) for x in df.columns])
+
+
+def map_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
+    """Replace values by a driver-side mapping, keeping unmapped values."""
+    pairs = {str(k): None if v is None else str(v) for k, v in mapping.items()}
+    return look_up(df, column, pairs, "string", col(column)) if pairs else df
 
 
 class RenameColumn(Step):
@@ -274,12 +289,12 @@ class DropColumn(Step):
         return df.drop(self.column)
 
 
-def fill_step(column: str, strategy: str = "mode", value: Any = None, order_by=None, partition_by=()):
+def fill_step(column: str, strategy: str = "mode", value: Any = None, order_by=None, partition_by=(), text_cells: str = "refuse"):
     """The imputation step of a strategy name."""
     from scrubline.operators.fill import FillDirection
 
     if strategy in ("mean", "median"):
-        return FillNumber(column, strategy)
+        return FillNumber(column, strategy, text_cells)
     if strategy == "mode":
         return FillMode(column)
     if strategy in ("custom", "constant"):

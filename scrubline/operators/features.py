@@ -8,23 +8,19 @@ from __future__ import annotations
 
 import math
 from itertools import combinations, combinations_with_replacement
-from statistics import NormalDist
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions.numbers import numeric, numeric_columns, string_columns
 from scrubline.operators.analysis import correlations, distinct_counts
+from scrubline.operators.cleaning import look_up
 from scrubline.operators.lookup import ValueTable, dense_index
+from scrubline.operators.quantiles import ranked_quantiles
 from scrubline.operators.steps import Needs, Step, col
 from scrubline.session import stage_table
 
-# a one-hot encoding makes one column per category
-MAX_ONE_HOT = 1000
-
 
 def filled(df: DataFrame, column: str) -> Column:
     """Numeric value with NULL (and text that is no number) as 0."""
@@ -40,7 +36,10 @@ class ColumnFeature(Step):
 
 
 class OneHotEncode(ColumnFeature):
-    """One 0/1 column per category, in sorted order; NULL is 0 everywhere."""
+    """One 0/1 column per category, in sorted order; NULL is 0 everywhere.
+
+    The categories become columns, so they are as many as a table can be wide.
+    """
 
     def __init__(self, column: str, drop_first: bool = True):
         super().__init__(column)
@@ -48,9 +47,7 @@ class OneHotEncode(ColumnFeature):
 
     def learn(self, df, stats):
         c = col(self.column)
-        found = df.where(c.isNotNull()).select(c.alias("v")).distinct().limit(MAX_ONE_HOT + 1).collect()
-        if len(found) > MAX_ONE_HOT:
-            raise ValueError(f"'{self.column}' has more than {MAX_ONE_HOT} categories")
+        found = df.where(c.isNotNull()).select(c.alias("v")).distinct().collect()
         return {"values": sorted(r["v"] for r in found)}
 
     def apply(self, df, stats):
@@ -81,10 +78,8 @@ class LabelEncode(ColumnFeature):
     def apply(self, df, stats):
         c = col(self.column).cast("string")
         if self.codes is not None:
-            code = F.lit(-1)
-            for value, i in reversed(list(self.codes.items())):
-                code = F.when(c == F.lit(str(value)), F.lit(i)).otherwise(code)
-            return df.withColumn(self.column, code)
+            text = df.withColumn(self.column, c)
+            return look_up(text, self.column, {str(v): i for v, i in self.codes.items()}, "int", F.lit(-1))
         text = df.withColumn(self.column, c)
         coded = stats["table"].attach(text, self.column)
         return coded.withColumn(self.column, F.col("idx").cast(self.code_type)).select(*map(col, df.columns))
@@ -294,13 +289,15 @@ class PowerTransform(Scaler):
 
 
 class QuantileTransform(Scaler):
-    """Map values to their quantile, uniform in [0, 1] or standard normal."""
+    """Map values to their quantile, uniform in [0, 1] or standard normal.
+
+    Knots are exact quantiles at every size. A value between two knots lies between their
+    quantiles in proportion, one equal to several knots in the middle of theirs.
+    """
 
     KNOTS = 1000
     # Fixed value: distance from 0 and 1 at which normal scores are clipped.
     EDGE = 1e-7
-    # above this many rows the knots come from a sketch with rank error 1e-6
-    EXACT_ROWS = 2_000_000
 
     def __init__(self, column: str, output_distribution: str = "normal"):
         if output_distribution not in ("normal", "uniform"):
@@ -312,42 +309,79 @@ class QuantileTransform(Scaler):
         return Needs(aggregates={"n": F.count(F.lit(1))})
 
     def learn(self, df, stats):
-        n = stats["n"]
-        if n == 0:
-            return {"knots": [], "refs": []}
-        k = min(n, self.KNOTS)
-        refs = [i / (k - 1) for i in range(k)] if k > 1 else [0.0]
-        x = filled(df, self.column)
-        probs = F.array(*[F.lit(p) for p in refs])
-        if n <= self.EXACT_ROWS:
-            pick = F.percentile(x, probs)
-        else:
-            pick = F.percentile_approx(x, refs, 1_000_000)
-        return {"knots": list(df.agg(pick.alias("q")).first()["q"]), "refs": refs}
+        k = min(stats["n"], self.KNOTS)
+        refs = [i / (k - 1) for i in range(k)] if k > 1 else [0.0] * k
+        # equal knots are one knot with the range of quantiles that it covers
+        knots: list[list[float]] = []
+        for x, p in zip(ranked_quantiles(df.select(filled(df, self.column).alias("x")), "x", refs), refs, strict=True):
+            if knots and knots[-1][0] == x:
+                knots[-1][2] = p
+            else:
+                knots.append([x, p, p])
+        return {"knots": knots}
 
     def scaled(self, x, stats):
-        knots = np.maximum.accumulate(np.array(stats["knots"], dtype=float))
-        refs, normal, edge = np.array(stats["refs"]), self.output == "normal", self.EDGE
-        if not len(knots):
+        knots = stats["knots"]
+        if not knots:
             return x
+        low, high = knots[0][0], knots[-1][0]
+        values, firsts, lasts = (F.array(*[F.lit(float(k[i])) for k in knots]) for i in range(3))
+        margin = self.EDGE if self.output == "normal" else 0.0
+
+        def quantile(place: Column) -> Column:
+            at, after = F.get(values, place), F.get(values, place + 1)
+            between = F.get(lasts, place) + (x - at) / (after - at) * (F.get(firsts, place + 1) - F.get(lasts, place))
+            inside = F.when(x == at, (F.get(firsts, place) + F.get(lasts, place)) / 2).otherwise(between)
+            p = F.when(x - margin < low, 0.0) if margin else F.when(x <= low, 0.0)
+            p = p.when(x + margin > high, 1.0) if margin else p.when(x >= high, 1.0)
+            return p.otherwise(inside)
+
+        p = _once(_last_not_above(x, values, len(knots)), quantile)
+        if self.output == "uniform":
+            return p
+        return _once(F.least(F.greatest(p, F.lit(self.EDGE)), F.lit(1 - self.EDGE)), normal_score)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last_not_above(x: Column, values: Column, n: int) -> Column:
+    """The place of the last of ``n`` sorted values that isn't above ``x`` (0 if all are), by halving."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+
+    def move(place: Column, step: Column) -> Column:
+        further = F.coalesce(F.get(values, place + step) <= x, F.lit(False))
+        return F.when(further, place + step).otherwise(place)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)
+
+
+# A public rational approximation of the normal quantile (relative error under 1.2e-9).
+_CENTRE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+           (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
+_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+         (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+_TAIL_FROM = 0.02425
+
+
+def normal_score(p: Column) -> Column:
+    """The standard normal quantile of a probability strictly between 0 and 1."""
+
+    def polynomial(x: Column, factors: tuple) -> Column:
+        total = F.lit(factors[0])
+        for f in factors[1:]:
+            total = total * x + F.lit(f)
+        return total
+
+    def tail(q: Column) -> Column:
+        r = F.sqrt(-2 * F.log(q))
+        return polynomial(r, _TAIL[0]) / polynomial(r, _TAIL[1])
 
-        @F.pandas_udf("double")
-        def place(values: pd.Series) -> pd.Series:
-            v = values.to_numpy(dtype=float)
-            up = np.interp(v, knots, refs)
-            down = -np.interp(-v, -knots[::-1], -refs[::-1])
-            p = (up + down) / 2
-            margin = edge if normal else 0.0
-            high = v + margin > knots[-1] if normal else v >= knots[-1]
-            low = v - margin < knots[0] if normal else v <= knots[0]
-            p = np.where(low, 0.0, np.where(high, 1.0, p))
-            if not normal:
-                return pd.Series(p)
-            score = NormalDist().inv_cdf
-            p = np.clip(p, edge - np.spacing(1), 1 - (edge - np.spacing(1)))
-            return pd.Series([score(q) for q in p], dtype=float)
-
-        return place(x)
+    q = p - 0.5
+    centre = polynomial(q * q, _CENTRE[0]) * q / polynomial(q * q, _CENTRE[1])
+    return F.when(p < _TAIL_FROM, tail(p)).when(p > 1 - _TAIL_FROM, -tail(1 - p)).otherwise(centre)
 
 
 # ---- binning --------------------------------------------------------------------

@@ -27,8 +27,6 @@ from scrubline.session import stage_table
 PROBES = 32
 MAX_PROBES = 512
 ROUND_PAIRS = 1 << 20
-# a column with at most this many values is merged without blocks
-SMALL_DICTIONARY = 256
 # similar pairs up to this number are settled in one pass over the sorted ids
 DRIVER_EDGES = 200_000
 # grams whose frequency is known to every task; the rest count as rare
@@ -395,33 +393,6 @@ def category_mapping(df: DataFrame, column: str, threshold: int = 80) -> DataFra
         .withColumn("s", token_sorted(F.col("v")))
         .where("s <> ''")
     )
-    few = counts.limit(SMALL_DICTIONARY + 1).collect()
-    if len(few) <= SMALL_DICTIONARY:
-        merged = _merge_few([(r["v"], r["n"], r["s"]) for r in few], threshold)
-        return df.sparkSession.createDataFrame(merged, "raw string, canonical string, similarity int, n long")
-    return _merge_many(counts, threshold)
-
-
-def _merge_few(values: list[tuple[str, int, str]], threshold: int) -> list[tuple[str, str, int, int]]:
-    """The mapping of a dictionary of a few hundred values at most."""
-    values = sorted(values, key=lambda r: (-r[1], r[0]))
-    mapped: dict[str, tuple[str, int, int]] = {}
-    for v, n, s in values:
-        best = 0, None
-        for other, m, t in values:
-            if m < n:
-                break
-            if other != v and other not in mapped:
-                near = ratio(s, t)
-                if near > best[0]:
-                    best = near, other
-        if best[0] >= threshold:
-            mapped[v] = best[1], best[0], n
-    return [(v, *target) for v, target in mapped.items()]
-
-
-def _merge_many(counts: DataFrame, threshold: int) -> DataFrame:
-    """The mapping of any number of values, by candidate blocks."""
     ordered = dense_index(counts.withColumn("o", F.struct((-F.col("n")).alias("n"), "v")), "o")
     values = stage_table(ordered.select("v", "n", F.col("idx").alias("pos"), "s"), "values")
     texts = stage_table(values.groupBy("s").agg(F.min("pos").alias("id")), "distinct-texts")

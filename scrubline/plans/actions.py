@@ -130,7 +130,7 @@ CLEANING: dict[str, Maker] = {
     "fix_encoding": lambda a, o: c.FixEncoding(a.column_name),
     "convert_type": lambda a, o: c.ConvertType(a.column_name, a.parameters.get("target_type", "str"), a.parameters.get("remove_chars")),
     "parse_dates": lambda a, o: c.ParseDates(a.column_name, a.parameters.get("target_format", "%Y-%m-%d")),
-    "fill_missing": lambda a, o: c.fill_step(a.column_name, a.parameters.get("strategy", "mode"), a.parameters.get("value"), o),
+    "fill_missing": lambda a, o: c.fill_step(a.column_name, a.parameters.get("strategy", "mode"), a.parameters.get("value"), o, text_cells=a.parameters.get("text_cells", "refuse")),
     "standardize_categorical": _categories,
     "handle_outlier": lambda a, o: c.HandleOutliers(a.column_name, a.parameters.get("action", "cap"), a.parameters.get("multiplier", 1.5)),
     "remove_duplicates": _duplicates,

@@ -1,4 +1,7 @@
-"""Running a plan: approved actions in order, failures logged and skipped.
+"""Running a plan: approved actions in order, faults of an action logged and the action skipped.
+
+A fault is a bad parameter, a missing column or data that a step refuses. Anything else, such as a
+lost executor or a full disk, ends the run: half a cleaned table must not look like a whole one.
 
 Actions on different columns are fitted together: an action joins the current batch
 unless it reads a column that the batch already rewrites, or either of them changes the
@@ -14,9 +17,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.functions.numbers import is_numeric_type, to_double
+
 from scrubline.operators import cleaning as c
 from scrubline.operators.dedup import RemoveDuplicates
 from scrubline.operators.features import (
@@ -37,6 +43,7 @@ LOG_SCHEMA = (
     "columns_added array<string>, columns_removed array<string>"
 )
 SAMPLE = 3
+FAULTS = (ValueError, TypeError, KeyError, AnalysisException, IllegalArgumentException, ParseException)
 
 # steps after which rows are gone, columns have other names, or rows were re-read
 BARRIERS = (
@@ -87,6 +94,7 @@ class Execution:
     source: DataFrame
     records: list[Record] = field(default_factory=list)
     batches: list[list[Record]] = field(default_factory=list)
+    order_by: str | None = None
 
     @property
     def executed(self) -> int:
@@ -103,10 +111,11 @@ class Execution:
         for i, r in enumerate(self.records):
             name = r.action.column_name
             shown = samples and r.step is not None and name is not None
+            order = self.order_by
             rows.append(
                 (
                     i, r.action.id, name, r.action.action_type, counts.get(i, 0),
-                    _sample(r.before, name) if shown else [], _sample(r.after, name) if shown else [],
+                    _sample(r.before, name, order) if shown else [], _sample(r.after, name, order) if shown else [],
                     r.status, r.error, r.columns_added, r.columns_removed,
                 )
             )
@@ -126,9 +135,9 @@ class Execution:
                     out[i] = _barrier_rows(r)
                 elif r.action.column_name in r.after.columns and r.action.column_name in flagged.columns:
                     name = r.action.column_name
-                    old = F.col(f"__old{i}")
-                    flagged = r.fitted.transform(flagged.withColumn(f"__old{i}", col(name).cast("string")))
-                    aggs.append(F.count_if(~old.eqNullSafe(col(name).cast("string"))).alias(f"r{i}"))
+                    kind = flagged.schema[name].dataType
+                    flagged = r.fitted.transform(flagged.withColumn(f"__old{i}", col(name)))
+                    aggs.append(F.count_if(_changed(F.col(f"__old{i}"), kind, col(name), flagged.schema[name].dataType)).alias(f"r{i}"))
                 else:
                     flagged = r.fitted.transform(flagged)
             if aggs:
@@ -147,6 +156,14 @@ class Execution:
         }
 
 
+def _changed(old: Column, old_kind, new: Column, new_kind) -> Column:
+    """Whether a cell means something else: a number written as text is the same number."""
+    same = old.cast("string").eqNullSafe(new.cast("string"))
+    if old_kind != new_kind and is_numeric_type(new_kind) and not is_numeric_type(old_kind):
+        same = same | F.coalesce(to_double(old.cast("string")) == new.cast("double"), F.lit(False))
+    return ~same
+
+
 def _barrier_rows(r: Record) -> int:
     name = r.action.column_name
     if isinstance(r.step, FillDirection):
@@ -157,16 +174,18 @@ def _barrier_rows(r: Record) -> int:
     return r.before.count() - r.after.count()
 
 
-def _sample(df: DataFrame, name: str) -> list[str]:
+def _sample(df: DataFrame, name: str, order_by: str | None) -> list[str]:
+    """The first values in the order of the rows, or the smallest without one: the same on every run."""
     if df is None or name not in df.columns:
         return []
-    known = df.select(col(name).cast("string").alias("v")).where("v is not null")
-    return [row["v"] for row in known.limit(SAMPLE).collect()]
+    known = df.where(col(name).isNotNull())
+    known = known.orderBy(col(order_by)) if order_by and order_by in df.columns else known.orderBy(col(name).cast("string"))
+    return [row["v"] for row in known.select(col(name).cast("string").alias("v")).limit(SAMPLE).collect()]
 
 
 def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None) -> Execution:
     """Execute the approved actions of a cleaning or feature plan."""
-    run = Execution(df, df)
+    run = Execution(df, df, order_by=order_by)
     pending: list[tuple[Record, Step]] = []
     written: set[str] = set()
 
@@ -179,7 +198,7 @@ def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None) -> Executio
             record.before, record.step, record.fitted = run.df, fitted.step, fitted
             try:
                 run.df = fitted.transform(run.df)
-            except Exception as e:
+            except FAULTS as e:
                 record.status, record.error, record.step = "failed", _reason(e), None
             record.after = run.df
         done = [r for r, _ in pending if r.step is not None]
@@ -202,7 +221,7 @@ def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None) -> Executio
             step.check(run.df)
             if isinstance(step, TargetEncode) and step.target not in run.df.columns:
                 raise ValueError(f"target_column '{step.target}' not found")
-        except Exception as e:
+        except FAULTS as e:
             record.status, record.error = "failed", _reason(e)
             continue
         pending.append((record, step))
@@ -221,17 +240,17 @@ def _absent(action: Action, df: DataFrame) -> bool:
 def _fit_batch(df: DataFrame, pending) -> list[tuple[Record, Fitted | None]]:
     try:
         return list(zip([r for r, _ in pending], fit_all(df, [s for _, s in pending]), strict=True))
-    except Exception:
+    except FAULTS:
         # one of them cannot be fitted: find out which, keep the others
         out: list[tuple[Record, Fitted | None]] = []
         for record, step in pending:
             try:
                 out.append((record, fit_all(df, [step])[0]))
-            except Exception as e:
+            except FAULTS as e:
                 record.status, record.error = "failed", _reason(e)
                 out.append((record, None))
         return out
 
 
 def _reason(e: Exception) -> str:
-    return str(e).split("\n")[0][:500]
+    return str(e)

@@ -52,7 +52,7 @@ def propose(df: DataFrame, row_id: str | None = None) -> tuple[DataFrame, Plan]:
     data = df.drop(row_id) if row_id else df
     profile = profile_table(data)
     extra = duplicate_count(data).first()["extra_rows"]
-    return profile, recommend_cleaning(profile, extra)
+    return profile, recommend_cleaning(profile, extra, dict(data.dtypes))
 
 
 def prepare(

@@ -17,18 +17,24 @@ CLEANING_ORDER = (
 )
 ONE_HOT_MAX = 10
 HIGH_CARDINALITY = 50
+# whole numbers of which at least this share of rows differ are identifiers
+ID_SHARE = 0.9
+NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 SKEWED = 1.0
 
 
-def recommend_cleaning(profile: DataFrame, extra_rows: int = 0) -> Plan:
+def recommend_cleaning(profile: DataFrame, extra_rows: int = 0, typed: dict[str, str] | None = None) -> Plan:
     """Actions for the issues of a profile table, ordered by kind.
 
-    ``extra_rows`` is the number of exact duplicates beyond the first of each group.
+    ``extra_rows`` is the number of exact duplicates beyond the first of each group, ``typed`` the
+    types of the columns: a column that is numeric already keeps its type, whole numbers stay
+    whole, and identifiers are never filled or capped.
     """
     found: list[dict[str, Any]] = []
     estimate = extra_rows
+    typed = typed or {}
     for row in profile.orderBy("position").collect():
-        for action in _column_actions(row):
+        for action in _column_actions(row, typed.get(row["column_name"])):
             found.append(action)
         estimate += row["missing_count"] + (row["outlier_count"] or 0)
     if extra_rows:
@@ -44,15 +50,24 @@ def _action(column, kind, parameters, reason, priority) -> dict[str, Any]:
     }
 
 
-def _column_actions(row) -> list[dict[str, Any]]:
+def _is_identifier(row) -> bool:
+    """Whole numbers that hardly repeat, or a column of that meaning."""
+    whole = row["integer_count"] >= 0.95 * max(row["present"], 1)
+    return row["semantic_type"] == "id" or (whole and row["unique_count"] >= ID_SHARE * max(row["total"], 1))
+
+
+def _column_actions(row, dtype: str | None = None) -> list[dict[str, Any]]:
     name, kind = row["column_name"], row["detected_type"]
+    is_number = dtype is not None and dtype.split("(")[0] in NUMBER_TYPES
+    identifier = kind == "numeric" and _is_identifier(row)
     if kind == "unknown":
         return [_action(name, "trim_whitespace", {}, "no values", "low")]
     out = []
     if kind in ("categorical", "text"):
         out.append(_action(name, "trim_whitespace", {}, "text column", "medium"))
-    if kind == "numeric":
-        out.append(_action(name, "convert_type", {"target_type": "float", "remove_chars": ["$", ","]}, "numeric text", "high"))
+    if kind == "numeric" and not is_number:
+        target = "int" if identifier else "float"
+        out.append(_action(name, "convert_type", {"target_type": target, "remove_chars": ["$", ","]}, "numeric text", "high"))
     if kind == "boolean":
         out.append(_action(name, "convert_type", {"target_type": "bool"}, "boolean words", "medium"))
     if kind == "datetime":
@@ -61,10 +76,10 @@ def _column_actions(row) -> list[dict[str, Any]]:
         out.append(_action(name, "standardize_categorical", {"threshold": 80}, "variants of one value", "medium"))
     if row["missing_count"] or (kind == "numeric" and row["non_numeric_count"]):
         strategy = {"numeric": "median", "datetime": "mode", "categorical": "mode", "boolean": "mode"}.get(kind)
-        if strategy and kind != "boolean":
+        if strategy and kind != "boolean" and not identifier:
             priority = "high" if row["missing_pct"] > 20 else "medium"
             out.append(_action(name, "fill_missing", {"strategy": strategy}, f"{row['missing_count']} missing", priority))
-    if kind == "numeric" and row["outlier_count"] and row["semantic_type"] != "id":
+    if kind == "numeric" and row["outlier_count"] and not identifier:
         out.append(_action(name, "handle_outlier", {"method": "iqr", "action": "cap"}, f"{row['outlier_count']} outliers", "medium"))
     return out
 

@@ -28,6 +28,7 @@ FORMATS = {
 }
 RANGE_BYTES = 64 << 20
 EXTRA = "__extra_cell"
+LINE = "__line"
 
 
 @dataclass
@@ -72,6 +73,19 @@ def _valid_utf8(data: bytes, at_start: bool) -> bool:
     return True
 
 
+def _first_record(f, data: bytes) -> bytes:
+    """The start of a file to the end of its first line with text, and ``SNIFF_CHARS * 4`` bytes at least."""
+    while True:
+        text = data.lstrip(b" \t\r\n\xef\xbb\xbf")
+        ends = [x for x in (text.find(b"\n"), text.find(b"\r")) if x >= 0]
+        if ends:
+            return data[: max(len(data) - len(text) + min(ends) + 1, SNIFF_CHARS * 4)]
+        more = f.read(1 << 20)
+        if not more:
+            return data
+        data += more
+
+
 def sniff_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """(path, delimiter, encoding, header): one row per file.
 
@@ -91,7 +105,8 @@ def sniff_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame
                 with _open(uri) as f:
                     f.seek(start)
                     data = f.read(RANGE_BYTES if whole else SNIFF_CHARS * 4)
-                rows.append((uri, _valid_utf8(data, start == 0), data[: SNIFF_CHARS * 4] if start == 0 else None))
+                    head = _first_record(f, data) if start == 0 else None
+                rows.append((uri, _valid_utf8(data, start == 0), head))
             yield pd.DataFrame(rows, columns=["path", "utf8", "head"])
 
     seen = ranges.repartition("path", "start").mapInPandas(look, "path string, utf8 boolean, head binary")
@@ -107,7 +122,7 @@ def sniff_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame
         "path",
         F.array_max(F.array(*counts))["d"].alias("delimiter"),
         F.when(F.col("utf8"), "UTF-8").otherwise("windows-1252").alias("encoding"),
-        F.regexp_extract(F.ltrim(sample), r"^\ufeff?([^\r\n]*)", 1).alias("header"),
+        F.regexp_extract(F.ltrim(text), r"^\ufeff?([^\r\n]*)", 1).alias("header"),
     )
 
 
@@ -133,8 +148,9 @@ def read_delimited(
     """Delimited text as an all-string table.
 
     Delimiter, encoding and header are found per file; files that agree are read
-    together. Rows with fewer cells than the header are padded, rows with more are left
-    out and can be looked at in ``rejected``.
+    together. A header name that was there before gets a number, an empty one its place.
+    Rows with fewer cells than the header are padded, rows with more are left out, counted in
+    ``warnings``, and can be looked at in ``rejected``, with the whole line in ``__line``.
     """
     layouts: dict[tuple[str, str, str], list[str]] = {}
     # one row per input file
@@ -143,22 +159,43 @@ def read_delimited(
         layouts.setdefault(key, []).append(row["path"])
     parts, rejected = [], []
     for (sep, enc, header), paths in sorted(layouts.items()):
-        names = next(csv.reader([header], delimiter=sep), [])
+        names = header_names(header, sep)
         if not names:
             continue
         read = _read_csv(spark, paths, names, sep, enc, multiline)
         parts.append(read.where(f"{EXTRA} is null").drop(EXTRA))
-        rejected.append(read.where(f"{EXTRA} is not null").drop(EXTRA))
+        # a line with many cells too many is told by the parser, one with a single one is put together again
+        whole = _read_csv(spark, paths, names, sep, enc, multiline, line=True).where(f"{EXTRA} is not null")
+        cells = F.to_csv(F.struct(*[col(n) for n in names], F.col(EXTRA)), {"sep": sep})
+        rejected.append(whole.withColumn(LINE, F.coalesce(LINE, cells)).drop(EXTRA))
     if not parts:
         raise ValueError(f"no delimited text in {path}")
     together = lambda dfs: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
     warnings = [] if len(layouts) == 1 else [f"{len(layouts)} layouts (delimiter, encoding, header)"]
-    return Source(together(parts), "csv", path, warnings, together(rejected))
-
-
-def _read_csv(spark, paths, names, sep, enc, multiline=False) -> DataFrame:
+    left_out = together(rejected)
+    n = left_out.count()
+    if n:
+        warnings.append(f"{n} rows with more cells than the header")
+    return Source(together(parts), "csv", path, warnings, left_out)
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header line, each of them different and none empty."""
+    out: list[str] = []
+    for i, name in enumerate(next(csv.reader([header], delimiter=sep), [])):
+        base = name if name.strip() else f"column_{i + 1}"
+        new, k = base, 0
+        # Spark doesn't tell names apart by case
+        while new.lower() in {x.lower() for x in out}:
+            k += 1
+            new = f"{base}.{k}"
+        out.append(new)
+    return out
+
+
+def _read_csv(spark, paths, names, sep, enc, multiline=False, line=False) -> DataFrame:
     # a cell beyond the header lands in the extra column
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA)])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA, *([LINE] if line else []))])
     latin = enc.lower() == "windows-1252"
     read = (
         spark.read.schema(schema)
@@ -169,6 +206,9 @@ def _read_csv(spark, paths, names, sep, enc, multiline=False) -> DataFrame:
         .option("encoding", "ISO-8859-1" if latin else enc)
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
+        .option("enforceSchema", True)
+        .option("columnNameOfCorruptRecord", LINE)
+        .option("maxColumns", max(20_480, 2 * len(names)))
         .csv(paths)
     )
     return read.withColumns({c: _as_cp1252(col(c)) for c in names}) if latin else read
@@ -278,10 +318,16 @@ def _root_tag(spark: SparkSession, path: str) -> str:
     first = list_files(spark, path).orderBy("path").first()["path"]
     with _open(first) as f:
         head = f.read(SNIFF_CHARS * 4).decode("utf-8", "replace")
-    found = re.search(r"<([A-Za-z_][\w.:-]*)", re.sub(r"<!--.*?-->", "", head, flags=re.S))
-    if not found:
-        raise ValueError(f"no XML element in {first}")
-    return found.group(1)
+        while True:
+            plain = re.sub(r"<!--.*?-->", "", head, flags=re.S)
+            # an open comment may hold tags: read on to its end
+            found = re.search(r"<([A-Za-z_][\w.:-]*)", plain.partition("<!--")[0])
+            if found:
+                return found.group(1)
+            more = f.read(1 << 20)
+            if not more:
+                raise ValueError(f"no XML element in {first}")
+            head += more.decode("utf-8", "replace")
 
 
 # ---- dispatch -------------------------------------------------------------------
@@ -332,33 +378,41 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
 
 
 def file_metadata(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """(file_name, format, encoding, size_bytes, row_count, col_count) per file."""
+    """(file_name, format, encoding, size_bytes, row_count, col_count, rejected_rows) per file."""
     if fmt == "csv":
         layouts: dict[tuple[str, str, str], list[str]] = {}
         for r in sniff_files(spark, path).collect():
             layouts.setdefault((r["delimiter"], r["encoding"], r["header"]), []).append(r["path"])
         parts = []
         for (sep, enc, header), paths in sorted(layouts.items()):
-            names = next(csv.reader([header], delimiter=sep), [])
+            names = header_names(header, sep)
             df = _read_csv(spark, paths, names, sep, enc)
-            parts.append(_per_file(df.where(f"{EXTRA} is null"), fmt, enc, len(names)))
+            parts.append(_per_file(df, fmt, enc, len(names), F.col(EXTRA).isNotNull()))
         return reduce(DataFrame.unionByName, parts)
-    if fmt == "json":
-        df = spark.read.option("primitivesAsString", True).json(path)
+    if fmt in ("json", "jsonl"):
+        # a document may be a whole file, a line is a record
+        df = spark.read.option("primitivesAsString", True).option("multiLine", fmt == "json").json(path)
+        return _per_file(df, fmt, "UTF-8", len(df.columns))
+    if fmt == "xml":
+        tag = _repeating_tag(spark, path)
+        df = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(path)
         return _per_file(df, fmt, "UTF-8", len(df.columns))
     df = spark.read.parquet(path)
     return _per_file(df, fmt, None, len(df.columns))
 
 
-def _per_file(df: DataFrame, fmt: str, encoding: str | None, columns: int) -> DataFrame:
-    named = df.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("size_bytes"))
-    return named.groupBy("file_name", "size_bytes").agg(F.count("*").alias("row_count")).select(
+def _per_file(df: DataFrame, fmt: str, encoding: str | None, columns: int, bad: Column | None = None) -> DataFrame:
+    bad = F.lit(False) if bad is None else bad
+    named = df.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("size_bytes"), bad.alias("bad"))
+    counts = named.groupBy("file_name", "size_bytes").agg(F.count_if(~F.col("bad")).alias("row_count"), F.count_if("bad").alias("rejected_rows"))
+    return counts.select(
         "file_name",
         F.lit(fmt).alias("format"),
         F.lit(encoding).cast("string").alias("encoding"),
         "size_bytes",
         "row_count",
         F.lit(columns).alias("col_count"),
+        "rejected_rows",
     )
 
 

@@ -9,6 +9,7 @@ import pytest
 from scrubline.operators import analysis as a
 from scrubline.operators import features as f
 from scrubline.operators import lookup
+from scrubline.operators.cleaning import MapCategories
 
 
 def frame(spark, values, kind="double"):
@@ -21,15 +22,12 @@ def run(spark, step, values, kind="double", column="c"):
 
 @pytest.fixture(scope="module")
 def people(spark):
-    rng = np.random.default_rng(42)
+    """Eighty made-up households: two spread columns, one flat, one with a tail, two groupings."""
     rows = [
-        (
-            float(rng.integers(18, 70)), float(rng.lognormal(10, 1)), float(rng.uniform(0, 100)), str(rng.choice(list("ABC"))),
-            f"City_{rng.integers(0, 60)}", str(rng.choice(["low", "medium", "high"])), 5.0,
-        )
-        for _ in range(100)
-    ]
-    return spark.createDataFrame(rows, "age double, salary double, score double, category string, city string, tier string, constant double")
+        (20.0 + (i * 37) % 61, 900.0 * 1.07 ** (i % 40), (i * i) % 97 / 10, "north south west".split()[i % 3], f"street {i % 50}", ["own", "rent"][i // 7 % 2], 2.5)
+        for i in range(80)
+    ]
+    return spark.createDataFrame(rows, "years double, income double, index double, region string, street string, tenure string, rooms double")
 
 
 def test_one_hot(spark):
@@ -39,10 +37,18 @@ def test_one_hot(spark):
     assert "c_a" in f.OneHotEncode("c", drop_first=False).run(frame(spark, ["a"], "string")).columns
 
 
-def test_one_hot_refuses_an_explosion(spark, monkeypatch):
-    monkeypatch.setattr(f, "MAX_ONE_HOT", 2)
-    with pytest.raises(ValueError):
-        f.OneHotEncode("c").run(frame(spark, ["a", "b", "c"], "string"))
+def test_one_hot_of_many_categories(spark):
+    out = f.OneHotEncode("c").run(frame(spark, [f"v{i:04}" for i in range(1500)], "string"))
+    assert len(out.columns) == 1500 and out.where("id = 1499").first()["c_v1499"] == 1
+
+
+def test_long_orders_and_mappings(spark):
+    order = [f"v{i}" for i in range(5000)]
+    assert run(spark, f.LabelEncode("c", order), ["v4999", "v0", "no", None], "string") == [4999, 0, -1, -1]
+    for n in (10, 100):
+        mapping = {f"v{i}": None if i == 3 else f"m{i}" for i in range(n)}
+        out = MapCategories("c", mapping).run(frame(spark, [" v3 ", "v5", "x", None], "string")).orderBy("id")
+        assert [r["c"] for r in out.collect()] == [None, "m5", "x", None]
 
 
 def test_label_and_ordinal(spark):
@@ -175,38 +181,39 @@ def test_interactions_and_polynomials(spark):
 
 
 def test_selection(spark, people):
-    assert "constant" not in f.DropLowVariance(0.01).run(people).columns
-    assert "city" not in f.DropHighCardinality(30).run(people).columns
+    assert "rooms" not in f.DropLowVariance(0.01).run(people).columns
+    assert "street" not in f.DropHighCardinality(30).run(people).columns
     df = spark.createDataFrame([(float(i), float(i), float(5 - i)) for i in range(5)], "a double, b double, c double")
     assert f.DropCorrelated(0.95).run(df).columns == ["a"]
     with pytest.raises(ValueError):
         f.DropLowVariance(100.0).run(df)
 
 
-def test_correlations_of_many_columns(spark, monkeypatch):
+@pytest.mark.parametrize("columns", [5, 13])
+def test_correlations(spark, columns):
     rng = np.random.default_rng(0)
-    data = rng.normal(1e6, 1, (200, 5))
+    data = rng.normal(1e6, 1, (200, columns))
     data[:, 3] = data[:, 0] * 2
     data[:, 4] = 7.0
     rows = [[None if (i + j) % 11 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(data)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
-    few = a.correlations(df)
-    monkeypatch.setattr(a, "MATRIX_COLUMNS", 2)
-    many = a.correlations(df)
-    assert few.keys() == many.keys()
-    for pair in few:
-        assert (few[pair] is None) == (many[pair] is None), pair
-        if few[pair] is not None:
-            assert many[pair] == pytest.approx(few[pair], abs=1e-6)
-    assert few["a", "d"] == pytest.approx(1.0) and few["a", "e"] is None
+    names = [f"c{j}" for j in range(columns)]
+    got = a.correlations(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3))
+    assert len(got) == columns * (columns - 1) // 2
+    for i in range(columns):
+        for j in range(i + 1, columns):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            if 4 in (i, j):
+                assert got[names[i], names[j]] is None
+            else:
+                assert got[names[i], names[j]] == pytest.approx(np.corrcoef(np.array(both).T)[0, 1], abs=1e-6)
 
 
 def test_analysis(people):
-    rows = {r["column_name"]: r for r in a.analyze_columns(people, "salary").collect()}
-    x = np.array([r["age"] for r in people.collect()])
+    rows = {r["column_name"]: r for r in a.analyze_columns(people, "income").collect()}
+    x = np.array([r["years"] for r in people.collect()])
     n, z = len(x), (x - x.mean()) / x.std()
-    assert rows["age"]["skewness"] == pytest.approx((z**3).mean() * math.sqrt(n * (n - 1)) / (n - 2), abs=1e-3)
-    assert rows["city"]["unique_count"] > 30 and rows["city"]["type"] == "categorical"
-    assert rows["constant"]["coefficient_of_variation"] == 0.0
-    assert rows["constant"]["correlation_with_target"] is None
-    assert [r["column_name"] for r in a.low_variance_columns(people).collect()] == ["constant"]
+    assert rows["years"]["skewness"] == pytest.approx((z**3).mean() * math.sqrt(n * (n - 1)) / (n - 2), abs=1e-3)
+    assert rows["street"]["unique_count"] > 30 and rows["street"]["type"] == "categorical"
+    assert rows["rooms"]["coefficient_of_variation"] == 0.0
+    assert rows["rooms"]["correlation_with_target"] is None
+    assert [r["column_name"] for r in a.low_variance_columns(people).collect()] == ["rooms"]

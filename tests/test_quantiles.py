@@ -43,6 +43,16 @@ def test_a_wrong_bracket_is_noticed(spark, monkeypatch):
     check(spark, np.arange(1000) / 10)
 
 
-def test_fine_pass(spark, monkeypatch):
-    monkeypatch.setattr(q, "FINE_ABOVE", 10)
-    check(spark, np.random.default_rng(2).normal(size=2000))
+def test_wide_brackets_are_narrowed(spark, monkeypatch):
+    """However many values a bracket holds, only a few of them come to the driver."""
+    monkeypatch.setattr(q, "ACCURACY", 100)
+    monkeypatch.setattr(q, "GATHER", 20)
+    check(spark, np.random.default_rng(2).normal(size=5000))
+    check(spark, np.repeat([1.0, 2.0, 3.0], 500))
+
+
+def test_ranked_quantiles(spark):
+    data = np.random.default_rng(3).normal(size=3000).round(2)
+    probs = [i / 50 for i in range(51)]
+    df = spark.createDataFrame([(float(x),) for x in data] + [(None,)], "x double")
+    assert np.allclose(q.ranked_quantiles(df, "x", probs), np.quantile(data, probs))

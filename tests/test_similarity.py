@@ -115,9 +115,7 @@ def brute_mapping(values, threshold):
     return sorted(mapped.items())
 
 
-@pytest.mark.parametrize("few", [256, 0])
-def test_category_mapping(spark, monkeypatch, few):
-    monkeypatch.setattr(s, "SMALL_DICTIONARY", few)
+def test_category_mapping(spark):
     rnd = random.Random(4)
     kinds = ["electronics", "Electronics", "ELECTRONICS", "Elect.", "home decor", "decor, home", "toys", "toy", "US", "USA"]
     values = [mutate(rnd, rnd.choice(kinds)) for _ in range(200)]
