@@ -327,7 +327,7 @@ def _wide_lines(spark, sf):
     path = shared_path(spark, "wide")
     header = ",".join(["order", "line", "order", ""] + [f"a rather long column name {i}" for i in range(_WIDE)])
     cells = F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    bad = F.when(F.col("l_orderkey") % 97 == 0, "," * _WIDE + "extra").otherwise("")
+    bad = F.when(F.col("l_orderkey") % 97 == 0, "," * (_WIDE + 1) + "extra").otherwise("")
     rows = table(spark, sf, "lineitem").select(F.concat(cells, bad).alias("value"))
     rows.repartition(4, "value").mapInPandas(_with_header(header), "value string").write.text(path)
     return path
