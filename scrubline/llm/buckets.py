@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from scrubline.llm.graph import components
 from scrubline.session import stage_table
 
-GROWTH = 4
+GROWTH = 8
+# a blob of at least this many ids is compared by SALTS tasks
+LARGE = 500
+SALTS = 16
+# tables of up to this many rows of two numbers travel to every executor
+SMALL_ROWS = 500_000
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -28,72 +33,62 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(id, component) of the graph of all pairs that share a bucket and are similar enough.
 
     ``members`` has distinct (key, id), ``sets`` (id, n, s) with the n distinct shingles of each id.
-    Each bucket first compares everything with its least id. The ids of buckets that then still hold
-    several components meet again by their rarest shingles: two sets of similarity t share one of the
-    ``n - ceil(t * n) + 1`` shingles that come first in any fixed order, so texts that share only their
-    common parts no longer meet, and no similar pair is lost. These smaller buckets start like
-    the first ones; then members picked by hash are compared with the members of other
-    components, four times as many in each round, until a bucket is one component or every pair
-    between its components has been compared.
+    Each bucket first compares everything with its least id, one pair for each member. Buckets that
+    then still hold several components are joined into blobs (components of the shared buckets), so that
+    an id and its shingles are one row. Members of a blob, picked by hash, are compared with the
+    members of other components, eight times as many in each round, until the blob is one
+    component or all pairs between its components have been compared: no link is lost. The comparison
+    is the condition of the join, so only links come out of it, and a large blob is split over tasks.
     """
-    label, crowd = _star(members, sets, similarity, None)
-    ids = crowd.select("id").distinct()
-    if ids.isEmpty():
-        return label
-    label, crowd = _star(_rare_shingles(stage_table(ids, "open"), sets, similarity), sets, similarity, label)
-    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    picked = GROWTH
-    while not crowd.isEmpty():
-        before = F.when(F.lit(picked == GROWTH), F.lit(0.0)).otherwise(F.lit(picked / GROWTH) / F.col("n"))
-        pivots = crowd.where((place >= before) & (place < F.lit(float(picked)) / F.col("n")))
-        pivots = pivots.select("key", F.col("id").alias("p"), F.col("component").alias("pc"))
-        pairs = pivots.join(crowd, "key").where("pc <> component")
-        pairs = pairs.groupBy(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).agg(
-            F.min(F.least("pc", "component")).alias("low"), F.max(F.greatest("pc", "component")).alias("high")
-        )
-        label = _merge(label, components(jaccard_links(pairs, sets, similarity), "low", "high"))
-        crowd = _still_open(crowd.where(F.col("n") > picked), label)
-        picked *= GROWTH
-    return label
-
-
-def _star(members: DataFrame, sets: DataFrame, similarity: float, label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Compare every bucket with its least id; (labels, the rows (key, id, n, component) of buckets that stay open)."""
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowd = stage_table(members.join(counts, "key"), "crowd")
-    own = crowd.withColumn("component", F.col("id")) if label is None else _labelled(crowd, label)
-    lead = own.groupBy("key").agg(F.min(F.struct("id", "component")).alias("lead"))
-    pairs = own.join(lead, "key").where("component <> lead.component").select(
-        F.col("lead.id").alias("a"), F.col("id").alias("b"),
-        F.least("lead.component", "component").alias("low"), F.greatest("lead.component", "component").alias("high"),
-    ).distinct()
-    merged = components(jaccard_links(pairs, sets, similarity), "low", "high")
-    label = stage_table(merged, "labels") if label is None else _merge(label, merged)
+    crowd = crowd.join(crowd.groupBy("key").agg(F.min("id").alias("lead")), "key")
+    pairs = crowd.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    label = stage_table(components(jaccard_links(pairs, sets, similarity)), "labels")
     # all pairs of a bucket of two have been compared
-    return label, _still_open(crowd.where("n > 2"), label)
+    wide = _labelled(crowd.where("n > 2"), label)
+    split = wide.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    wide = wide.join(split.select("key"), "key", "left_semi")
+    blobs = components(wide.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    blobs = stage_table(blobs.withColumnRenamed("component", "blob"), "blobs")
+    own = stage_table(sets.join(blobs, "id"), "open")
+    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
+    picked, start = 2 * GROWTH, 0
+    while not own.isEmpty():
+        own = _labelled(own, label)
+        sizes = own.groupBy("blob").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
+        sizes = stage_table(sizes.where(f"x <> y and m > {start}").select("blob", "m"), "sizes")
+        own = stage_table(own.join(_small(sizes), "blob"), "open")
+        pivots = own.where((place >= F.lit(float(start)) / F.col("m")) & (place < F.lit(float(picked)) / F.col("m")))
+        label = _merge(label, components(_links_in_blobs(pivots, own, similarity), "low", "high"))
+        own = own.drop("m", "component")
+        picked, start = picked * GROWTH, picked
+    return label
 
 
-def _labelled(crowd: DataFrame, label: DataFrame) -> DataFrame:
-    known = label.select(F.col("id").alias("i"), F.col("component").alias("c"))
-    return crowd.join(known, F.col("id") == F.col("i"), "left").select("key", "id", "n", F.coalesce("c", "id").alias("component"))
+def _links_in_blobs(pivots: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """(low, high): pairs of components that a similar pair of a pivot and another member connects."""
+    salts = F.when(F.col("m") >= LARGE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = pivots.select("blob", F.explode(salts).alias("salt"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("s").alias("ps"))
+    salt = F.when(F.col("m") >= LARGE, F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    right = own.select(F.col("blob").alias("b"), salt.alias("t"), "component", "n", "s")
+    shared = F.size(F.array_intersect("ps", "s"))
+    near = (
+        (F.col("blob") == F.col("b")) & (F.col("salt") == F.col("t")) & (F.col("pc") != F.col("component"))
+        & (F.least("pn", "n") >= F.lit(similarity) * F.greatest("pn", "n"))
+        & (shared >= F.lit(similarity) * (F.col("pn") + F.col("n") - shared))
+    )
+    return left.join(right, near).select(F.least("pc", "component").alias("low"), F.greatest("pc", "component").alias("high")).distinct()
 
 
-def _still_open(crowd: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows of buckets that lie in several components, with their components."""
-    own = stage_table(_labelled(crowd, label), "labelled")
-    split = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return stage_table(own.join(split.select("key"), "key", "left_semi"), "open")
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def _rare_shingles(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, id): the shingles of each id that come first by rarity among ``ids``, as many as similar sets must share one of."""
-    own = stage_table(sets.join(ids, "id", "left_semi").select("id", "n", F.explode("s").alias("key")), "tokens")
-    often = own.groupBy("key").agg(F.count("*").alias("often"))
-    ranked = own.join(often, "key").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("t"))
-    wanted = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
-    first = ranked.select("id", F.explode(F.slice("t", F.lit(1), wanted.cast("int"))).alias("t"))
-    # a shingle of one set joins nothing
-    return first.where("t.often > 1").select("t.key", "id")
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component of each id: itself where it has no link."""
+    known = _small(label).select(F.col("id").alias("__i"), F.col("component").alias("__c"))
+    return rows.join(known, F.col("id") == F.col("__i"), "left").withColumn("component", F.coalesce("__c", "id")).drop("__i", "__c")
 
 
 def _merge(label: DataFrame, merged: DataFrame) -> DataFrame:
