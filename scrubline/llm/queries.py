@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubline.llm import html_crf, language, pieces, pii, toxicity
-from scrubline.llm.divergence import quality_rules
+from scrubline.llm.divergence import COMMON_WORDS, quality_rules
 from scrubline.llm.latent import leaked
 from scrubline.llm.probminhash import near_duplicates
 from scrubline.llm.substring_dedup import repeated_passages
@@ -21,7 +21,7 @@ def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,43 @@ ALL = (
 QUERIES = {f.__name__: f for f in ALL}
 ORACLE: dict[str, str] = {}
 
+_COMMON = ", ".join(f"('{lang}', {words})" for lang, words in sorted(COMMON_WORDS.items()))
+ORACLE["op5_quality_divergence"] = f"""
+WITH common(ref, listed) AS (VALUES {_COMMON}),
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+best AS (SELECT r, max(struct_pack(n := len(list_intersect(list_transform(ws, lambda x: lower(x)), listed)), ref := ref)).ref AS ref FROM w, common GROUP BY r),
+b AS (SELECT w.*, CASE WHEN lang IN (SELECT ref FROM common) THEN lang ELSE best.ref END AS ref, len(ws) AS n_words FROM w JOIN best USING (r)),
+grams AS (SELECT r, i, ws[i:i + 4] AS gram FROM (SELECT r, ws, unnest(range(1, n_words - 3)) AS i FROM b)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) AS t(k) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM b)
+    WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+c AS (SELECT *, length(t) AS chars, list_sum(list_transform(ws, lambda x: length(x))) AS wc,
+    length(regexp_replace(t, '[^\\p{{Ll}}]', '', 'g')) AS low, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS up,
+    length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g')) AS dig, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS sym,
+    length(regexp_replace(t, '[^.,;:!?''"()\\-]', '', 'g')) AS stp FROM b),
+f AS (SELECT r, doc_id, ref, n_words, CAST(coalesce(wc, 0) AS BIGINT) AS word_chars, sym AS n_symbols, chars, ws,
+    [low, chars - coalesce(wc, 0), up, dig, sym, stp, coalesce(wc, 0) - low - up - dig - sym - stp] AS classes FROM c),
+bins AS (
+    SELECT r, ref, n_words, 'class' AS kind, k, classes[k] / greatest(chars, 1)::DOUBLE AS share FROM f, range(1, 8) AS t(k)
+    UNION ALL
+    SELECT f.r, ref, n_words, 'common', k, coalesce(h.n, 0) / greatest(n_words, 1)::DOUBLE
+    FROM f JOIN (SELECT ref, unnest(range(1, len(listed) + 2)) AS k FROM common) USING (ref)
+    LEFT JOIN (SELECT r, CASE WHEN list_contains(listed, word) THEN list_position(listed, word) ELSE len(listed) + 1 END AS k, count(*) AS n
+        FROM (SELECT r, ref, lower(unnest(ws)) AS word FROM f) JOIN common USING (ref) GROUP BY ALL) h USING (r, k)),
+means AS (SELECT ref, kind, k, avg(share) AS mean FROM bins WHERE n_words >= 30 GROUP BY ALL),
+apart AS (SELECT r, kind, sqrt(greatest(sum((CASE WHEN share > 0 THEN share * log2(share * 2 / (share + mean)) ELSE 0 END
+    + CASE WHEN mean > 0 THEN mean * log2(mean * 2 / (share + mean)) ELSE 0 END) / 2), 0)) AS d FROM bins JOIN means USING (ref, kind, k) GROUP BY r, kind),
+q AS (SELECT f.*, coalesce(covered.n, 0) AS repeated, coalesce(lines.n, 0) AS dup,
+    (SELECT d FROM apart a WHERE a.r = f.r AND kind = 'class') AS dc, (SELECT d FROM apart a WHERE a.r = f.r AND kind = 'common') AS dw
+    FROM f LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * repeated > 20 * n_words AS failed FROM q)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+    CAST(repeated AS BIGINT) AS n_repeat_words, failed AS base_failed,
+    NOT failed AND (n_words < 30 OR NOT coalesce(dc > 0.15 + 0.3 / sqrt(n_words) OR dw > 0.12 + 1.5 / sqrt(n_words), FALSE)) AS kept
+FROM v"""
+
 ORACLE["op10_warc_shards"] = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
     sha1(coalesce(html, '')) AS payload_digest FROM pages),
