@@ -100,9 +100,9 @@ def test_plan_runs_in_order_and_logs(sales):
     assert run.df.columns == ["row_id", "order_id", "name", "price", "qty", "date", "country"]
     assert run.df.count() == len(SALES) - 1
     changed = {k: r["rows_affected"] for k, r in rows.items()}
-    # copying the text "2" into the number 2.0 changes its text, filled or not
+    # the text "2" and the number 2.0 are the same number: only filled cells count
     assert changed == {
-        "a1": 1, "a2": 26, "a3": 26, "a4": 1, "a5": 4, "a6": 2, "a7": 1, "a8": 1, "a9": 1, "b1": 0, "b2": 0,
+        "a1": 1, "a2": 26, "a3": 2, "a4": 1, "a5": 4, "a6": 2, "a7": 1, "a8": 1, "a9": 1, "b1": 0, "b2": 0,
     }
     assert rows["b1"]["status"] == "skipped" and rows["b2"]["status"] == "failed"
     assert rows["a1"]["before_sample"][0] == " Ann " and rows["a1"]["after_sample"][0] == "Ann"
@@ -175,7 +175,7 @@ def test_prepare(spark, sales):
     path = shared_path(spark, "audit")
     done = prepare(sales, "row_id", features=True, target_column="price", audit_path=path)
     passed = {c[0]: c[1] for c in done.report.checks}
-    assert passed["No exact duplicates"] and passed["Row count"] and passed["Transformation success rate"]
+    assert passed["no_repeated_rows"] and passed["rows_kept"] and passed["actions_succeeded"]
     assert done.report.summary["after_quality_score"] >= done.report.summary["before_quality_score"]
     assert done.cleaned.count() == len(SALES) - 1 == done.features.df.count()
     assert done.features.succeeded == done.features.executed
@@ -194,14 +194,54 @@ def test_recommended_plans(sales):
     assert {a.action_type for a in features.actions if a.column_name == "country"} == {"one_hot_encode"}
 
 
+def test_other_errors_end_the_run(sales, monkeypatch):
+    """A fault of the plan is logged; a lost task must not look like a finished run."""
+    from scrubline.operators import cleaning
+
+    def lost(self, df, stats):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(cleaning.TrimWhitespace, "cell", lost)
+    with pytest.raises(RuntimeError):
+        run_plan(sales, Plan([Action("a", "trim_whitespace", "name")]), "row_id")
+
+
+def test_text_cells_of_a_number_fill(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["1", "twenty", "N/A", "3"])], "id long, q string")
+    run = run_plan(df, Plan([Action("a", "fill_missing", "q", {"strategy": "mean"})]), "id")
+    assert run.records[0].status == "failed" and run.df.collect() == df.collect()
+    run = run_plan(df, Plan([Action("a", "fill_missing", "q", {"strategy": "mean", "text_cells": "fill"})]), "id")
+    assert [r["q"] for r in run.df.orderBy("id").collect()] == [1.0, 2.0, 2.0, 3.0]
+
+
+def test_identifiers_stay_whole(spark):
+    df = spark.createDataFrame([(i, 10**17 + i if i else 999, f"{i}") for i in range(60)], "row_id long, order_id long, code string")
+    out = prepare(df, "row_id").cleaned
+    assert dict(out.dtypes) == {"row_id": "bigint", "order_id": "bigint", "code": "bigint"}
+    assert out.agg({"order_id": "max"}).first()[0] == 10**17 + 59
+
+
+def test_header_names():
+    assert readers.header_names("a,b,a,,A", ",") == ["a", "b", "a.1", "column_4", "A.2"]
+
+
+def test_rejected_lines_are_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,2\n3,4,5\n6,7,8,9\n')
+    source = readers.read_delimited(spark, str(tmp_path))
+    assert [tuple(r) for r in source.df.collect()] == [("1", "2")]
+    assert sorted(r[readers.LINE] for r in source.rejected.collect()) == ["3,4,5", "6,7,8,9"]
+    assert source.warnings == ["2 rows with more cells than the header"]
+    assert readers.file_metadata(spark, str(tmp_path), "csv").first()["rejected_rows"] == 2
+
+
 def test_checks(spark):
-    assert v.row_count_check(100, 85)[1:] == (True, "100 -> 85 rows (15 removed, 15.0% loss)", "warning")
+    assert v.row_count_check(100, 85) == ("rows_kept", True, 100.0, 85.0, [], "warning")
     assert not v.row_count_check(100, 80)[1] and not v.row_count_check(5, 0)[1]
     assert v.success_rate_check(0, 0)[1] and not v.success_rate_check(8, 10)[1]
     assert v.after_score(70, 10, 4, 30, 0) == 92.0 and v.after_score(99, 50, 0, 50, 0) == 100.0
     df = spark.createDataFrame([("1", None), ("two", None), ("3", None)], "m string, n string")
-    assert v.mixed_types_check(v.text_facts(df).collect())[2] == "Mixed-type columns: ['m(number,text)']"
-    assert v.null_columns_check(v.table_counts(df))[2] == "All-null columns: ['n']"
+    assert v.mixed_types_check(v.text_facts(df).collect())[4] == ["m(number,text)"]
+    assert v.null_columns_check(v.table_counts(df))[4] == ["n"]
 
 
 def test_delimited(spark, tmp_path):
