@@ -38,6 +38,8 @@ UNKNOWN = 10.0
 BLOCK_CHARS = 12_000_000
 MAX_PIECES = 1_000_000
 UNIT = re.compile(rf" {{0,{MAX_BLANKS}}}[^ \n]{{1,{MAX_RUN}}}| {{1,{MAX_BLANKS}}}|\n")
+# units of all blocks in one task
+UNITS_AT_ONCE = 60_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 BLOCKS = "doc_ids array<long>, counts array<int>, sequence binary, units array<string>"
 IDS = "doc_id long, ids array<int>"
@@ -229,8 +231,14 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = base.mapInArrow(_pack(block_chars), BLOCKS).withColumn("block", F.monotonically_increasing_id())
     blocks = stage_table(packed, "blocks")
-    numbered = blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("number", "unit")).repartition("unit")
-    lexicon = _with_bytes(best_paths(edges(numbered.select("unit").distinct(), table)), table)
+    # so many parts that the lattice of each fits in memory
+    parts = (blocks.agg(F.sum(F.size("units")).alias("n")).first()["n"] or 0) // UNITS_AT_ONCE + 1
+    numbered = blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("number", "unit"))
+    numbered = numbered.repartition(parts, "unit")
+    # both sides of the join read the same columns, so the units are shuffled once
+    distinct = numbered.groupBy("unit").agg(F.min("of").alias("x"), F.min("number").alias("y"))
+    distinct = distinct.where("x >= 0 and y >= 0").select("unit")
+    lexicon = _with_bytes(best_paths(edges(distinct, table)), table)
     paths = numbered.join(lexicon, "unit").select("of", "number", "path")
     rows = blocks.select("block", "doc_ids", "counts", "sequence")
     return paths.groupBy("of").cogroup(rows.groupBy("block")).applyInArrow(_assemble, IDS)
