@@ -34,6 +34,6 @@ def test_query(spark, con, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("name", ["profile_samples", "recommend_cleaning", "recommend_fe", "validation_checks", "file_hash"])
+@pytest.mark.parametrize("name", ["profile_samples", "recommend_cleaning", "recommend_fe", "file_hash"])
 def test_runs(spark, name):
     assert name in UNCHECKED and entry.queries()[name](spark, SF_DIR).count() > 0
