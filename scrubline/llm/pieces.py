@@ -35,7 +35,7 @@ MAX_RUN = 128
 MAX_BLANKS = 16
 UNKNOWN = 10.0
 # characters of a block of documents
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 5_000_000
 MAX_PIECES = 1_000_000
 UNIT = re.compile(rf" {{0,{MAX_BLANKS}}}[^ \n]{{1,{MAX_RUN}}}| {{1,{MAX_BLANKS}}}|\n")
 # units of all blocks in one task
