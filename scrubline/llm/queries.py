@@ -8,6 +8,7 @@ from scrubline.llm import html_crf, language, pieces, pii, toxicity
 from scrubline.llm.divergence import COMMON_WORDS, quality_rules
 from scrubline.llm.latent import leaked
 from scrubline.llm.probminhash import near_duplicates
+from scrubline.llm.shared_runs import shared_runs
 from scrubline.llm.substring_dedup import repeated_passages
 from scrubline.llm.warc import archive_round_trip
 
@@ -25,7 +26,8 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return repeated_passages(docs).unionByName(shared_runs(docs))
 
 
 def op2_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
