@@ -27,6 +27,8 @@ DICTIONARY_BYTES = 256 << 10
 MAX_LANGUAGES = 200
 BLOCK = 4096
 LEVEL = 6
+# pieces of the winner's dictionary that a language with less text must beat
+PIECES = 8
 # a text is rejected if the runner-up is at most this much larger
 MIN_MARGIN = 0.005
 
@@ -64,30 +66,60 @@ def sample_texts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str)
 
 
 def dictionaries(texts: dict[str, list[str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw content per language, with equal bytes for all, so that no language wins by its size."""
-    joined = {lang: "\n".join(x).encode() for lang, x in texts.items()}
-    if not joined:
-        return {}
-    size = min(size, *map(len, joined.values()))
-    return {lang: data[:size] for lang, data in joined.items()}
+    """Raw content per language, up to ``size`` bytes; a language with less text keeps what it has."""
+    return {lang: "\n".join(x).encode()[:size] for lang, x in texts.items()}
 
 
 class Compressors:
-    """Compressed sizes of a text under every dictionary."""
+    """Compressed sizes of a text under every dictionary.
+
+    Languages with at least half the text of the fullest one are compared at equal size, so that none wins by
+    its size. A rarer language meets their winner at its own size, against several pieces of the winner's dictionary.
+    """
 
     def __init__(self, contents: dict[str, bytes], level: int = LEVEL):
-        self.languages = list(contents)
-        self.encoders = []
-        for lang in self.languages:
-            d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.encoders.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_dict_id=False))
-        self.overhead = [len(e.compress(b"")) for e in self.encoders]
-
-    def sizes(self, text: str) -> list[int]:
+        self.contents, self.level, self.made = contents, level, {}
+        most = max(map(len, contents.values()), default=0)
+        self.languages = [lang for lang, data in contents.items() if 2 * len(data) >= most]
+        self.rare = [lang for lang in contents if lang not in self.languages]
+        self.equal = min((len(contents[lang]) for lang in self.languages), default=0)
+
+    def size(self, blocks: list[bytes], lang: str, low: int, n: int) -> int:
+        """Compressed size with the ``n`` bytes of the dictionary from ``low``."""
+        if (lang, low, n) not in self.made:
+            d = zstandard.ZstdCompressionDict(self.contents[lang][low : low + n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=self.level)
+            e = zstandard.ZstdCompressor(dict_data=d, level=self.level, write_content_size=False, write_dict_id=False)
+            self.made[lang, low, n] = e, len(e.compress(b""))
+        e, overhead = self.made[lang, low, n]
+        return sum(len(e.compress(b)) for b in blocks) - len(blocks) * overhead
+
+    def gain(self, blocks: list[bytes], lang: str, winner: str) -> float:
+        """How much smaller a rare language makes the text than any piece of the winner's dictionary, or 0.
+
+        A gain within the range of those pieces is chance.
+        """
+        n = len(self.contents[lang])
+        own = self.size(blocks, lang, 0, n)
+        starts = [k * n for k in range(min(PIECES, len(self.contents[winner]) // n))]
+        others = []
+        for low in starts:
+            others.append(self.size(blocks, winner, low, n))
+            if own >= others[-1]:
+                return 0.0
+        least = min(others)
+        return (least - own) / least if least - own > max(others) - least else 0.0
+
+    def judge(self, text: str) -> tuple[str, float, float]:
+        """(language, margin, score)"""
         data = text.encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)] or [b""]
-        return [sum(len(e.compress(b)) for b in blocks) - len(blocks) * o for e, o in zip(self.encoders, self.overhead, strict=True)]
+        found = choose(self.languages, [self.size(blocks, lang, 0, self.equal) for lang in self.languages])
+        gains = sorted(((self.gain(blocks, lang, found[0]), lang) for lang in self.rare), reverse=True)
+        if not gains or gains[0][0] == 0:
+            return found
+        margin = gains[0][0] - (gains[1][0] if len(gains) > 1 else 0.0)
+        return gains[0][1], margin, min(1.0, 0.5 + 5 * margin)
 
 
 def choose(languages: list[str], sizes: list[int]) -> tuple[str, float, float]:
@@ -118,7 +150,7 @@ def identify(df: DataFrame, contents: dict[str, bytes], text_col: str = "text",
                 if text is None or not compressors.languages:
                     out.append((UNDETERMINED, 0.0, 0.0))
                 else:
-                    lang, margin, score = choose(compressors.languages, compressors.sizes(text))
+                    lang, margin, score = compressors.judge(text)
                     out.append((lang, score, margin))
             yield pa.array([dict(zip(names, x, strict=False)) for x in out], type=types)
 

@@ -32,6 +32,22 @@ def test_language_of_held_out_texts(spark):
     assert mixed.first()["lang_pred"] == "und"
 
 
+def test_stray_and_rare_labels_leave_the_others(spark):
+    """One short mislabelled document and one document of a language of its own, beside three large languages."""
+    rng = random.Random(6)
+    rare = "вод зем неб лес гор".split()
+    other = lambda n: " ".join("".join(rng.choices(rare, k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, prose(rng, lang, rng.randint(20, 200)), lang) for i in range(600) for lang in [rng.choice(list(ALPHABETS))]]
+    learnt = [(i, prose(rng, "aa", 6), "xx") for i in (7000,)] + [(7001, other(200), "dd")]
+    tests = [(8000 + i, other(100), None) for i in range(30)]
+    names = "doc_id long, text string, lang string"
+    contents = language.dictionaries(language.sample_texts(spark.createDataFrame(rows[:400] + learnt, names), "doc_id", "text", "lang"))
+    assert len(contents["xx"]) < 100 and all(len(contents[lang]) > 10_000 for lang in ALPHABETS)
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows[400:] + tests, names), contents).collect()}
+    assert np.mean([got[i]["lang_pred"] == lang and not got[i]["rejected"] for i, _, lang in rows[400:]]) > 0.98
+    assert np.mean([got[i]["lang_pred"] == "dd" and not got[i]["rejected"] for i, _, _ in tests]) > 0.95
+
+
 def test_language_edges(edge_docs, no_docs):
     contents = language.learn(edge_docs)
     out = language.identify(edge_docs, contents)
