@@ -176,6 +176,25 @@ def test_leaks_and_paraphrases(spark, edge_docs, no_docs):
     assert latent.leaked(no_docs, queries).count() == 0 and latent.leaked(df, queries.limit(0)).count() == 0
 
 
+def test_long_items_are_found(spark):
+    """Items of 150 to 900 words copied verbatim or with some words replaced, and halves that must not match."""
+    rng = random.Random(8)
+    vocabulary = words(rng, 4000).split()
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, ". ".join(text(10) for _ in range(n))) for i, n in enumerate((15, 22, 40, 60, 90))]
+    rows, want = [(i, text(rng.randint(5, 300))) for i in range(200)], set()
+    for i, item in items:
+        copy = item.split()
+        rows += [(1000 + i, f"{text(37)} {item} {text(90)}"), (2000 + i, f"{text(50)} {' '.join(copy[: len(copy) * 2 // 5])} {text(40)}")]
+        for _ in range(len(copy) // 10):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        rows.append((3000 + i, f"{text(11)} {' '.join(copy)}"))
+        want |= {(1000 + i, i), (3000 + i, i)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaked(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_common_subsequence_is_the_heaviest():
     rng = np.random.default_rng(2)
     for _ in range(50):
