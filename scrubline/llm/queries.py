@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scrubline.llm import html_crf, language, pieces, pii, toxicity
 from scrubline.llm.divergence import COMMON_WORDS, quality_rules
+from scrubline.llm.filter_audit import audit
+from scrubline.llm.importance import resample
 from scrubline.llm.latent import leaked
 from scrubline.llm.probminhash import near_duplicates
 from scrubline.llm.shared_runs import shared_runs
 from scrubline.llm.substring_dedup import repeated_passages
+from scrubline.llm.vantage import neighbours
 from scrubline.llm.warc import archive_round_trip
 
 
@@ -66,6 +69,18 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = (
     op1_substring_dedup,
     op2_sentencepiece_lattice,
@@ -77,6 +92,9 @@ ALL = (
     op8_language_zstd,
     op9_toxicity_fm,
     op10_warc_shards,
+    op11_importance_crc,
+    op12_vantage_points,
+    op13_filter_audit,
 )
 QUERIES = {f.__name__: f for f in ALL}
 ORACLE: dict[str, str] = {}
@@ -127,3 +145,58 @@ SELECT page_id, payload_bytes, p.payload_digest,
     CASE WHEN leader IS NOT NULL AND page_id IS DISTINCT FROM leader THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest)"""
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+lab AS (SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failed,
+    coalesce(good, FALSE) AS good, coalesce(bad, FALSE) AS bad FROM w LEFT JOIN lab USING (doc_id)),
+g AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS ng, count(*) FILTER (bad) AS nt FROM f GROUP BY ALL),
+letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) AS t(step)),
+x AS (SELECT part, filter_order, step, own,
+    sum(CASE WHEN failed & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & before <> 0 AND failed & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed & own <> 0 THEN ng ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed & own <> 0 THEN nt ELSE 0 END) AS toxic_lost
+    FROM g, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM x"""
+
+# CRC-32 of each different word, byte by byte in a list fold; everything else is counting
+ORACLE["op11_importance_crc"] = r"""
+WITH RECURSIVE reg(n, i, x) AS (SELECT n, 0, n::UBIGINT FROM range(256) AS t(n)
+    UNION ALL SELECT n, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END FROM reg WHERE i < 8),
+tab AS (SELECT list(x ORDER BY n) AS t FROM reg WHERE i = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x) AS ws FROM documents),
+dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY ALL),
+tw AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) GROUP BY ALL),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM tw)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM hexed, tab),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN hashed USING (word) GROUP BY ALL),
+t AS (SELECT bucket, sum(n) AS n FROM tw JOIN hashed USING (word) GROUP BY ALL),
+gain AS (SELECT b AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS g
+    FROM range(10000) AS x(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+w AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+f AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM d LEFT JOIN w USING (r)),
+able AS (SELECT *, n_features >= 20 AND doc_id IS NOT NULL AS ok FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY score DESC, doc_id, n_features) AS place, count(*) FILTER (ok) OVER () AS n FROM able)
+SELECT doc_id, n_features, weight, score, CASE WHEN ok AND place <= 10 * n // 100 THEN place END AS rank FROM placed"""

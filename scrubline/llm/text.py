@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrubline.session import stage_table
+
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 SHINGLE = 5
@@ -31,6 +35,22 @@ def shingles(w: Column, n: int = SHINGLE) -> Column:
     )
 
 
+def stage_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``place``, its position from 1 in the given order.
+
+    Rows are dealt out by ranges of the order, one count for each range reaches the driver.
+    """
+    ranges = stage_table(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    starts, total = [], 0
+    for r in sorted(ranges.groupBy("range").count().collect()):
+        starts.append((r["range"], total))
+        total += r["count"]
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    offsets = df.sparkSession.createDataFrame(starts, "range int, start long")
+    placed = ranges.withColumn("within", within).join(F.broadcast(offsets), "range")
+    return placed.withColumn("place", (F.col("start") + F.col("within")).cast("long")).drop("range", "start", "within")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
