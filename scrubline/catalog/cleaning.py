@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrubline.catalog.lcs_sql import RATIOS, groups_sql, mapping_sql, token_sorted_sql
 from scrubline.catalog.tables import (
     ML,
     MO,
@@ -306,12 +307,30 @@ def similarity_tokens(spark, sf):
     return table(spark, sf, "part").select("p_partkey", token_sort_similarity(name, turned).alias("similarity"))
 
 
-@query("fuzzy_dup_groups")
+@query(
+    "similarity_tokens_kinds",
+    f"WITH pairs AS (SELECT p_partkey AS id, {token_sorted_sql('p_name')} AS sa, {token_sorted_sql("p_type || '-' || p_brand || ' ' || p_name")} AS sb FROM part), "
+    f"{RATIOS} SELECT id AS p_partkey, similarity FROM ratios",
+)
+def similarity_tokens_kinds(spark, sf):
+    """Part names against their kind, brand and name in another order."""
+    described = F.concat("p_type", F.lit("-"), "p_brand", F.lit(" "), "p_name")
+    return table(spark, sf, "part").select("p_partkey", token_sort_similarity(F.col("p_name"), described).alias("similarity"))
+
+
+@query(
+    "fuzzy_dup_groups",
+    groups_sql("part", "p_partkey", "p_name || ' ' || p_brand || ' ' || p_type") + " SELECT leader_id, member_id, similarity FROM members",
+)
 def fuzzy_dup_groups(spark, sf):
     return fuzzy_duplicate_groups(table(spark, sf, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
 
 
-@query("fuzzy_dedup")
+@query(
+    "fuzzy_dedup",
+    groups_sql("customer", "c_custkey", "c_name || ' ' || c_mktsegment")
+    + " SELECT * FROM customer WHERE c_custkey NOT IN (SELECT member_id FROM members)",
+)
 def fuzzy_dedup(spark, sf):
     return RemoveFuzzyDuplicates("c_custkey").run(table(spark, sf, "customer"))
 
@@ -321,7 +340,7 @@ def auto_standardize(spark, sf):
     return AutoStandardize("priority_s").run(messy_orders(spark, sf)).select("row_id", "priority_s")
 
 
-@query("category_variants")
+@query("category_variants", mapping_sql("part", "p_name"))
 def category_variants(spark, sf):
     mapping = category_mapping(table(spark, sf, "part"), "p_name")
     return mapping.select("raw", "canonical", "similarity", "n")

@@ -11,23 +11,26 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.text import strip
-from scrubline.operators.lookup import ValueTable, dense_index, hot_values, skew_join
+from scrubline.operators.lookup import SALTS, ValueTable
 from scrubline.operators.steps import Step, col
 from scrubline.session import stage_table
 
-# rows a block offers for comparison per round; few when many rows are undecided
-PROBES = 32
-MAX_PROBES = 512
-ROUND_PAIRS = 1 << 20
-# similar pairs up to this number are settled in one pass over the sorted ids
+# texts of the first batch of the greedy grouping; how many times the leaders of a batch the next one holds
+FIRST_BATCH = 1024
+GROWTH = 8
+# rows of a block that one task pairs up; tasks that the comparisons of one text are spread over
+BLOCK_ROWS = 4096
+PAIR_SALTS = 8
+# graphs of up to this number of edges are settled in one pass over the sorted ids
 DRIVER_EDGES = 200_000
 # grams whose frequency is known to every task; the rest count as rare
 KNOWN_GRAMS = 50_000
@@ -102,6 +105,9 @@ class Blocker:
         self.t = (threshold - 0.5) / 100
         self.shrink = self.t / (2 - self.t)
         self.rank = rank
+        # both depend on few different numbers
+        self.destroyed = lru_cache(maxsize=100_000)(self.destroyed)
+        self.gram_size = lru_cache(maxsize=10_000)(self.gram_size)
 
     def length_class(self, n: int) -> int:
         return math.floor(math.log(n) / -math.log(self.shrink) + 1e-9) if n else -1
@@ -123,9 +129,10 @@ class Blocker:
                 return q
         return 1
 
-    def keys(self, s: str) -> list[str]:
+    def keys(self, s: str) -> list[tuple[str, int, int]]:
+        """(key, gram length, place of the gram in the global order) of every block of a text."""
         if not s:
-            return [""]
+            return []
         own = self.length_class(len(s))
         out = []
         for cls in (own, own + 1):
@@ -138,15 +145,16 @@ class Blocker:
                 grams.append((self.rank.get(f"{q}{g}", 0), seen[g], g))
             # rare grams first; repeats of a gram are rarer than its first occurrence
             grams.sort(key=lambda x: (x[0] // x[1], x[2], x[1]))
-            out += [f"{cls}|{g}|{k}" for _, k, g in grams[: self.destroyed(len(s), q) + 1]]
+            kept = grams[: self.destroyed(len(s), q) + 1]
+            out += [(f"{cls}|{g}|{k}", q, place) for place, (_, k, g) in enumerate(kept)]
         return out
 
 
 def _gram_counts(texts: DataFrame, threshold: int) -> dict[str, int]:
     """Frequency of the commonest grams (a bounded head; it only orders the grams)."""
-    blocker = Blocker(threshold, {})
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocker = Blocker(threshold, {})
         for pdf in batches:
             count: Counter[str] = Counter()
             for s in pdf["s"]:
@@ -161,42 +169,126 @@ def _gram_counts(texts: DataFrame, threshold: int) -> dict[str, int]:
 
 
 def _file_in_blocks(texts: DataFrame, threshold: int) -> DataFrame:
-    """(key, id): every block a text belongs to."""
+    """(key, id, len, q, place): every block a text belongs to, and where its gram stands there."""
     rank = texts.sparkSession.sparkContext.broadcast(_gram_counts(texts, threshold))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocker = Blocker(threshold, rank.value)
         for pdf in batches:
             found = [blocker.keys(s) for s in pdf["s"]]
+            counts = [len(ks) for ks in found]
             yield pd.DataFrame(
                 {
-                    "key": [k for ks in found for k in ks],
-                    "id": np.repeat(pdf["id"].to_numpy(), [len(ks) for ks in found]),
+                    "key": [k for ks in found for k, _, _ in ks],
+                    "id": np.repeat(pdf["id"].to_numpy(), counts),
+                    "len": np.repeat([len(s) for s in pdf["s"]], counts),
+                    "q": [q for ks in found for _, q, _ in ks],
+                    "place": [place for ks in found for _, _, place in ks],
                 }
             )
 
-    hashed = texts.select("id", "s").mapInPandas(keys, "key string, id long")
+    hashed = texts.select("id", "s").mapInPandas(keys, "key string, id long, len int, q int, place int")
     # a hash collision merges two blocks, which adds candidates and loses none
-    return hashed.select(F.xxhash64("key").alias("key"), "id")
+    return hashed.withColumn("key", F.xxhash64("key"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs at or above the threshold."""
-    pairs = stage_table(pairs, "pairs")
-    left = texts.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = texts.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+def _tasks(df: DataFrame) -> int:
+    """Tasks for comparisons: few bytes may mean much work, so partitions are not merged by their size."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _may_be_similar(threshold: int) -> Column:
+    """What a block says about a pair (x, y) of its texts, without the texts.
+
+    Lengths must allow the least common subsequence. It also bounds the grams that both must share, and if the block's gram
+    is the first that they share, only those after its place in both can follow. A similar pair passes
+    in the block of its first shared gram.
+    """
     t = (threshold - 0.5) / 100
-    la, lb = F.length("sa"), F.length("sb")
-    long_enough = 2 * F.least(la, lb) >= F.lit(t) * (la + lb) - 1e-9
-    # a probe may be compared with a large share of all rows, a row only with few probes
-    joined = skew_join(pairs, left, "a", hot_values(pairs, "a"), "b").join(right, "b").where(long_enough)
+    la, lb, q = F.col("x.len"), F.col("y.len"), F.col("x.q")
+    lcs = F.ceil(F.lit(t / 2) * (la + lb) - 1e-9)
+    lost = lambda own, other: q * (own - lcs) + (q - 1) * (other - lcs)
+    shared = F.greatest(la - q + 1 - lost(la, lb), lb - q + 1 - lost(lb, la))
+    left = F.least(la - q + 1 - F.col("x.place"), lb - q + 1 - F.col("y.place"))
+    return (F.least(la, lb) >= lcs) & (left >= shared) & (F.col("x.q") == F.col("y.q"))
+
+
+def _candidates(first: DataFrame, second: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b, once each: a text of ``first`` and one of ``second`` that share a block and pass its bounds.
+
+    ``first`` has the column salts: its rows of hot blocks are repeated, those of ``second`` spread.
+    """
+    x = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    y = second.withColumn("salt", F.pmod(F.col("id"), F.col("salts")).cast("int"))
+    n = _tasks(first)
+    x, y = x.repartition(n, "key", "salt"), y.repartition(n, "key", "salt")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.id") < F.col("y.id"))
+    pairs = x.alias("x").join(y.alias("y"), on & _may_be_similar(threshold))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs at or above the threshold; ``firsts`` has the texts of the a's.
+
+    A text may be compared with a large share of all others, so the first ends are salted by the second.
+    """
+    left = firsts.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))).alias("salt"))
+    right = texts.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    salted = pairs.withColumn("salt", F.pmod("b", F.lit(PAIR_SALTS)).cast("int")).repartition(_tasks(pairs), "a", "salt")
+    joined = salted.join(left, ["a", "salt"]).join(right, "b")
     # substitutions make this distance no larger than the one of the ratio; it stops early
+    t = (threshold - 0.5) / 100
     edits = f"cast(floor({1 - t} * (length(sa) + length(sb)) + 1e-9) as int)"
     close = joined.where(F.expr(f"levenshtein(sa, sb, {edits}) >= 0"))
     scored = close.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 
 
+def _blocks(texts: DataFrame, threshold: int) -> DataFrame:
+    """The blocks of all texts, each row with the number of tasks that its block is spread over."""
+    blocks = stage_table(_file_in_blocks(texts, threshold), "blocks")
+    sizes = blocks.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_ROWS)
+    salts = F.least(F.lit(SALTS), 1 + F.floor(F.col("size") / BLOCK_ROWS)).cast("int")
+    crowded = stage_table(sizes.select("key", salts.alias("salts")), "crowded")
+    return blocks.join(crowded, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+
+# ---- who stands -----------------------------------------------------------------
+
+
+def fallen(edges: DataFrame) -> DataFrame:
+    """(id) of the vertices of the graph (a, b), a before b, that an earlier standing neighbour knocks over.
+
+    A vertex stands if none of its earlier neighbours stands: the lexicographically first maximal independent set. Few
+    edges are settled in one pass in their order; more of them in rounds over the stored edges. In a round every
+    vertex without an earlier neighbour stands, and its later neighbours fall with all their edges. The edges are read
+    several times: give a stored table.
+    """
+    edges = edges.select("a", "b")
+    spark, kind = edges.sparkSession, f"id {edges.schema['a'].dataType.simpleString()}"
+    few = edges.limit(DRIVER_EDGES + 1).collect()
+    if len(few) <= DRIVER_EDGES:
+        before: dict = {}
+        for a, b in few:
+            before.setdefault(b, []).append(a)
+        down: set = set()
+        for b in sorted(before):
+            if not down.issuperset(before[b]):
+                down.add(b)
+        return spark.createDataFrame([(x,) for x in sorted(down)], kind)
+    out = None
+    while not edges.isEmpty():
+        later = edges.select(F.col("b").alias("a")).distinct()
+        hit = edges.join(later, "a", "left_anti").select(F.col("b").alias("id")).distinct()
+        hit = stage_table(hit, "fallen")
+        out = hit if out is None else out.unionByName(hit)
+        for end in "ab":
+            edges = edges.join(hit.withColumnRenamed("id", end), end, "left_anti")
+        edges = stage_table(edges.select("a", "b"), "edges")
+    return out
+
+
 # ---- near-duplicate rows --------------------------------------------------------
 
 
@@ -236,128 +328,47 @@ def fuzzy_duplicate_groups(
 def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
     """(id, leader, similarity) of every text that an earlier leader absorbs.
 
-    Rounds: each block offers its first undecided texts as probes; every text is compared
-    once with the earlier probes of its blocks. A text that ranks among the first in all
-    its blocks has been compared with every earlier candidate, so its fate depends on
-    those alone. Texts similar to a new leader are absorbed. A crowded block is worked
-    off in slices and never paired with itself.
+    The undecided texts are taken in order, in batches. The similar pairs of a batch say which of its texts lead, and
+    the leaders are compared with everything later at once. Batches grow as long as most of their texts lead; so a crowd of
+    similar texts has lost nearly all its members before a large batch is compared with itself, and no text is compared
+    with one that was absorbed.
     """
-    blocks = stage_table(_file_in_blocks(texts, threshold), "blocks")
-    hot = hot_values(blocks, "key")
-    undecided = F.lit(None)
-    state = texts.select(
-        "id",
-        F.lit(False).alias("leads"),
-        undecided.cast("long").alias("leader"),
-        undecided.cast("int").alias("similarity"),
-    )
-    offered: DataFrame | None = None
-    similar: DataFrame | None = None
-    open_rows = state.count()
-    while open_rows:
-        slice_size = max(PROBES, min(MAX_PROBES, ROUND_PAIRS // open_rows))
-        live = blocks.join(state.where("not leads").select("id", "leader"), "id")
-        first = Window.partitionBy("key").orderBy("id")
-        rank = F.row_number().over(first)
-        ranked = live.where("leader is null").select("key", "id", rank.alias("rank"))
-        near = stage_table(ranked.where(F.col("rank") <= slice_size).select("key", "id"), "probes")
-        fresh = near if offered is None else near.join(offered, ["key", "id"], "left_anti")
-        offered = near if offered is None else stage_table(offered.unionByName(fresh), "offered")
-        # an absorbed text still looks for an earlier leader
-        pairs = _pair_up(live, fresh, hot).where("leader is null or a < leader").select("a", "b").distinct()
-        found = stage_table(_verified(pairs, texts, threshold), "similar")
-        similar = found if similar is None else similar.unionByName(found)
-        leaders = stage_table(_new_leaders(live, near, similar), "leaders")
-        state = stage_table(_take(state, similar, leaders), "state")
-        open_rows = state.where("not leads and leader is null").count()
-    return state.where("leader is not null").select("id", "leader", "similarity")
-
-
-def _new_leaders(live: DataFrame, near: DataFrame, similar: DataFrame) -> DataFrame:
-    """Ids of undecided texts that no earlier text can absorb any more."""
-    open_blocks = live.where("leader is null").groupBy("id").agg(F.count("*").alias("blocks"))
-    seen = near.groupBy("id").agg(F.count("*").alias("near"))
-    open_ids = stage_table(
-        open_blocks.join(seen, "id", "left").select("id", (F.col("blocks") == F.coalesce("near", F.lit(0))).alias("compared")),
-        "open",
-    )
-    # earlier similar texts that are still undecided stand in the way
-    ends = [open_ids.select(F.col("id").alias(x), F.col("compared").alias(f"{x}_compared")) for x in "ab"]
-    edges = similar.join(ends[0], "a").join(ends[1].where("b_compared"), "b")
-    edges = edges.select("a", "b", F.col("a_compared").alias("known"))
-    compared = open_ids.where("compared").select("id")
-    alone = compared.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-    few = edges.limit(DRIVER_EDGES + 1).collect()
-    if len(few) > DRIVER_EDGES:
-        return alone
-    free = _settle_in_order(few)
-    return alone.unionByName(live.sparkSession.createDataFrame([(i,) for i in free], "id long"))
-
-
-def _settle_in_order(edges: list[Row]) -> list[int]:
-    """Leaders among the later ends of the edges, visiting them in order.
-
-    A text is absorbed once an earlier similar text leads, and leads once all of them are
-    absorbed; it stays open if one of them is open.
-    """
-    before: dict[int, list[Row]] = {}
-    for e in edges:
-        before.setdefault(e["b"], []).append(e)
-    leads: dict[int, bool | None] = {}
-    for b in sorted(before):
-        # a compared text without earlier similar texts leads
-        fates = [leads.get(e["a"], True) if e["known"] else None for e in before[b]]
-        leads[b] = False if True in fates else None if None in fates else True
-    return [b for b, lead in leads.items() if lead]
-
-
-def _take(state: DataFrame, similar: DataFrame, leaders: DataFrame) -> DataFrame:
-    """State after the new leaders absorb the texts similar to them."""
-    taken = (
-        similar.join(leaders.withColumnRenamed("id", "a"), "a")
-        .groupBy(F.col("b").alias("id"))
-        .agg(F.min(F.struct("a", "similarity")).alias("by"))
-    )
-    earlier = F.col("by.a").isNotNull() & (F.col("leader").isNull() | (F.col("by.a") < F.col("leader")))
-    joined = state.join(leaders.withColumn("new", F.lit(True)), "id", "left").join(taken, "id", "left")
-    return joined.select(
-        "id",
-        (F.col("leads") | F.coalesce("new", F.lit(False))).alias("leads"),
-        F.when(earlier, F.col("by.a")).otherwise(F.col("leader")).alias("leader"),
-        F.when(earlier, F.col("by.similarity")).otherwise(F.col("similarity")).alias("similarity"),
-    )
-
-
-def _pair_up(live: DataFrame, probes: DataFrame, hot: list) -> DataFrame:
-    """Every row of a block with the block's earlier probes.
-
-    A block may hold a large share of all texts, so the probes of hot blocks go to
-    several tasks.
-    """
-    offers = probes.groupBy("key").agg(F.collect_list("id").alias("probes"))
-    joined = skew_join(live.withColumnRenamed("id", "b"), offers, "key", hot, "b")
-    return joined.withColumn("a", F.explode("probes")).where("a < b")
+    blocks = _blocks(texts, threshold)
+    waiting = blocks.select("id").distinct()
+    size, taken = FIRST_BATCH, []
+    # shares of the undecided texts at which a batch may end
+    shares = [GROWTH**-k for k in range(24)]
+    while True:
+        waiting = stage_table(waiting, "undecided")
+        facts = waiting.agg(F.count("*").alias("n"), F.percentile_approx("id", shares, 100_000).alias("at")).first()
+        if not facts["n"]:
+            break
+        last = next((i for share, i in zip(shares, facts["at"], strict=True) if facts["n"] * share <= size), facts["at"][-1])
+        # a joined list of ids that is small is broadcast by its measured size
+        batch, rest = waiting.where(F.col("id") <= last), waiting.where(F.col("id") > last)
+        own = blocks.join(batch, "id")
+        firsts = texts.join(batch, "id", "left_semi")
+        edges = stage_table(_verified(_candidates(own, own, threshold), firsts, firsts, threshold), "similar")
+        leaders = stage_table(batch.join(fallen(edges), "id", "left_anti"), "leaders")
+        # where few lead, the texts are crowded: a larger batch would compare many of them that one leader absorbs
+        size = max(FIRST_BATCH, GROWTH * leaders.count())
+        within = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi")
+        pairs = _candidates(blocks.join(leaders, "id"), blocks.join(rest, "id"), threshold)
+        across = _verified(pairs, texts.join(leaders, "id", "left_semi"), texts, threshold)
+        by = F.min_by("similarity", "a").alias("similarity")
+        found = within.select("a", "b", "similarity").unionByName(across).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"), by)
+        taken.append(stage_table(found, "absorbed"))
+        waiting = rest.join(taken[-1].select("id"), "id", "left_anti")
+    out = texts.sparkSession.createDataFrame([], "id long, leader long, similarity int")
+    for found in taken:
+        out = out.unionByName(found)
+    return out
 
 
 def similar_pairs(texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs at or above the threshold.
-
-    Blocks are worked off in slices of probes, so one round emits at most a slice per row.
-    """
-    live = stage_table(_file_in_blocks(texts, threshold), "blocks")
-    hot = hot_values(live, "key")
-    found = None
-    while True:
-        first = Window.partitionBy("key").orderBy("id")
-        probes = live.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MAX_PROBES)
-        probes = stage_table(probes.select("key", "id"), "probes")
-        pairs = _pair_up(live, probes, hot).select("a", "b").distinct()
-        edges = stage_table(_verified(pairs, texts, threshold), "similar")
-        found = edges if found is None else found.unionByName(edges)
-        rest = live.join(probes, ["key", "id"], "left_anti")
-        live = stage_table(rest, "blocks")
-        if live.isEmpty():
-            return found.distinct()
+    """(a, b, similarity), a < b, of all pairs at or above the threshold."""
+    blocks = _blocks(texts, threshold)
+    return _verified(_candidates(blocks, blocks, threshold), texts, texts, threshold)
 
 
 class RemoveFuzzyDuplicates(Step):
@@ -393,53 +404,31 @@ def category_mapping(df: DataFrame, column: str, threshold: int = 80) -> DataFra
         .withColumn("s", token_sorted(F.col("v")))
         .where("s <> ''")
     )
-    ordered = dense_index(counts.withColumn("o", F.struct((-F.col("n")).alias("n"), "v")), "o")
-    values = stage_table(ordered.select("v", "n", F.col("idx").alias("pos"), "s"), "values")
-    texts = stage_table(values.groupBy("s").agg(F.min("pos").alias("id")), "distinct-texts")
-    near = similar_pairs(texts, threshold)
-    both_ways = near.unionByName(
-        near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
-    ).unionByName(texts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(100).alias("similarity")))
-    placed = values.join(texts, "s").select("id", "pos", "n")
-    mine = placed.select(F.col("id").alias("a"), F.col("pos").alias("v"), F.col("n").alias("vn"))
-    other = placed.select(F.col("id").alias("b"), F.col("pos").alias("c"), F.col("n").alias("cn"))
+    # values visited earlier come first in this order
+    order = F.struct((-F.col("n")).alias("n"), F.col("v"))
+    values = counts.groupBy("s").agg(F.sort_array(F.collect_list(order)).alias("variants"))
+    texts = stage_table(values.withColumn("id", F.monotonically_increasing_id()), "texts")
+    near = similar_pairs(texts.select("id", "s"), threshold)
+    both_ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    ends = [texts.select(F.col("id").alias(x), F.col("variants").alias(f"v{x}")) for x in "ab"]
+    far = both_ways.join(ends[0], "a").join(ends[1], "b").select("va", "vb", "similarity")
+    # equal texts written in different ways
+    same = texts.where(F.size("variants") > 1).select(F.col("variants").alias("va"), F.col("variants").alias("vb"), F.lit(100).alias("similarity"))
+    pairs = far.unionByName(same).withColumn("v", F.explode("va")).withColumn("c", F.explode("vb"))
     # targets are at least as frequent: earlier ones, or later ones of equal frequency
-    edges = both_ways.join(mine, "a").join(other, "b").where("v <> c and cn >= vn")
-    edges = stage_table(edges.select("v", "c", "similarity"), "edges")
-    mapped = _settle(edges)
-    free = edges.join(mapped.withColumnRenamed("v", "c"), "c", "left").where("c > v or not coalesce(mapped, false)")
-    best = free.groupBy("v").agg(F.max_by("c", F.struct("similarity", -F.col("c"))).alias("c"), F.max("similarity").alias("similarity"))
-    raw = values.select(F.col("pos").alias("v"), F.col("v").alias("raw"), "n")
-    canonical = values.select(F.col("pos").alias("c"), F.col("v").alias("canonical"))
-    return best.join(raw, "v").join(canonical, "c").select("raw", "canonical", "similarity", "n")
-
-
-def _settle(edges: DataFrame) -> DataFrame:
-    """(v, mapped) of every value that has a possible target.
-
-    A value is mapped if a later target exists (not visited yet, so still free) or an
-    earlier target is unmapped; it is unmapped once all its targets are mapped.
-    """
-    sources = edges.groupBy("v").agg(F.max(F.col("c") > F.col("v")).alias("later"))
-    state = sources.select("v", F.when(F.col("later"), F.lit(True)).alias("mapped"))
-    while True:
-        state = stage_table(state, "state")
-        if state.where("mapped is null").isEmpty():
-            return state
-        target = state.select(F.col("v").alias("c"), F.col("mapped").alias("cm"), F.lit(True).alias("known"))
-        waiting = state.where("mapped is null").join(edges, "v").join(target, "c", "left")
-        # a value that is no source has no target and stays unmapped
-        is_mapped = F.when(F.col("known").isNull(), F.lit(False)).otherwise(F.col("cm"))
-        seen = waiting.groupBy("v").agg(
-            F.bool_or(~is_mapped).alias("free_target"), F.bool_and(is_mapped.isNotNull()).alias("all_known")
-        )
-        state = state.join(seen, "v", "left").select(
-            "v",
-            F.coalesce(
-                "mapped",
-                F.when(F.col("free_target"), F.lit(True)).when(F.col("all_known"), F.lit(False)),
-            ).alias("mapped"),
-        )
+    edges = stage_table(pairs.where("v <> c and c.n <= v.n").select("v", "c", "similarity"), "edges")
+    # a value with a later target is mapped whatever the others do; any other is mapped if an earlier target is not
+    doomed = edges.where("c > v").select("v").distinct()
+    open_edges = edges.join(doomed, "v", "left_anti").join(doomed.withColumnRenamed("v", "c"), "c", "left_anti")
+    open_edges = stage_table(open_edges, "open-edges")
+    down = fallen(open_edges.select(F.col("c").alias("a"), F.col("v").alias("b"))).withColumnRenamed("id", "v")
+    mapped = stage_table(doomed.unionByName(down), "mapped")
+    free = edges.join(mapped.select(F.col("v").alias("c"), F.lit(True).alias("gone")), "c", "left").where("c > v or gone is null")
+    closest = F.struct((-F.col("similarity")).alias("d"), "c")
+    best = free.groupBy("v").agg(F.min(closest).alias("to"))
+    return best.select(
+        F.col("v.v").alias("raw"), F.col("to.c.v").alias("canonical"), (-F.col("to.d")).alias("similarity"), (-F.col("v.n")).alias("n")
+    )
 
 
 class AutoStandardize(Step):

@@ -64,20 +64,21 @@ def test_lcs_matches_dynamic_programming():
 def test_no_similar_pair_lacks_a_common_block(threshold):
     rows = [t for _, t in texts(3, 400)] + ["a", "ab", "abc", "US", "USA"]
     blocker = s.Blocker(threshold, Counter(t[:2] for t in rows))
-    keys = [set(blocker.keys(t)) for t in rows]
+    keys = [{k for k, _, _ in blocker.keys(t)} for t in rows]
     for i, a in enumerate(rows):
         for j in range(i):
             if a and rows[j] and s.ratio(a, rows[j]) >= threshold:
                 assert keys[i] & keys[j], (a, rows[j])
 
 
-@pytest.mark.parametrize("threshold,probes,edges", [(90, 512, 200_000), (80, 2, 200_000), (90, 3, 0)])
-def test_groups_equal_the_greedy_loop(spark, monkeypatch, threshold, probes, edges):
-    """With tiny slices and without the driver shortcut the answer must not change."""
-    monkeypatch.setattr(s, "PROBES", probes)
-    monkeypatch.setattr(s, "MAX_PROBES", probes)
+@pytest.mark.parametrize("threshold,first,growth,edges", [(90, 2048, 8, 200_000), (80, 10, 2, 200_000), (90, 8, 4, 0)])
+def test_groups_equal_the_greedy_loop(spark, monkeypatch, threshold, first, growth, edges):
+    """With tiny batches, split blocks and without the pass on the driver the answer must not change."""
+    monkeypatch.setattr(s, "FIRST_BATCH", first)
+    monkeypatch.setattr(s, "GROWTH", growth)
     monkeypatch.setattr(s, "DRIVER_EDGES", edges)
-    rows = texts(1, 60 if probes < 512 else 300, 25)
+    monkeypatch.setattr(s, "BLOCK_ROWS", 4096 if first > 100 else 3)
+    rows = texts(1, 60 if first < 100 else 300, 25)
     got = s.fuzzy_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", threshold=threshold)
     assert sorted(map(tuple, got.collect())) == brute_groups(rows, threshold)
 
