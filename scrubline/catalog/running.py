@@ -72,7 +72,7 @@ _FILLED = _PRICES + (
 
 
 def _run(spark, sf):
-    return run_plan(messy_orders(spark, sf), PLAN, "row_id")
+    return run_plan(messy_orders(spark, sf), PLAN, "row_id", staged=True)
 
 
 @query(
@@ -100,6 +100,23 @@ def run_plan_log(spark, sf):
     return _run(spark, sf).log(samples=False).select("action_id", "status", "rows_affected")
 
 
+def _firsts(column: str, source: str) -> str:
+    return f"(SELECT string_agg(v, '|' ORDER BY row_id) FROM (SELECT row_id, {column} AS v FROM {source} WHERE {column} IS NOT NULL ORDER BY row_id LIMIT 3))"
+
+
+@query(
+    "run_plan_samples",
+    f"WITH {_FILLED} SELECT 'action_001' AS action_id, {_firsts('priority_s', 'mo')} AS before_sample, {_firsts('trim(priority_s)', 'mo')} AS after_sample UNION ALL "
+    f"SELECT 'action_002', {_firsts('trim(priority_s)', 'mo')}, {_firsts('upper(trim(priority_s))', 'mo')} UNION ALL "
+    f"SELECT 'action_004', {_firsts('date_s', 'mo')}, {_firsts('d', 'f')} UNION ALL SELECT 'action_006', {_firsts('status_s', 'mo')}, {_firsts('status', 'f')}",
+)
+def run_plan_samples(spark, sf):
+    """The first cells before and after the actions on text."""
+    log = _run(spark, sf).log().where("action_id in ('action_001', 'action_002', 'action_004', 'action_006')")
+    joined = [F.array_join(c, "|").alias(c) for c in ("before_sample", "after_sample")]
+    return log.select("action_id", *joined)
+
+
 @query(
     "plan_summary",
     f"""WITH {MO}, p AS (SELECT count(*) FILTER (WHERE {missing_sql('price_s')}) AS gaps, count(*) FILTER (WHERE status_s <> trim(status_s)) AS blanks,

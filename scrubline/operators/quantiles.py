@@ -27,12 +27,13 @@ Requests = Mapping[str, tuple[Column, list[float]]]
 def exact_quantiles(df: DataFrame, requests: Requests) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns at once.
 
-    ``requests`` maps a name to (double column, probabilities); NULLs are ignored.
+    ``requests`` maps a name to (double column, probabilities); NULLs are ignored. The wanted columns are staged, so
+    that the three or four passes over them read numbers and do not evaluate the frame's plan again.
     """
     if not requests:
         return {}
     names = list(requests)
-    values = df.select(*[requests[n][0].alias(f"x{i}") for i, n in enumerate(names)])
+    values = stage_table(df.select(*[requests[n][0].cast("double").alias(f"x{i}") for i, n in enumerate(names)]), "quantile-columns")
     probs = [requests[n][1] for n in names]
     counts, brackets = _bracket(values, probs, ACCURACY)
     answers: dict[tuple[int, int], float | None] = {}

@@ -8,8 +8,11 @@ unless it reads a column that the batch already rewrites, or either of them chan
 set of rows. One batch costs one aggregate and one quantile search. Rewrites are
 projections, so a batch adds no stage of its own.
 
-The log is computed on demand: one aggregate per batch counts the cells that differ
-before and after each action, so counts are right even if tasks are retried.
+A staged run writes the frame before and after every action that changes the set of rows, and at the end. The pass
+that writes also counts the cells that each action changed (``observe``), and later fits read the written table and not
+the source again. The observed number of rows must equal the written one; after a retried task, which may have been
+counted twice, the cells are counted by an aggregate instead. A run that is not staged writes nothing, and its log
+counts by one aggregate per batch.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scrubline.functions.numbers import is_numeric_type, to_double
@@ -36,6 +39,7 @@ from scrubline.operators.fill import FillDirection
 from scrubline.operators.similarity import RemoveFuzzyDuplicates
 from scrubline.operators.steps import Fitted, Step, col, fit_all
 from scrubline.plans.actions import CLEANING, Action, Plan, make_step
+from scrubline.session import stage_table
 
 LOG_SCHEMA = (
     "position int, action_id string, column_name string, action_type string, rows_affected long, "
@@ -43,6 +47,8 @@ LOG_SCHEMA = (
     "columns_added array<string>, columns_removed array<string>"
 )
 SAMPLE = 3
+# first rows in which samples are looked for before the whole table is sorted for them
+SAMPLE_ROWS = 64
 FAULTS = (ValueError, TypeError, KeyError, AnalysisException, IllegalArgumentException, ParseException)
 
 # steps after which rows are gone, columns have other names, or rows were re-read
@@ -76,6 +82,7 @@ class Record:
     after: DataFrame | None = None
     step: Step | None = None
     fitted: Fitted | None = None
+    rows_affected: int | None = None
 
     @property
     def columns_added(self) -> list[str]:
@@ -107,6 +114,7 @@ class Execution:
     def log(self, samples: bool = True) -> DataFrame:
         """One row per executed action."""
         counts = self.rows_affected()
+        near = self._first_rows() if samples and self.order_by else {}
         rows = []
         for i, r in enumerate(self.records):
             name = r.action.column_name
@@ -115,7 +123,7 @@ class Execution:
             rows.append(
                 (
                     i, r.action.id, name, r.action.action_type, counts.get(i, 0),
-                    _sample(r.before, name, order) if shown else [], _sample(r.after, name, order) if shown else [],
+                    *(near.get(i) or (_sample(r.before, name, order), _sample(r.after, name, order)) if shown else ([], [])),
                     r.status, r.error, r.columns_added, r.columns_removed,
                 )
             )
@@ -124,8 +132,10 @@ class Execution:
     def rows_affected(self) -> dict[int, int]:
         """Changed cells (or removed rows) per record."""
         place = {id(r): i for i, r in enumerate(self.records)}
-        out: dict[int, int] = {}
+        out = {i: r.rows_affected for i, r in enumerate(self.records) if r.rows_affected is not None}
         for batch in self.batches:
+            if all(place[id(r)] in out for r in batch):
+                continue
             flagged, aggs = batch[0].before, []
             for r in batch:
                 i = place[id(r)]
@@ -145,6 +155,46 @@ class Execution:
                 out |= {int(k[1:]): n for k, n in row.items()}
         return out
 
+    def _first_rows(self) -> dict[int, tuple[list[str], list[str]]]:
+        """Samples before and after the actions between two barriers, from one look at the first rows.
+
+        An action is left out if these rows don't hold enough values and the table has more rows.
+        """
+        out = {}
+        place = {id(r): i for i, r in enumerate(self.records)}
+        for run in self._between_barriers():
+            start = run[0].before
+            if self.order_by not in start.columns:
+                continue
+            rows = start.orderBy(col(self.order_by)).limit(SAMPLE_ROWS)
+            names = []
+            for r in run:
+                i, name = place[id(r)], r.action.column_name
+                seen = lambda end, i=i, name=name: F.array(col(name).cast("string")).alias(f"__{end}{i}")
+                held = name is not None and name in rows.columns
+                rows = rows.select("*", seen("b")) if held else rows
+                rows = r.fitted.transform(rows)
+                if held and name in rows.columns:
+                    rows = rows.select("*", seen("a"))
+                    names.append(i)
+            wanted = [F.col(f"__{end}{i}")[0].alias(f"__{end}{i}") for i in names for end in "ba"]
+            first = sorted(rows.select(col(self.order_by).alias("__o"), *wanted).collect(), key=lambda x: x["__o"]) if wanted else []
+            for i in names:
+                ends = [[x[f"__{end}{i}"] for x in first if x[f"__{end}{i}"] is not None] for end in "ba"]
+                if len(first) < SAMPLE_ROWS or all(len(e) >= SAMPLE for e in ends):
+                    out[i] = (ends[0][:SAMPLE], ends[1][:SAMPLE])
+        return out
+
+    def _between_barriers(self) -> list[list[Record]]:
+        """Records that were executed one after the other on the same rows and columns."""
+        out: list[list[Record]] = [[]]
+        for batch in self.batches:
+            if is_barrier(batch[0].step):
+                out.append([])
+            else:
+                out[-1] += batch
+        return [x for x in out if x]
+
     def totals(self) -> dict[str, Any]:
         counts = self.rows_affected()
         return {
@@ -183,15 +233,58 @@ def _sample(df: DataFrame, name: str, order_by: str | None) -> list[str]:
     return [row["v"] for row in known.select(col(name).cast("string").alias("v")).limit(SAMPLE).collect()]
 
 
-def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None) -> Execution:
-    """Execute the approved actions of a cleaning or feature plan."""
+class Flags:
+    """The frame of a staged run since the last barrier, with a flag for every cell that an action changed."""
+
+    def __init__(self, df: DataFrame):
+        self.start = self.df = df
+        self.flags: list[tuple[str, Record]] = []
+
+    def add(self, record: Record) -> None:
+        """The action just done on the frame, done on the flagged frame too."""
+        name = record.action.column_name
+        if name is None or name not in record.before.columns or name not in record.after.columns:
+            self.df = record.fitted.transform(self.df)
+            return
+        flag = f"__changed{len(self.flags)}"
+        done = record.fitted.transform(self.df.withColumn("__old", col(name)))
+        changed = _changed(F.col("__old"), record.before.schema[name].dataType, col(name), record.after.schema[name].dataType)
+        self.df = done.withColumn(flag, changed).drop("__old")
+        self.flags.append((flag, record))
+
+    def stage(self) -> DataFrame:
+        """The written frame; the records get their counts from the pass that writes it."""
+        if self.df is self.start:
+            return self.df
+        seen = Observation()
+        counts = [F.count_if(F.col(flag)).alias(flag) for flag, _ in self.flags]
+        observed = self.df.observe(seen, F.count(F.lit(1)).alias("__n"), *counts)
+        written = stage_table(observed.drop(*[flag for flag, _ in self.flags]), "plan")
+        found = seen.get
+        if found["__n"] == written.count():
+            for flag, record in self.flags:
+                record.rows_affected = found[flag]
+        return written
+
+
+def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None, staged: bool = False) -> Execution:
+    """Execute the approved actions of a cleaning or feature plan.
+
+    ``staged`` writes the frame at barriers and at the end, with the counts of the log.
+    """
     run = Execution(df, df, order_by=order_by)
     pending: list[tuple[Record, Step]] = []
     written: set[str] = set()
+    flags = Flags(df)
 
     def flush() -> None:
+        nonlocal flags
         if not pending:
             return
+        barrier = is_barrier(pending[0][1])
+        if staged and barrier:
+            run.df = flags.stage()
+            flags = Flags(run.df)
         for record, fitted in _fit_batch(run.df, pending):
             if fitted is None:
                 continue
@@ -201,6 +294,12 @@ def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None) -> Executio
             except FAULTS as e:
                 record.status, record.error, record.step = "failed", _reason(e), None
             record.after = run.df
+            if staged and record.step is not None and barrier:
+                if not isinstance(record.step, (c.RenameColumn, c.DropColumn)):
+                    run.df = record.after = stage_table(run.df, "plan")
+                flags = Flags(run.df)
+            elif staged and record.step is not None:
+                flags.add(record)
         done = [r for r, _ in pending if r.step is not None]
         if done:
             run.batches.append(done)
@@ -230,6 +329,8 @@ def run_plan(df: DataFrame, plan: Plan, order_by: str | None = None) -> Executio
         if is_barrier(step):
             flush()
     flush()
+    if staged:
+        run.df = flags.stage()
     return run
 
 

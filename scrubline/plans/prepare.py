@@ -13,7 +13,6 @@ from scrubline.plans.actions import Plan
 from scrubline.plans.audit import append_event, cleaning_event, feature_event
 from scrubline.plans.execute import Execution, run_plan
 from scrubline.plans.recommend import recommend_cleaning, recommend_features
-from scrubline.session import stage_table
 
 QUALITY_TARGET = 70.0
 MAX_ATTEMPTS = 2
@@ -76,8 +75,8 @@ def prepare(
     before = overall_quality(profile).first()[0] or 0.0
     current, attempt = df, 1
     while True:
-        run = run_plan(current, plan, row_id)
-        cleaned = stage_table(run.df, "cleaned")
+        run = run_plan(current, plan, row_id, staged=True)
+        cleaned = run.df
         report = validate(df, cleaned, before, run.succeeded, run.executed, ignore)
         if report.summary["after_quality_score"] >= target_score or attempt == MAX_ATTEMPTS:
             break

@@ -308,3 +308,55 @@ def test_sinks(spark, sales, tmp_path):
     assert back.columns == nested.columns and back.count() == len(SALES)
     changed = sinks.changed_cells(sales, sales.withColumn("name", F.trim("name")), "row_id").collect()
     assert [tuple(r) for r in changed] == [(0, "name", " Ann ", "Ann")]
+
+
+def staged_plan():
+    steps = [
+        ("trim_whitespace", "t", {}), ("normalize_case", "t", {"case": "upper"}), ("convert_type", "x", {"target_type": "float"}),
+        ("fill_missing", "x", {"strategy": "median"}), ("handle_outlier", "x", {"action": "cap"}), ("rename_column", "t", {"new_name": "u"}),
+        ("fill_missing", "u", {"strategy": "mode"}), ("fill_missing", "y", {"strategy": "ffill"}), ("remove_duplicates", None, {"keep": "first"}),
+        ("trim_whitespace", "absent", {}),
+    ]
+    return Plan([Action(f"a{i}", kind, name, params) for i, (kind, name, params) in enumerate(steps)])
+
+
+def staged_rows(spark, n=300):
+    cell = lambda i, xs: xs[i * 7 % len(xs)]
+    rows = [(i, cell(i, [" a", "b", None, "N/A", "A "]), cell(i, ["1", "2", " 3", None, "900", "4.0"]), cell(i, [None, 5, None, 7])) for i in range(n)]
+    rows += [(n + i, *rows[i][1:]) for i in range(20)]
+    return spark.createDataFrame(rows, "id long, t string, x string, y long")
+
+
+def test_a_staged_run_gives_the_same_frame_and_log(spark):
+    df = staged_rows(spark).repartition(4)
+    lazy, staged = run_plan(df, staged_plan(), "id"), run_plan(df, staged_plan(), "id", staged=True)
+    assert [r.status for r in staged.records] == [r.status for r in lazy.records]
+    assert sorted(map(str, staged.df.collect())) == sorted(map(str, lazy.df.collect()))
+    counted = [r.rows_affected for r in staged.records if r.action.action_type in ("trim_whitespace", "convert_type", "handle_outlier") and r.step]
+    assert len(counted) == 3 and None not in counted
+    assert [tuple(r) for r in staged.log().collect()] == [tuple(r) for r in lazy.log().collect()]
+
+
+def test_samples_look_further_when_the_first_rows_hold_too_few(spark, monkeypatch):
+    from scrubline.plans import execute
+
+    df = staged_rows(spark)
+    want = [tuple(r) for r in run_plan(df, staged_plan(), "id").log().collect()]
+    monkeypatch.setattr(execute, "SAMPLE_ROWS", 3)
+    assert [tuple(r) for r in run_plan(df, staged_plan(), "id", staged=True).log().collect()] == want
+
+
+def test_counts_that_tasks_reported_twice_are_not_used(spark, monkeypatch):
+    from scrubline.plans import execute
+
+    class Twice(execute.Observation):
+        @property
+        def get(self):
+            return {k: 2 * v for k, v in super().get.items()}
+
+    df = staged_rows(spark)
+    want = [r["rows_affected"] for r in run_plan(df, staged_plan(), "id").log(samples=False).collect()]
+    monkeypatch.setattr(execute, "Observation", Twice)
+    run = run_plan(df, staged_plan(), "id", staged=True)
+    assert run.records[0].rows_affected is None
+    assert [r["rows_affected"] for r in run.log(samples=False).collect()] == want
