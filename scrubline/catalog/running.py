@@ -410,6 +410,39 @@ def src_xml(spark, sf):
     return readers.read_xml_records(spark, path).df
 
 
+@query(
+    "src_xml_layouts",
+    "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, NULL::VARCHAR AS phone FROM part UNION ALL "
+    "SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR) FROM supplier",
+)
+def src_xml_layouts(spark, sf):
+    """One folder with documents of two kinds of records."""
+    path = shared_path(spark, "xml-layouts")
+    parts = table(spark, sf, "part").selectExpr("cast(p_partkey as string) as id", "p_name as name")
+    parts.repartition(2).write.format("xml").option("rowTag", "part").option("rootTag", "catalog").save(f"{path}/parts")
+    makers = table(spark, sf, "supplier").selectExpr("cast(s_suppkey as string) as id", "s_name as name", "cast(s_nationkey as string) as phone")
+    makers.repartition(2).write.format("xml").option("rowTag", "maker").option("rootTag", "makers").save(f"{path}/makers")
+    return readers.read_xml_records(spark, path).df.select("id", "name", "phone")
+
+
+@query(
+    "src_folder",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, NULL::VARCHAR AS region FROM nation UNION ALL "
+    "SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL FROM supplier UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL "
+    "SELECT CAST(p_partkey AS VARCHAR), p_name, NULL FROM part",
+)
+def src_folder(spark, sf):
+    """A folder of XML, Parquet and two kinds of delimited files, read as one table."""
+    path = shared_path(spark, "folder")
+    table(spark, sf, "nation").selectExpr("n_nationkey as key", "n_name as name").coalesce(1).write.option("header", True).csv(f"{path}/nation")
+    table(spark, sf, "supplier").selectExpr("s_suppkey as key", "s_name as name").repartition(2).write.parquet(f"{path}/supplier")
+    parts = table(spark, sf, "part").selectExpr("p_partkey as key", "p_name as name")
+    parts.coalesce(1).write.format("xml").option("rowTag", "part").option("rootTag", "catalog").save(f"{path}/part")
+    customers = table(spark, sf, "customer").selectExpr("c_custkey as key", "c_name as name", "c_nationkey as region")
+    customers.repartition(2).write.option("header", True).option("sep", ";").csv(f"{path}/customer")
+    return readers.read_any(spark, path).df.select("key", "name", "region")
+
+
 @query("read_any", "SELECT r_regionkey, r_name FROM region")
 def read_any(spark, sf):
     return readers.read_any(spark, f"{sf}/region.parquet").df

@@ -27,6 +27,8 @@ FORMATS = {
     ".xml": "xml", ".parquet": "parquet",
 }
 RANGE_BYTES = 64 << 20
+# bytes of an XML document after which a repeated element below the first level is taken for the record
+TAG_BYTES = 16 << 20
 EXTRA = "__extra_cell"
 LINE = "__line"
 
@@ -45,7 +47,7 @@ class Source:
 # ---- looking at files -----------------------------------------------------------
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length) per file; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length")
@@ -176,7 +178,7 @@ def read_delimited(
     n = left_out.count()
     if n:
         warnings.append(f"{n} rows with more cells than the header")
-    return Source(together(parts), "csv", path, warnings, left_out)
+    return Source(together(parts), "csv", _named(path), warnings, left_out)
 
 
 def header_names(header: str, sep: str) -> list[str]:
@@ -231,7 +233,7 @@ def read_json_records(spark: SparkSession, path: str, records_path: str | None =
         raw = raw.select(F.explode(F.col(_quoted(found))).alias("record")).select("record.*")
     elif not lines and any(isinstance(f.dataType, T.StructType) for f in raw.schema):
         warnings.append("no record array found; the root object is the record")
-    return Source(flatten_struct(raw), "json", path, warnings)
+    return Source(flatten_struct(raw), "json", _named(path), warnings)
 
 
 def _quoted(path: str) -> str:
@@ -278,15 +280,23 @@ def flatten_struct(df: DataFrame, joiner: str | None = None) -> DataFrame:
 # ---- XML ------------------------------------------------------------------------
 
 
-def read_xml_records(spark: SparkSession, path: str, row_tag: str | None = None) -> Source:
-    """XML as a flat all-string table; attributes and text become plain columns."""
-    warnings = []
-    if row_tag is None:
-        row_tag = _repeating_tag(spark, path)
-    raw = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
-    flat = flatten_struct(raw, joiner="|")
-    names = [_xml_name(c) for c in flat.columns]
-    return Source(flat.toDF(*names), "xml", path, warnings)
+def read_xml_records(spark: SparkSession, path: str | list[str], row_tag: str | None = None) -> Source:
+    """XML as a flat all-string table; attributes and text become plain columns.
+
+    Without ``row_tag`` the record element is found in each file; files that agree are read together, and a record of one
+    layout has no values in the columns of another.
+    """
+    layouts = {row_tag: path} if row_tag else record_tags(spark, path)
+    parts = []
+    for tag, paths in sorted(layouts.items()):
+        flat = flatten_struct(_read_xml(spark, tag, paths), joiner="|")
+        parts.append(flat.toDF(*[_xml_name(c) for c in flat.columns]))
+    warnings = [] if len(layouts) == 1 else [f"{len(layouts)} layouts (record element): {', '.join(sorted(layouts))}"]
+    return Source(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), "xml", _named(path), warnings)
+
+
+def _read_xml(spark: SparkSession, tag: str, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(paths)
 
 
 def _xml_name(name: str) -> str:
@@ -296,38 +306,72 @@ def _xml_name(name: str) -> str:
     return ".".join(parts)
 
 
-def _repeating_tag(spark: SparkSession, path: str, max_depth: int = 5) -> str:
-    """The shallowest element that occurs more than once, found from the inferred schema."""
-    root = _root_tag(spark, path)
-    schema = spark.read.format("xml").option("rowTag", root).option("inferSchema", False).load(path).schema
-    level = [schema]
-    for _ in range(max_depth + 1):
-        below = []
-        for struct in level:
-            for f in struct.fields:
-                if isinstance(f.dataType, T.ArrayType):
-                    return f.name
-                if isinstance(f.dataType, T.StructType):
-                    below.append(f.dataType)
-        level = below
-    return root
-
-
-def _root_tag(spark: SparkSession, path: str) -> str:
-    """The first element of the first file that is neither a declaration nor a comment."""
-    first = list_files(spark, path).orderBy("path").first()["path"]
-    with _open(first) as f:
-        head = f.read(SNIFF_CHARS * 4).decode("utf-8", "replace")
-        while True:
-            plain = re.sub(r"<!--.*?-->", "", head, flags=re.S)
-            # an open comment may hold tags: read on to its end
-            found = re.search(r"<([A-Za-z_][\w.:-]*)", plain.partition("<!--")[0])
-            if found:
-                return found.group(1)
-            more = f.read(1 << 20)
-            if not more:
-                raise ValueError(f"no XML element in {first}")
-            head += more.decode("utf-8", "replace")
+def record_tags(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Record element to files: the shallowest element that occurs twice under one parent, else the root.
+
+    Tasks stream the start tags of their files; one row per file reaches the driver.
+    """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tags = []
+            for uri in pdf["path"]:
+                with _open(uri) as f:
+                    tags.append(record_tag(iter(lambda f=f: f.read(1 << 20), b"")))
+            yield pd.DataFrame({"path": pdf["path"], "tag": tags})
+
+    found = list_files(spark, path).where("length > 0").repartition("path").mapInPandas(find, "path string, tag string").collect()
+    layouts: dict[str, list[str]] = {}
+    for r in sorted(found):
+        if r["tag"]:
+            layouts.setdefault(r["tag"], []).append(r["path"])
+    if not layouts:
+        raise ValueError(f"no XML element in {path}")
+    return layouts
+
+
+_MARKUP = re.compile(
+    rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!(?!--|\[)[^>]*>|<(?P<end>/)?(?P<name>[A-Za-z_][\w:.-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S
+)
+
+
+def record_tag(chunks: Iterator[bytes], enough: int = TAG_BYTES) -> str | None:
+    """The record element of one document, given in pieces; None if it has no element.
+
+    An element that repeats below the root ends the search. A deeper one wins at the end of the document, or
+    once ``enough`` bytes hold none above it.
+    """
+    counts: list[dict[bytes, int]] = [{}]
+    best: tuple[int, bytes] | None = None
+    root, rest, seen = None, b"", 0
+    for chunk in chunks:
+        seen += len(chunk)
+        text, at = rest + chunk, 0
+        for m in _MARKUP.finditer(text):
+            at = m.end()
+            name = m["name"]
+            if name is None:
+                continue
+            if m["end"]:
+                if len(counts) > 1:
+                    counts.pop()
+                continue
+            root = root or name
+            depth = len(counts) - 1
+            counts[-1][name] = counts[-1].get(name, 0) + 1
+            if depth and counts[-1][name] == 2 and (best is None or depth < best[0]):
+                best = (depth, name)
+                if depth == 1:
+                    return name.decode("utf-8", "replace")
+            if not m[0].endswith(b"/>"):
+                counts.append({})
+        # markup may be cut by the end of the piece
+        cut = text.rfind(b"<", at)
+        rest = text[cut:] if cut >= 0 else b""
+        if best and seen >= enough:
+            break
+    tag = best[1] if best else root
+    return tag.decode("utf-8", "replace") if tag else None
 
 
 # ---- dispatch -------------------------------------------------------------------
@@ -338,19 +382,43 @@ def supported_formats() -> list[str]:
 
 
 def read_any(spark: SparkSession, path: str, **options) -> Source:
-    """Read by file extension."""
+    """Read by file extension; a folder's files are read by theirs, and the tables united by column name."""
     kind = FORMATS.get(os.path.splitext(path.rstrip("/"))[1].lower())
+    if kind is not None:
+        return _read_as(spark, kind, path, options)
+    groups: dict[str, list[str]] = {}
+    # one row per input file
+    for r in list_files(spark, path).where("length > 0").select("path").collect():
+        name = os.path.basename(r["path"])
+        if not name.startswith(("_", ".")):
+            groups.setdefault(FORMATS.get(os.path.splitext(name)[1].lower(), ""), []).append(r["path"])
+    others = groups.pop("", [])
+    if not groups:
+        raise ValueError(f"unsupported file type: {path}")
+    sources = [_read_as(spark, k, sorted(paths), options) for k, paths in sorted(groups.items())]
+    warnings = [w for s in sources for w in s.warnings]
+    if others:
+        warnings.append(f"{len(others)} files of other types")
+    if len(sources) == 1:
+        return Source(sources[0].df, sources[0].format, path, warnings, sources[0].rejected)
+    texts = [s.df.select(*[col(c).cast("string").alias(c) for c in s.df.columns]) for s in sources]
+    rejected = next((s.rejected for s in sources if s.rejected is not None), None)
+    union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), texts)
+    return Source(union, "+".join(s.format for s in sources), path, warnings, rejected)
+
+
+def _named(path: str | list[str]) -> str:
+    return path if isinstance(path, str) else ",".join(path)
+
+
+def _read_as(spark: SparkSession, kind: str, path: str | list[str], options: dict) -> Source:
     if kind == "csv":
         return read_delimited(spark, path, **options)
-    if kind == "json":
-        return read_json_records(spark, path, **options)
-    if kind == "jsonl":
-        return read_json_records(spark, path, lines=True, **options)
+    if kind in ("json", "jsonl"):
+        return read_json_records(spark, path, lines=kind == "jsonl", **options)
     if kind == "xml":
         return read_xml_records(spark, path, **options)
-    if kind == "parquet":
-        return Source(spark.read.parquet(path), "parquet", path)
-    raise ValueError(f"unsupported file type: {path}")
+    return Source(spark.read.parquet(*([path] if isinstance(path, str) else path)), "parquet", _named(path))
 
 
 # ---- after reading --------------------------------------------------------------
@@ -394,9 +462,8 @@ def file_metadata(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         df = spark.read.option("primitivesAsString", True).option("multiLine", fmt == "json").json(path)
         return _per_file(df, fmt, "UTF-8", len(df.columns))
     if fmt == "xml":
-        tag = _repeating_tag(spark, path)
-        df = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(path)
-        return _per_file(df, fmt, "UTF-8", len(df.columns))
+        read = [_read_xml(spark, tag, paths) for tag, paths in sorted(record_tags(spark, path).items())]
+        return reduce(DataFrame.unionByName, [_per_file(df, fmt, "UTF-8", len(df.columns)) for df in read])
     df = spark.read.parquet(path)
     return _per_file(df, fmt, None, len(df.columns))
 
