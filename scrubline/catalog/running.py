@@ -23,7 +23,7 @@ from scrubline.operators.validate import validate
 from scrubline.plans import audit
 from scrubline.plans.actions import Action, Plan
 from scrubline.plans.execute import run_plan
-from scrubline.plans.prepare import prepare, propose
+from scrubline.plans.prepare import prepare, prepare_path, propose
 from scrubline.plans.recommend import recommend_features
 from scrubline.session import shared_path, stage_table
 from scrubline.sources import readers, sinks
@@ -396,6 +396,20 @@ def flatten_nested(spark, sf):
     return readers.flatten_struct(nested)
 
 
+@query(
+    "prepare_path",
+    "SELECT 'orders' AS file_name, 'csv' AS file_format, 64 AS hash_length, count(*) AS row_count_before, count(*) AS row_count_after FROM orders",
+)
+def prepare_path_query(spark, sf):
+    """The orders written as a folder of delimited files and prepared from there; the audit's account of it."""
+    path = shared_path(spark, "delivered")
+    prices = table(spark, sf, "orders").selectExpr("o_orderkey as key", "concat('$', o_totalprice) as price", "concat(' ', o_orderpriority) as priority")
+    sinks.write_csv(prices, f"{path}/orders")
+    prepare_path(spark, f"{path}/orders", f"{path}/home", audit_path=f"{path}/audit")
+    events = audit.audit_history(spark, f"{path}/audit")
+    return events.select("file_name", "file_format", F.length("file_hash").alias("hash_length"), "row_count_before", "row_count_after")
+
+
 @query("src_xml", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS \"maker.value\", p_type AS \"maker.kind\", 'new|checked' AS tags FROM part")
 def src_xml(spark, sf):
     """Parts as XML with attributes, text and repeated elements; the row tag is found."""

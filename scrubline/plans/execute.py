@@ -206,6 +206,38 @@ class Execution:
         }
 
 
+@dataclass
+class Logged:
+    """A run that was executed earlier: its frame and its stored log."""
+
+    df: DataFrame
+    stored: DataFrame
+
+    def __post_init__(self):
+        # one row per action
+        self.rows = self.stored.collect()
+
+    @property
+    def executed(self) -> int:
+        return len(self.rows)
+
+    @property
+    def succeeded(self) -> int:
+        return sum(1 for r in self.rows if r["status"] != "failed")
+
+    def log(self, samples: bool = True) -> DataFrame:
+        return self.stored if samples else self.stored.withColumns({c: F.array().cast("array<string>") for c in ("before_sample", "after_sample")})
+
+    def totals(self) -> dict[str, Any]:
+        return {
+            "total_actions_executed": self.executed,
+            "total_actions_succeeded": self.succeeded,
+            "total_rows_modified": sum(r["rows_affected"] for r in self.rows),
+            "columns_added_total": sum(len(r["columns_added"]) for r in self.rows),
+            "columns_removed_total": sum(len(r["columns_removed"]) for r in self.rows),
+        }
+
+
 def _changed(old: Column, old_kind, new: Column, new_kind) -> Column:
     """Whether a cell means something else: a number written as text is the same number."""
     same = old.cast("string").eqNullSafe(new.cast("string"))

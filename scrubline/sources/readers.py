@@ -9,7 +9,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +40,15 @@ class Source:
     df: DataFrame
     format: str
     path: str
-    warnings: list[str] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
     rejected: DataFrame | None = None
 
+    @cached_property
+    def warnings(self) -> list[str]:
+        """The notes, and the number of rows left out, which are counted when this is first asked for."""
+        n = self.rejected.count() if self.rejected is not None else 0
+        return [*self.notes, *([f"{n} rows with more cells than the header"] if n else [])]
+
 
 # ---- looking at files -----------------------------------------------------------
 
@@ -174,11 +180,7 @@ def read_delimited(
         raise ValueError(f"no delimited text in {path}")
     together = lambda dfs: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
     warnings = [] if len(layouts) == 1 else [f"{len(layouts)} layouts (delimiter, encoding, header)"]
-    left_out = together(rejected)
-    n = left_out.count()
-    if n:
-        warnings.append(f"{n} rows with more cells than the header")
-    return Source(together(parts), "csv", _named(path), warnings, left_out)
+    return Source(together(parts), "csv", _named(path), warnings, together(rejected))
 
 
 def header_names(header: str, sep: str) -> list[str]:
@@ -396,7 +398,7 @@ def read_any(spark: SparkSession, path: str, **options) -> Source:
     if not groups:
         raise ValueError(f"unsupported file type: {path}")
     sources = [_read_as(spark, k, sorted(paths), options) for k, paths in sorted(groups.items())]
-    warnings = [w for s in sources for w in s.warnings]
+    warnings = [w for s in sources for w in s.notes]
     if others:
         warnings.append(f"{len(others)} files of other types")
     if len(sources) == 1:
@@ -483,6 +485,14 @@ def _per_file(df: DataFrame, fmt: str, encoding: str | None, columns: int, bad:
     )
 
 
+def content_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file; of a folder, that of its files' names and hashes in order of name."""
+    files = sorted((r["file_name"], r["sha256"]) for r in file_hashes(spark, path).collect())
+    if len(files) == 1:
+        return files[0][1]
+    return hashlib.sha256("\n".join(f"{sha} {name}" for name, sha in files).encode()).hexdigest()
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, sha256) per file; files are streamed through the tasks in chunks."""
 

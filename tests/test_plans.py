@@ -360,3 +360,52 @@ def test_counts_that_tasks_reported_twice_are_not_used(spark, monkeypatch):
     run = run_plan(df, staged_plan(), "id", staged=True)
     assert run.records[0].rows_affected is None
     assert [r["rows_affected"] for r in run.log(samples=False).collect()] == want
+
+
+def test_a_run_from_a_path_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from scrubline.plans import prepare as prep
+
+    data = tmp_path / "shop.csv"
+    data.write_text("price,kind\n" + "".join(f"${i % 9}.5, toys \n" for i in range(60)) + "N/A,food\n\n")
+    home, audit = str(tmp_path / "home"), str(tmp_path / "audit")
+    done = []
+
+    def counted(name, at=None):
+        real = getattr(prep, name)
+
+        def call(*args, **kw):
+            done.append(name)
+            if len(done) == at:
+                raise RuntimeError("killed")
+            return real(*args, **kw)
+
+        monkeypatch.setattr(prep, name, call)
+
+    for name in ("read_any", "propose", "run_plan", "validate"):
+        counted(name)
+    call = lambda: prep.prepare_path(spark, str(data), home, audit_path=audit)
+    real = prep.run_plan
+    monkeypatch.setattr(prep, "run_plan", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        call()
+    assert done == ["read_any", "read_any", "propose"]
+    monkeypatch.setattr(prep, "run_plan", real)
+    validate = prep.validate
+    monkeypatch.setattr(prep, "validate", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        call()
+    monkeypatch.setattr(prep, "validate", validate)
+    first = call()
+    assert done == ["read_any", "read_any", "propose", "run_plan", "validate"]
+    event = spark.read.json(audit).collect()
+    assert len(event) == 1
+    assert event[0]["file_hash"] == hashlib.sha256(data.read_bytes()).hexdigest()
+    assert event[0]["file_format"] == "csv" and event[0]["file_name"] == "shop.csv"
+    assert event[0]["rows_modified"] == first.run.totals()["total_rows_modified"] > 0
+    assert first.run.log().count() == first.run.executed
+    # other content is another run
+    data.write_text("price,kind\n1,a\n2,b\n")
+    prep.prepare_path(spark, str(data), home)
+    assert done.count("propose") >= 2
