@@ -46,6 +46,8 @@ TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
+# what needs no > to its end
+OPEN = re.compile(r"<!--.*|<[!?][^>]*", re.DOTALL)
 HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
@@ -103,8 +105,11 @@ def blocks(html: str) -> list[Block]:
         pop()
 
     at, end = 0, len(html)
+    # no tag ends beyond the last >, so none is looked for there; a page of tags that never end is read once
+    last = html.rfind(">") + 1
     while at < end:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, last) if at < last else None
+        m = m or OPEN.search(html, max(at, last - 1))
         piece = html[at : m.start()] if m else html[at:]
         if piece:
             piece = unescape(piece)
@@ -114,6 +119,10 @@ def blocks(html: str) -> list[Block]:
         if not m:
             break
         at = m.end()
+        if m.re is OPEN or m[0].startswith("<!--") and not m[0].endswith("-->"):
+            # a comment that never ends hides the rest
+            at = end if m[0].startswith("<!--") else at
+            continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue

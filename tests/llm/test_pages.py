@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -24,6 +25,22 @@ def test_blocks_of_broken_markup():
     assert blocks("") == [] and blocks("<!-- never closed") == []
 
 
+def test_tags_that_never_end_are_read_once():
+    """The time grows with the page, not with its square."""
+    took = []
+    for n in (20_000, 200_000):
+        pages = ["<a " * n, "<p>one</p>" + "<a " * n, "<a \"" * n, "x > " + "<b '" * n, "<!--" * n, "<! " * n + "<a "]
+        start = time.process_time()
+        for page in pages:
+            blocks(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0] + 0.5
+    assert [b.text for b in blocks("<p>one</p>two <a three")] == ["one", "two <a three"]
+    assert [b.text for b in blocks("<p>one</p>two <!-- three")] == ["one", "two"]
+    assert [b.text for b in blocks("<p>one</p>two <!-- three > four")] == ["one", "two"]
+    assert [b.text for b in blocks("a <!-- > --> b <! c > d <? e")] == ["a b d"]
+
+
 def test_held_out_pages(chain):
     wrong = total = 0
     for seed in range(20_000, 20_300):
