@@ -36,6 +36,8 @@ HEADLINE = [
     "run_fe_plan",
     "validation_report",
     "src_csv",
+    "fuzzy_dup_groups",
+    "fuzzy_dedup",
 ]
 
 
