@@ -58,27 +58,6 @@ class ValueTable:
         return left.join(right, on, "left").select(*[col(c) for c in df.columns], *payload)
 
 
-def hot_values(df: DataFrame, key: str, share: int = 1000) -> list:
-    """Values of ``key`` that hold at least 1/share of the rows: at most ``share`` of them."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = df.count()
-    return [r[0] for r in counts.where(F.col("n") * share >= total).select(key).collect()]
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread_by: str) -> DataFrame:
-    """Inner join on ``key`` with the rows of hot keys spread over ``SALTS`` tasks.
-
-    Only hot rows of the right side are repeated. ``spread_by`` is a number column of the
-    left side that differs between the rows of one key.
-    """
-    if not hot:
-        return left.join(right, key)
-    is_hot = F.col(key).isin(*hot)
-    salted = left.withColumn("__salt", F.when(is_hot, F.pmod(spread_by, F.lit(SALTS))).otherwise(0).cast("int"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(right.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__salt")
-
-
 def dense_index(distinct: DataFrame, key: str) -> DataFrame:
     """Add ``idx`` = position of each distinct key in sorted order, from 0.
 
