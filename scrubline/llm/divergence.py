@@ -4,15 +4,18 @@ A document's shares of character classes and of its language's commonest words a
 the language's mean shares by the Jensen-Shannon distance (base 2, so 0 to 1). The means are taken
 over every document of the language that is long enough to be compared.
 
-Null or blank text has no words: all counts are 0 and ``base_failed`` is true. A language without a
-reference (null, unknown, or with no long enough document) takes the reference whose common words
-the text uses most; if there is none at all the method has no objection. Repeated rows are separate
+Each language has a reference of its own. The common words of those in ``COMMON_WORDS`` are given, those of any
+other are its 20 most frequent words, counted over all its documents (ties: the smaller word).
+
+Null or blank text has no words: all counts are 0 and ``base_failed`` is true. A document without a language, or
+whose language has no words at all, takes the given language whose common words it uses most; if no document of
+that language is long enough to compare, the method has no objection. Repeated rows are separate
 rows with equal results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.session import stage_table
@@ -27,26 +30,56 @@ COMMON_WORDS = {
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 WINDOW = 5
+# common words of a language that has no given list
+COUNTED_WORDS = 20
+# references up to this many languages travel to every executor
+SMALL_ROWS = 10_000
+
+
+def _words(text: Column) -> Column:
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN))
+
+
+def _small(staged: DataFrame) -> DataFrame:
+    return F.broadcast(staged) if staged.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else staged
+
+
+def counted_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(name, counted): the commonest words of every language that ``COMMON_WORDS`` doesn't list.
+
+    Counts combine before they are shuffled, and so does the choice of the first 20.
+    """
+    rows = docs.where(~F.col(lang_col).isin(*COMMON_WORDS)).select(F.col(lang_col).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = rows.select("name", F.explode(F.transform(_words(F.col("text")), F.lower)).alias("word"))
+    found = found.groupBy("name", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "word"))
+    best = found.withColumn("place", place).where(F.col("place") <= COUNTED_WORDS)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
+    return stage_table(best.groupBy("name").agg(listed.alias("counted")), "common-words")
 
 
-def _language(lang: Column, words: Column) -> Column:
-    """The language whose reference is used: the document's own, else the one with most common words."""
+def _nearest(words: Column) -> Column:
+    """The given language with most common words in a text."""
     lower = F.transform(words, F.lower)
     hits = [
         F.struct(F.size(F.array_intersect(lower, F.array(*map(F.lit, listed)))).alias("n"), F.lit(name).alias("name"))
         for name, listed in sorted(COMMON_WORDS.items())
     ]
-    return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.greatest(*hits)["name"])
+    return F.greatest(*hits)["name"]
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and histograms of each document, one row per input row, without any shuffle."""
+    """Counts and histograms of each document, one row per input row; only unlisted languages are counted before."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.btrim(F.col("text"), F.lit(BLANKS))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     df = df.select("doc_id", "lang", text.alias("text"))
-    empty = F.array().cast("array<string>")
-    df = df.withColumn("words", F.when(bare == "", empty).otherwise(F.split(bare, BLANK_RUN)))
+    more = counted_words(docs, text_col, lang_col)
+    if more.isEmpty():
+        df = df.withColumn("counted", F.lit(None).cast("array<string>"))
+    else:
+        df = df.join(_small(more), F.col("lang") == F.col("name"), "left").drop("name")
+    df = df.withColumn("words", _words(F.col("text")))
     df = df.withColumn("n_words", F.size("words"))
     # what is left without lower-case letters and blanks is short and cheap to search again
     df = df.withColumn("rest", F.regexp_replace("text", "[\\p{Ll}\\x20\\x09-\\x0D]+", ""))
@@ -56,13 +89,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     grams = F.when(
         F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), gram)
     ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("grams", grams).withColumn("ref", _language(F.col("lang"), F.col("words")))
+    own = F.col("lang").isin(*COMMON_WORDS) | F.col("counted").isNotNull()
+    df = df.withColumn("grams", grams).withColumn("ref", F.when(own, F.col("lang")).otherwise(_nearest(F.col("words"))))
 
     def count(pattern: str) -> Column:
         return F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))
 
     listed = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    df = df.withColumn("listed", F.element_at(listed, F.col("ref")))
+    df = df.withColumn("listed", F.coalesce("counted", F.try_element_at(listed, F.col("ref"))))
     places = F.transform("words", lambda w: F.array_position("listed", F.lower(w)))
     df = df.withColumn("hits", F.array_remove(places, 0))
     repeated = F.size(F.array_distinct("grams")) < F.size("grams")
@@ -106,11 +140,15 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def references(measured: DataFrame, min_words: int) -> list:
+def references(measured: DataFrame, min_words: int) -> DataFrame:
     """Mean shares per language over all documents that are long enough: one row per language."""
+    most = max(COUNTED_WORDS, *map(len, COMMON_WORDS.values())) + 1
     means = [F.avg(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(7)]
-    means += [F.avg(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(max(map(len, COMMON_WORDS.values())) + 1)]
-    return measured.where(F.col("n_words") >= min_words).groupBy("ref").agg(*means).collect()
+    means += [F.avg(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(most)]
+    by = measured.where(F.col("n_words") >= min_words).groupBy("ref").agg(F.max(F.size("common")).alias("size"), *means)
+    common = F.slice(F.array(*[f"w{k}" for k in range(most)]), F.lit(1), F.col("size"))
+    by = by.select(F.col("ref").alias("name"), F.array(*[f"c{k}" for k in range(7)]).alias("class_ref"), common.alias("common_ref"))
+    return stage_table(by, "references")
 
 
 def quality_rules(
@@ -125,15 +163,7 @@ def quality_rules(
     need every document before the first can be compared.
     """
     measured = stage_table(measure(docs, id_col, text_col, lang_col), "quality")
-    refs = references(measured, min_words)
-    none = F.lit(None).cast("array<double>")
-    pick = {"classes": none, "common": none}
-    for r in refs:
-        size = len(COMMON_WORDS[r["ref"]]) + 1
-        vectors = {"classes": [r[f"c{k}"] for k in range(7)], "common": [r[f"w{k}"] for k in range(size)]}
-        for name, v in vectors.items():
-            pick[name] = F.when(F.col("ref") == r["ref"], F.array(*[F.lit(float(x)) for x in v])).otherwise(pick[name])
-    df = measured.withColumn("class_ref", pick["classes"]).withColumn("common_ref", pick["common"])
+    df = measured.join(_small(references(measured, min_words)), F.col("ref") == F.col("name"), "left")
     df = df.withColumn("class_distance", _distance(F.col("classes"), F.col("class_ref")))
     df = df.withColumn("common_distance", _distance(F.col("common"), F.col("common_ref")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

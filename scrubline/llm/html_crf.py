@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.html_blocks import Block, blocks
+from scrubline.llm.text import small_batches
 
 TRAINING_PAGES = 500
 EPOCHS = 12
@@ -278,6 +279,7 @@ def extract(
     pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     chain = chain or trained()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.llm.text import small_batches
+
 UNDETERMINED = "und"
 LETTER = "\\p{L}"
 # rows per language to learn from, characters of each, and bytes of a dictionary
@@ -135,6 +137,7 @@ def choose(languages: list[str], sizes: list[int]) -> tuple[str, float, float]:
 
 def identify(df: DataFrame, contents: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """``df`` with lang_pred, score, margin and rejected, in one pass over the texts."""
+    small_batches(df.sparkSession)
     names = ("lang_pred", "score", "margin", "rejected")
     clash = [c for c in df.columns if c.lower() in names]
     if clash:

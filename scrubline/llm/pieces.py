@@ -9,8 +9,8 @@ scores). The paths go back to their blocks, and each document is the sequence of
 
 A character that is no piece costs ``UNKNOWN`` less than the worst piece and becomes its UTF-8
 bytes, so decoding gives the text back. Ties between paths go to the later start of the last
-piece, then to the larger id. Runs of over ``MAX_RUN`` characters without a blank, or of ``MAX_BLANKS``
-blanks, are cut there, so that no unit is long; no character is left out.
+piece, then to the larger id. A unit of over ``LONG`` characters (text without blanks, long runs of blanks) is
+not exploded: the same fold runs over it in a task, character by character.
 
 Null and empty texts have no pieces. U+2581 in a text counts as a blank. Repeated rows are encoded
 separately; extra columns are not read; an empty table gives an empty result.
@@ -18,7 +18,9 @@ separately; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,16 +30,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrubline.llm.text import small_batches
 from scrubline.session import stage_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_RUN = 128
-MAX_BLANKS = 16
+# characters of a unit beyond which its substrings are no rows
+LONG = 128
 UNKNOWN = 10.0
 # characters of a block of documents
 BLOCK_CHARS = 5_000_000
 MAX_PIECES = 1_000_000
-UNIT = re.compile(rf" {{0,{MAX_BLANKS}}}[^ \n]{{1,{MAX_RUN}}}| {{1,{MAX_BLANKS}}}|\n")
+UNIT = re.compile(r" *[^ \n]+| +|\n")
 # units of all blocks in one task
 UNITS_AT_ONCE = 60_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -193,6 +196,41 @@ def _with_bytes(paths: DataFrame, table: PieceTable) -> DataFrame:
     return paths.select("unit", F.when(some, expanded).otherwise(F.col("path")).alias("path"))
 
 
+def long_path(unit: str, known: dict[str, tuple[int, float]], table: PieceTable) -> list[int]:
+    """The ids of the best path of one unit, in time and memory linear in its length."""
+    longest, unknown = table.longest, table.unknown
+    best, since, piece = array("d", [0.0]), array("q", [-1]), array("q", [-1])
+    for stop in range(1, len(unit) + 1):
+        top = (-math.inf, -1, -1)
+        for start in range(max(0, stop - longest), stop):
+            hit = known.get(unit[start:stop])
+            if hit:
+                top = max(top, (best[start] + hit[1], start, hit[0]))
+            elif stop - start == 1:
+                top = max(top, (best[start] + unknown, start, -1 - start))
+        best.append(top[0])
+        since.append(top[1])
+        piece.append(top[2])
+    out, at = array("i"), len(unit)
+    while at > 0:
+        if piece[at] >= 0:
+            out.append(piece[at])
+        else:
+            out.extend(table.byte_ids[b] for b in reversed(unit[since[at]].encode()))
+        at = since[at]
+    return out[::-1].tolist()
+
+
+def _long_paths(distinct: DataFrame, table: PieceTable) -> DataFrame:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = {p: (i, s) for p, i, s in table.pieces}
+        for batch in batches:
+            yield pa.array([long_path(unit.as_py(), known, table) for unit in batch], pa.list_(pa.int32()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return distinct.select("unit", F.arrow_udf(run, "array<int>")(F.col("unit")).alias("path"))
+
+
 # ---- documents ------------------------------------------------------------------
 
 
@@ -228,6 +266,7 @@ def _assemble(paths: pa.Table, blocks: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id and ids."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = base.mapInArrow(_pack(block_chars), BLOCKS).withColumn("block", F.monotonically_increasing_id())
     blocks = stage_table(packed, "blocks")
@@ -238,7 +277,9 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     # both sides of the join read the same columns, so the units are shuffled once
     distinct = numbered.groupBy("unit").agg(F.min("of").alias("x"), F.min("number").alias("y"))
     distinct = distinct.where("x >= 0 and y >= 0").select("unit")
-    lexicon = _with_bytes(best_paths(edges(distinct, table)), table)
+    lexicon = _with_bytes(best_paths(edges(distinct.where(F.length("unit") <= LONG), table)), table)
+    if blocks.where(F.exists("units", lambda u: F.length(u) > LONG)).limit(1).count():
+        lexicon = lexicon.union(_long_paths(distinct.where(F.length("unit") > LONG), table))
     paths = numbered.join(lexicon, "unit").select("of", "number", "path")
     rows = blocks.select("block", "doc_ids", "counts", "sequence")
     return paths.groupBy("of").cogroup(rows.groupBy("block")).applyInArrow(_assemble, IDS)

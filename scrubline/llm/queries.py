@@ -101,10 +101,13 @@ ORACLE: dict[str, str] = {}
 
 _COMMON = ", ".join(f"('{lang}', {words})" for lang, words in sorted(COMMON_WORDS.items()))
 ORACLE["op5_quality_divergence"] = f"""
-WITH common(ref, listed) AS (VALUES {_COMMON}),
+WITH given(ref, listed) AS (VALUES {_COMMON}),
 d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
-best AS (SELECT r, max(struct_pack(n := len(list_intersect(list_transform(ws, lambda x: lower(x)), listed)), ref := ref)).ref AS ref FROM w, common GROUP BY r),
+found AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place
+    FROM (SELECT lang, lower(unnest(ws)) AS word FROM w WHERE lang NOT IN (SELECT ref FROM given)) GROUP BY lang, word),
+common AS (FROM given UNION ALL SELECT lang, list(word ORDER BY place) FROM found WHERE place <= 20 GROUP BY lang),
+best AS (SELECT r, max(struct_pack(n := len(list_intersect(list_transform(ws, lambda x: lower(x)), listed)), ref := ref)).ref AS ref FROM w, given GROUP BY r),
 b AS (SELECT w.*, CASE WHEN lang IN (SELECT ref FROM common) THEN lang ELSE best.ref END AS ref, len(ws) AS n_words FROM w JOIN best USING (r)),
 grams AS (SELECT r, i, ws[i:i + 4] AS gram FROM (SELECT r, ws, unnest(range(1, n_words - 3)) AS i FROM b)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM grams) WHERE c > 1),

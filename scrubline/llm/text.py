@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrubline.session import stage_table
@@ -14,6 +14,20 @@ from scrubline.session import stage_table
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 SHINGLE = 5
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to 1,000 rows and 8 MB: whole texts are larger than usual cells.
+
+    Smaller settings of the caller stay.
+    """
+    name = "spark.sql.execution.arrow.max"
+    if not 0 < int(spark.conf.get(f"{name}RecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set(f"{name}RecordsPerBatch", str(BATCH_ROWS))
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"{name}BytesPerBatch"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(f"{name}BytesPerBatch", str(BATCH_BYTES))
 
 
 def words(text: Column) -> Column:

@@ -209,3 +209,21 @@ def test_common_subsequence_is_the_heaviest():
                 table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + w[i] if a[i] == b[j] else 0)
         share, _ = latent.common_subsequence(a, b, w, 0)
         assert abs(share * w.sum() - table[-1, -1]) < 1e-9
+
+
+def test_every_language_has_its_own_reference(spark):
+    """A language without a given list is judged by its own documents, and moves no other language's verdicts."""
+    rng = random.Random(8)
+    english, fifth = divergence.COMMON_WORDS["en"][:8], "и в не на что он с как это по".split()
+    mixed = lambda listed, own, n: " ".join(rng.choice(listed) if rng.random() < 0.4 else own() for _ in range(n))
+    cyrillic = lambda: "".join(rng.choices("вод зем неб лес гор".split(), k=rng.randint(1, 3)))
+    names = "doc_id long, text string, lang string"
+    rows = [(i, mixed(english, lambda: words(rng, 1), rng.randint(40, 300)), "en") for i in range(100)]
+    others = [(1000 + i, mixed(fifth, cyrillic, rng.randint(40, 300)), "ru") for i in range(100)]
+    odd = [(2000, mixed(english, lambda: words(rng, 1), 300), "ru"), (2001, "x", "yy"), (2002, "", "zz"), (2003, None, "zz")]
+    alone = {r["doc_id"]: r for r in divergence.quality_rules(spark.createDataFrame(rows, names)).collect()}
+    got = {r["doc_id"]: r for r in divergence.quality_rules(spark.createDataFrame(rows + others + odd, names)).collect()}
+    assert len(got) == 204 and all(got[i][:8] == alone[i][:8] and np.allclose(got[i][8:], alone[i][8:]) for i in alone)
+    assert sum(got[1000 + i]["kept"] for i in range(100)) >= 98 and not got[2000]["kept"]
+    counted = {r["name"]: r["counted"] for r in divergence.counted_words(spark.createDataFrame(rows + others + odd, names), "text", "lang").collect()}
+    assert set(counted) == {"ru", "yy"} and set(fifth) <= set(counted["ru"]) and counted["yy"] == ["x"]

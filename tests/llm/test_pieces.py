@@ -54,3 +54,20 @@ def test_edges_of_the_input(edge_docs, no_docs, table):
     want = sorted((str(r["doc_id"]), r["text"] or "") for r in edge_docs.collect())
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == want
     assert pieces.encode(no_docs, table).count() == 0
+
+
+def test_long_units_are_not_cut(spark, table):
+    rng = random.Random(2)
+    joined = "".join(words(rng, 400).split())[:1000]
+    texts = [joined, "日本語テキスト" * 60, " " * 200 + "x", joined + " " + joined, "ab" * 64 + "c"]
+    known = {p: (i, s) for p, i, s in table.pieces}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.decode(pieces.encode(df, table), table).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["text"] == text
+        assert got[i]["ids"] == [x for u in pieces.units(text) for x in plain(u, table, known)]
+    assert pieces.units(texts[0]) == [" " + joined]
+    # one unit by both ways
+    short = " " + joined[:100]
+    row = pieces._with_bytes(pieces.best_paths(pieces.edges(spark.createDataFrame([(short,)], "unit string"), table)), table).first()
+    assert row["path"] == pieces.long_path(short, known, table)
