@@ -236,7 +236,16 @@ def bin_uniform(spark, sf):
     return f.Binning("value", 5, "uniform").run(table(spark, sf, "events").select("event_id", "value"))
 
 
-@query("bin_kmeans")
+@query(
+    "bin_kmeans",
+    "WITH RECURSIVE s AS (SELECT min(coalesce(value, 0)) AS lo, max(coalesce(value, 0)) AS hi, var_pop(coalesce(value, 0)) AS var, list(coalesce(value, 0)) AS xs FROM events), "
+    "step(i, c, moved) AS (SELECT 0, list_transform(range(4), lambda k: lo + (hi - lo) / 4 * (k + 0.5::DOUBLE)), NULL::DOUBLE FROM s "
+    "UNION ALL SELECT i + 1, new, list_sum(list_transform(range(1, 5), lambda k: (new[k] - c[k]) ** 2)) FROM (SELECT i, c, list_sort(list_transform(range(1, 5), lambda k: "
+    "coalesce(list_avg(list_filter(xs, lambda x: (k = 1 OR x > (c[k - 1] + c[k]) / 2) AND (k = 4 OR x <= (c[k] + c[k + 1]) / 2))), c[k]))) AS new "
+    "FROM step, s WHERE (moved IS NULL OR moved > 1e-4 * var) AND i < 300)), "
+    "e AS (SELECT (c[1] + c[2]) / 2 AS e1, (c[2] + c[3]) / 2 AS e2, (c[3] + c[4]) / 2 AS e3 FROM step ORDER BY i DESC LIMIT 1) "
+    f"SELECT event_id, value, CAST({_bins_sql(['e1', 'e2', 'e3'])} AS INTEGER) AS value_binned FROM events, e",
+)
 def bin_kmeans(spark, sf):
     return f.Binning("value", 4, "kmeans").run(table(spark, sf, "events").select("event_id", "value"))
 

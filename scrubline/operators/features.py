@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.numbers import numeric, numeric_columns, string_columns
 from scrubline.operators.analysis import correlations, distinct_counts
+from scrubline.operators.cells import Cells
 from scrubline.operators.cleaning import look_up
 from scrubline.operators.lookup import ValueTable, dense_index
 from scrubline.operators.quantiles import ranked_quantiles
@@ -215,11 +216,13 @@ class LogTransform(Scaler):
 class PowerTransform(Scaler):
     """Yeo-Johnson or Box-Cox with the maximum-likelihood lambda, then standardised.
 
-    Each search round evaluates a grid of lambdas in one aggregate; the grid shrinks
-    around the best one until it is narrower than 1e-7.
+    The column is staged. Ranges of its values give a first lambda, and one aggregate over a narrow grid around it
+    the exact one. If the optimum lies outside, rounds over shrinking grids find it.
     """
 
     GRID = 32
+    # half the width of the grid around the first lambda: its steps are short enough for a parabola
+    NEAR = 0.0155
 
     def __init__(self, column: str, method: str = "yeo-johnson"):
         if method not in ("yeo-johnson", "box-cox"):
@@ -247,8 +250,9 @@ class PowerTransform(Scaler):
             raise ValueError("box-cox needs positive values")
         if not stats["n"] or stats["min"] == stats["max"]:
             return {"lambda": 1.0, "mean": stats["min"] or 0.0, "std": 1.0, "identity": True}
-        values = df.select(filled(df, self.column).alias("x"))
-        low, high = -4.0, 4.0
+        values = stage_table(df.select(filled(df, self.column).alias("x")), "power")
+        rough = self._rough(Cells(values, stats["min"], stats["max"]).cells, stats)
+        low, high = rough - self.NEAR, rough + self.NEAR
         best = None
         while high - low > 1e-7:
             grid = [low + (high - low) * i / self.GRID for i in range(self.GRID + 1)]
@@ -272,6 +276,35 @@ class PowerTransform(Scaler):
         row = values.agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std")).first()
         return {"lambda": best, "mean": row["mean"], "std": row["std"] or 1.0, "identity": False}
 
+    def _rough(self, cells: list, stats) -> float:
+        """The best lambda if every value were the mean of its cell, by golden sections."""
+        points = [(total / n, n) for _, _, n, total in cells]
+
+        def power(x: float, lam: float) -> float:
+            if self.method == "box-cox":
+                return math.log(x) if lam == 0 else math.expm1(lam * math.log(x)) / lam
+            if x >= 0:
+                return math.log1p(x) if lam == 0 else math.expm1(lam * math.log1p(x)) / lam
+            return -math.log1p(-x) if lam == 2 else -math.expm1((2 - lam) * math.log1p(-x)) / (2 - lam)
+
+        def fit(lam: float) -> float:
+            try:
+                y = [power(x, lam) for x, _ in points]
+                mean = sum(v * n for v, (_, n) in zip(y, points, strict=True)) / stats["n"]
+                var = sum((v - mean) ** 2 * n for v, (_, n) in zip(y, points, strict=True)) / stats["n"]
+                return -stats["n"] / 2 * math.log(var) + (lam - 1) * stats["logs"]
+            except (OverflowError, ValueError):
+                return -math.inf
+
+        low, high, golden = -4.0, 4.0, (math.sqrt(5) - 1) / 2
+        while high - low > 1e-4:
+            a, b = high - golden * (high - low), low + golden * (high - low)
+            if fit(a) >= fit(b):
+                high = b
+            else:
+                low = a
+        return (low + high) / 2
+
     def _likelihood(self, values: DataFrame, grid: list[float], stats) -> list[float]:
         powers = [self.power(F.col("x"), lam, stats["min"] >= 0).alias(f"y{i}") for i, lam in enumerate(grid)]
         row = values.select(*powers).agg(*[F.var_pop(f"y{i}").alias(f"v{i}") for i in range(len(grid))]).first()
@@ -429,22 +462,32 @@ class Binning(ColumnFeature):
         return {"edges": [low, *mids, high]}
 
     def _centers(self, df, uniform, var) -> list[float]:
-        """One-dimensional k-means started from the middles of uniform bins."""
-        counts = df.groupBy(filled(df, self.column).alias("x")).agg(F.count("*").alias("n"))
-        points = stage_table(counts, "points")
+        """One-dimensional k-means started from the middles of uniform bins.
+
+        All rounds run on the driver over ranges of the values; ranges that a border between two centers came to lie in are
+        split, and the rounds are run again, until no round had to estimate anything.
+        """
+        values = stage_table(df.select(filled(df, self.column).alias("x")), "points")
+        cells = Cells(values, uniform[0], uniform[-1])
+        while True:
+            centers, inside = self._rounds(cells, uniform, var)
+            if not inside:
+                return centers
+            cells.split(inside)
+
+    def _rounds(self, cells: Cells, uniform, var) -> tuple[list[float], set[int]]:
         centers = [(a + b) / 2 for a, b in zip(uniform, uniform[1:], strict=False)]
+        inside = set()
         for _ in range(self.MAX_ROUNDS):
-            mids = [(a + b) / 2 for a, b in zip(centers, centers[1:], strict=False)]
             # a point halfway between two centers belongs to the lower one
-            own = bin_number(F.col("x"), mids, right_open=False)
-            sums = points.groupBy(own.alias("k")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m"))
-            means = {r["k"]: r["m"] for r in sums.collect()}
-            moved = sorted(means.get(k, c) for k, c in enumerate(centers))
+            found = [(0, 0.0, None), *[cells.upto((a + b) / 2) for a, b in zip(centers, centers[1:], strict=False)], cells.upto(uniform[-1])]
+            inside |= {i for _, _, i in found if i is not None}
+            moved = sorted((t2 - t1) / (n2 - n1) if n2 > n1 else c for c, (n1, t1, _), (n2, t2, _) in zip(centers, found, found[1:], strict=False))
             shift = sum((a - b) ** 2 for a, b in zip(centers, moved, strict=True))
             centers = moved
             if shift <= 1e-4 * var:
                 break
-        return centers
+        return centers, inside
 
     def apply(self, df, stats):
         inner = stats["edges"][1:-1]

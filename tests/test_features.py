@@ -217,3 +217,25 @@ def test_analysis(people):
     assert rows["rooms"]["coefficient_of_variation"] == 0.0
     assert rows["rooms"]["correlation_with_target"] is None
     assert [r["column_name"] for r in a.low_variance_columns(people).collect()] == ["rooms"]
+
+
+def test_kmeans_bins_are_those_of_plain_rounds(spark):
+    """Heavy tails, so that the first ranges hold many different values, and few jobs whatever the rounds."""
+    x = np.sort(np.random.default_rng(5).lognormal(0, 2.5, 5000))
+    edges = x[0] + (x[-1] - x[0]) / 6 * np.arange(7)
+    centers, var = (edges[1:] + edges[:-1]) / 2, x.var()
+    for _ in range(300):
+        own = np.searchsorted((centers[1:] + centers[:-1]) / 2, x, side="left")
+        moved = np.sort([x[own == k].mean() if (own == k).any() else c for k, c in enumerate(centers)])
+        shift, centers = ((moved - centers) ** 2).sum(), moved
+        if shift <= 1e-4 * var:
+            break
+    step = f.Binning("c", 6, "kmeans")
+    sc = spark.sparkContext
+    sc.setJobGroup("kmeans", "")
+    got = step.fit(frame(spark, [float(v) for v in x])).stats["edges"]
+    jobs = len(sc.statusTracker().getJobIdsForGroup("kmeans"))
+    sc.setJobGroup("", "")
+    assert got[1:-1] == pytest.approx(list((centers[1:] + centers[:-1]) / 2), rel=1e-9) and jobs <= 12
+    assert f.Binning("c", 3, "kmeans").fit(frame(spark, [2.0, 2.0, None])).stats["edges"]
+    assert f.Binning("c", 3, "kmeans").fit(frame(spark, [2.0, 2.0])).stats["edges"] == []
