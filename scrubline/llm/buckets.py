@@ -58,7 +58,7 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         own = _labelled(own, label)
         sizes = own.groupBy("blob").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
         sizes = stage_table(sizes.where(f"x <> y and m > {start}").select("blob", "m"), "sizes")
-        own = stage_table(own.join(_small(sizes), "blob"), "open")
+        own = stage_table(own.join(small(sizes), "blob"), "open")
         pivots = own.where((place >= F.lit(float(start)) / F.col("m")) & (place < F.lit(float(picked)) / F.col("m")))
         label = _merge(label, components(_links_in_blobs(pivots, own, similarity), "low", "high"))
         own = own.drop("m", "component")
@@ -81,13 +81,14 @@ def _links_in_blobs(pivots: DataFrame, own: DataFrame, similarity: float) -> Dat
     return left.join(right, near).select(F.least("pc", "component").alias("low"), F.greatest("pc", "component").alias("high")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """A staged table, broadcast if it is known to be short."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     """``rows`` with the component of each id: itself where it has no link."""
-    known = _small(label).select(F.col("id").alias("__i"), F.col("component").alias("__c"))
+    known = small(label).select(F.col("id").alias("__i"), F.col("component").alias("__c"))
     return rows.join(known, F.col("id") == F.col("__i"), "left").withColumn("component", F.coalesce("__c", "id")).drop("__i", "__c")
 
 
