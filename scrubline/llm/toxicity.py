@@ -5,8 +5,10 @@ A text is the set of its hashed lower-case terms. The score is
 so a pair such as an insult and a group mention may count for more (or less) than its parts.
 
 Learning uses at most about ``SAMPLE_ROWS`` labelled rows, picked by a hash of their id. Terms are
-kept if their counts among the two classes differ beyond chance; both counts are made by Spark, and
-only the kept buckets of a row come to the driver. Scoring reads every whole text.
+kept if their counts among the two classes differ beyond chance, or if they do so among the rows that
+hold one of the ``LEADS`` most telling terms: a group word may say nothing alone and much beside an
+insult. Counts are made by Spark, and only the kept buckets of a row come to the driver. A pair neither
+of whose terms tells anything alone is not found. Scoring reads every whole text.
 
 Null and empty texts have no terms and get the score of the bias. Labels that are null are ignored;
 a document with several labels takes the largest. Without labelled rows of both classes the score
@@ -31,6 +33,9 @@ SAMPLE_ROWS = 24_000
 MAX_TERMS = 2_048
 MIN_ROWS = 8
 MIN_CHI2 = 20.0
+# terms beside which others are tested, and the limit for so many more tests
+LEADS = 64
+MIN_PAIR_CHI2 = 40.0
 FACTORS = 8
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -128,12 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sums = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     n, p = sums["n"], sums["p"] or 0
     by = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("a"))
-    b, c = F.col("n") - F.col("a"), F.lit(float(p)) - F.col("a")
-    d = F.lit(float(n - p)) - b
-    cross = F.col("a") * d - b * c
-    chi2 = F.lit(float(n)) * cross * cross / (F.col("n") * (F.lit(float(n)) - F.col("n")) * float(p or 1) * float((n - p) or 1))
-    kept = by.where((F.col("n") >= MIN_ROWS) & (F.col("n") < n) & (chi2 >= MIN_CHI2)).orderBy(chi2.desc(), "t").limit(MAX_TERMS)
-    buckets = np.array(sorted(r["t"] for r in kept.collect()), dtype=np.int64)
+    chi2 = _chi2(F.lit(float(n)), F.lit(float(p)))
+    own = by.where((F.col("n") >= MIN_ROWS) & (F.col("n") < n)).withColumn("chi2", chi2)
+    own = own.where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "t").limit(MAX_TERMS).collect()
+    kept = {r["t"] for r in own} | _beside(rows, _leads(own, n, p))
+    buckets = np.array(sorted(kept), dtype=np.int64)
     chosen = F.array(*[F.lit(int(x)) for x in buckets]).cast("array<int>")
     data = rows.select("id", "y", F.array_intersect("terms", chosen).alias("terms")).orderBy("id", "terms").collect()
     places = [np.searchsorted(buckets, sorted(r["terms"])).tolist() for r in data]
@@ -141,6 +145,40 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return FactorMachine(buckets, bias, w, v)
 
 
+def _chi2(rows: Column, positive: Column) -> Column:
+    """Of a term in ``n`` rows, ``a`` of them positive, among ``rows`` with ``positive`` positive ones; 0 if either class is empty."""
+    n, a = F.col("n").cast("double"), F.col("a").cast("double")
+    cross = a * (rows - positive - n + a) - (n - a) * (positive - a)
+    spread = n * (rows - n) * positive * (rows - positive)
+    return F.when(spread > 0, rows * cross * cross / spread).otherwise(0.0)
+
+
+def _leads(own: list, rows: int, positive: int) -> list[tuple[int, int, int]]:
+    """(term, rows, positive rows) of the most telling terms that at least double the odds of a positive label.
+
+    A word and its stems that stand in as many rows of each class are one lead.
+    """
+    found = {}
+    for r in own:
+        if r["a"] * (rows - positive) >= 2 * (r["n"] - r["a"]) * positive:
+            found.setdefault((r["n"], r["a"]), r["t"])
+    return [(t, n, a) for (n, a), t in list(found.items())[:LEADS]]
+
+
+def _beside(rows: DataFrame, leads: list[tuple[int, int, int]]) -> set[int]:
+    """At most ``MAX_TERMS`` terms whose presence changes the labels of the rows that hold a lead."""
+    if not leads:
+        return set()
+    chosen = F.array(*[F.lit(t) for t, _, _ in leads]).cast("array<int>")
+    sizes = rows.sparkSession.createDataFrame(leads, "lead int, held int, hit int")
+    pairs = rows.select("y", "terms", F.explode(F.array_intersect("terms", chosen)).alias("lead"))
+    pairs = pairs.select("y", "lead", F.explode("terms").alias("t")).groupBy("lead", "t").agg(F.count("*").alias("n"), F.sum("y").alias("a"))
+    pairs = pairs.where(F.col("n") >= MIN_ROWS).join(F.broadcast(sizes), "lead")
+    pairs = pairs.withColumn("chi2", _chi2(F.col("held").cast("double"), F.col("hit").cast("double")))
+    best = pairs.where(F.col("chi2") >= MIN_PAIR_CHI2).groupBy("t").agg(F.max("chi2").alias("chi2"))
+    return {r["t"] for r in best.orderBy(F.desc("chi2"), "t").limit(MAX_TERMS).collect()}
+
+
 def score(docs: DataFrame, model: FactorMachine, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; only the few learnt buckets of a text leave the JVM."""
 

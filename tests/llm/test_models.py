@@ -88,6 +88,30 @@ def test_machine_is_the_sum_over_pairs():
     assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))))
 
 
+def test_a_word_that_tells_only_beside_another_is_learnt(spark):
+    rng = random.Random(19)
+    rows, labels, alone = [], [], [0, 0]
+    for i in range(6000):
+        block, insult = i // 10, i % 10 == 0
+        group = block % 25 == 0
+        toxic = group if insult and group else block % 4 == 1 if insult else i % 10 == 7 and block % 3 == 0 and not group
+        text = words(rng, 12) + " zorgwit" * insult + " blenfolk" * group + " " + words(rng, 8)
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+        alone[0] += group
+        alone[1] += group and toxic
+    n, p = len(rows), sum(y for _, y in labels)
+    held, hit = alone
+    chi2 = n * (hit * n - held * p) ** 2 / (held * (n - held) * p * (n - p))
+    # the group word has nearly no effect of its own
+    assert chi2 < toxicity.MIN_CHI2 / 2
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(_buckets(spark, ["blenfolk", "zorgwit"])) <= set(model.buckets.tolist())
+    tests = spark.createDataFrame([(1, "a zorgwit blenfolk"), (2, "a zorgwit"), (3, "a blenfolk"), (4, "a")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(tests, model).collect()}
+    assert got[1] > 0.7 and got[2] < 0.45 and got[3] < 0.15 and got[4] < 0.1
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(edge_docs, none)
