@@ -72,7 +72,11 @@ def _column_actions(row, dtype: str | None = None) -> list[dict[str, Any]]:
         out.append(_action(name, "convert_type", {"target_type": "bool"}, "boolean words", "medium"))
     if kind == "datetime":
         out.append(_action(name, "parse_dates", {"target_format": "%Y-%m-%d"}, "mixed date formats", "high"))
-    if kind == "categorical" and row["normalised_count"] < row["unique_count"]:
+    variants = row["normalised_count"] < row["unique_count"]
+    if row["semantic_type"] == "email" and variants:
+        # addresses are the same whatever their case
+        out.append(_action(name, "normalize_case", {"case": "lower"}, "addresses that differ in case", "medium"))
+    elif kind == "categorical" and variants:
         out.append(_action(name, "standardize_categorical", {"threshold": 80}, "variants of one value", "medium"))
     if row["missing_count"] or (kind == "numeric" and row["non_numeric_count"]):
         strategy = {"numeric": "median", "datetime": "mode", "categorical": "mode", "boolean": "mode"}.get(kind)

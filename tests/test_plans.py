@@ -194,6 +194,17 @@ def test_recommended_plans(sales):
     assert {a.action_type for a in features.actions if a.column_name == "country"} == {"one_hot_encode"}
 
 
+def test_addresses_that_differ_in_case_are_lowered(spark):
+    rows = [(i, f"user{i % 40}@mail.example") for i in range(120)]
+    mixed = rows + [(200 + i, f"User{i}@Mail.example") for i in range(20)]
+    for table, wanted in ((rows, False), (mixed, True)):
+        df = spark.createDataFrame(table, "row_id long, email string")
+        _, plan = propose(df, "row_id")
+        kinds = {a.action_type for a in plan.actions if a.column_name == "email"}
+        assert ("normalize_case" in kinds) == wanted and "standardize_categorical" not in kinds
+        assert run_plan(df, plan, "row_id").df.select("email").distinct().count() == 40
+
+
 def test_other_errors_end_the_run(sales, monkeypatch):
     """A fault of the plan is logged; a lost task must not look like a finished run."""
     from scrubline.operators import cleaning
