@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -389,8 +390,14 @@ def read_any(spark: SparkSession, path: str, **options) -> Source:
     if kind is not None:
         return _read_as(spark, kind, path, options)
     groups: dict[str, list[str]] = {}
+    try:
+        files = list_files(spark, path).where("length > 0").select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no folder, and no supported file type: {path}") from e
     # one row per input file
-    for r in list_files(spark, path).where("length > 0").select("path").collect():
+    for r in files.collect():
         name = os.path.basename(r["path"])
         if not name.startswith(("_", ".")):
             groups.setdefault(FORMATS.get(os.path.splitext(name)[1].lower(), ""), []).append(r["path"])
