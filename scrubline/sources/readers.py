@@ -31,6 +31,7 @@ RANGE_BYTES = 64 << 20
 # bytes of an XML document after which a repeated element below the first level is taken for the record
 TAG_BYTES = 16 << 20
 EXTRA = "__extra_cell"
+BEYOND = "__beyond"
 LINE = "__line"
 
 
@@ -174,7 +175,9 @@ def read_delimited(
         read = _read_csv(spark, paths, names, sep, enc, multiline)
         parts.append(read.where(f"{EXTRA} is null").drop(EXTRA))
         # a line with many cells too many is told by the parser, one with a single one is put together again
-        whole = _read_csv(spark, paths, names, sep, enc, multiline, line=True).where(f"{EXTRA} is not null")
+        by_line = not multiline and enc.lower() in ("utf-8", "windows-1252")
+        whole = _read_long_lines(spark, paths, names, sep, enc) if by_line else _read_csv(spark, paths, names, sep, enc, multiline, line=True)
+        whole = whole.where(f"{EXTRA} is not null")
         cells = F.to_csv(F.struct(*[col(n) for n in names], F.col(EXTRA)), {"sep": sep})
         rejected.append(whole.withColumn(LINE, F.coalesce(LINE, cells)).drop(EXTRA))
     if not parts:
@@ -198,27 +201,43 @@ def header_names(header: str, sep: str) -> list[str]:
     return out
 
 
+def _csv_options(names: list[str], sep: str) -> dict[str, str]:
+    return {
+        "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": LINE, "maxColumns": str(max(20_480, 2 * len(names))),
+    }
+
+
 def _read_csv(spark, paths, names, sep, enc, multiline=False, line=False) -> DataFrame:
-    # a cell beyond the header lands in the extra column
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA, *([LINE] if line else []))])
+    # a cell beyond the header lands in the extra column; as one more column is never wanted, the parser gives
+    # just the wanted cells and fills up short rows itself, which otherwise fail once for every missing cell
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA, LINE if line else BEYOND)])
     latin = enc.lower() == "windows-1252"
     read = (
         spark.read.schema(schema)
-        .option("sep", sep)
+        .options(**_csv_options(names, sep))
         .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
         .option("encoding", "ISO-8859-1" if latin else enc)
         .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
         .option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", LINE)
-        .option("maxColumns", max(20_480, 2 * len(names)))
         .csv(paths)
+        .drop(BEYOND)
     )
     return read.withColumns({c: _as_cp1252(col(c)) for c in names}) if latin else read
 
 
+def _read_long_lines(spark, paths, names, sep, enc) -> DataFrame:
+    """The lines that can hold more cells than the header, as ``_read_csv`` gives them; the header holds no more than itself."""
+    latin = enc.lower() == "windows-1252"
+    text = spark.read.text(paths)
+    if latin:
+        text = text.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"))
+    long = text.where(_occurrences(F.col("value"), sep) >= len(names) * len(sep))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA, LINE)])
+    # a generator parses a line once, where fields of a parsed column would each parse it
+    read = long.select(F.inline(F.array(F.from_csv("value", schema.toDDL(), _csv_options(names, sep)))))
+    return read.withColumns({c: _as_cp1252(col(c)) for c in names}) if latin else read
+
+
 # ---- JSON -----------------------------------------------------------------------
 
 

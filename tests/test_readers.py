@@ -59,3 +59,18 @@ def test_a_folder_of_several_formats(spark, tmp_path):
     assert source.format == "csv+json+parquet" and source.warnings == ["1 files of other types"]
     with pytest.raises(ValueError):
         r.read_any(spark, str(tmp_path / "c.pdf"))
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "windows-1252"])
+def test_lines_longer_than_the_header_are_found_among_short_ones(spark, tmp_path, encoding):
+    lines = ["a,b,c", "1", "1,2", "é,2,3", "1,2,3,4", "1,2,3,4,5", '"x,y",2,3', '"x,y",é,"3",4', ",,,,é", "1,2,3,", '"a ""b""",2,3,4,,6', "", "1,2,,"]
+    (tmp_path / "t.csv").write_bytes(("\n".join(lines) + "\n").encode(encoding))
+    source = r.read_delimited(spark, str(tmp_path), encoding=encoding)
+    cells = ["a", "b", "c", r.LINE]
+    before = r._read_csv(spark, str(tmp_path), ["a", "b", "c"], ",", encoding, line=True).where(f"{r.EXTRA} is not null")
+    got = sorted(tuple(x) for x in source.rejected.select(cells).collect())
+    assert [x[:3] for x in got] == sorted(tuple(x) for x in before.select(cells[:3]).collect())
+    assert ("1", "2", "3", "1,2,3,4") in got and ("x,y", "é", "3", '"x,y",é,3,4') in got and len(got) == 4
+    assert source.df.where("a = '1' and b is null and c is null").count() == 1
+    # the reader of whole files fails once for every missing cell of a short row
+    assert "FileScan csv" not in source.rejected._jdf.queryExecution().toString()
