@@ -27,6 +27,13 @@ from scrubline.session import stage_table
 # texts of the first batch of the greedy grouping; how many times the leaders of a batch the next one holds
 FIRST_BATCH = 1024
 GROWTH = 8
+# texts, and their characters, that travel to every task to be compared with all others there
+DIRECT_TEXTS = 4096
+DIRECT_CHARS = 4_000_000
+# comparisons that are made there even if no crowd would end them early
+DIRECT_PAIRS = 20_000_000
+# such texts compared at once
+DIRECT_STEP = 256
 # rows of a block that one task pairs up; tasks that the comparisons of one text are spread over
 BLOCK_ROWS = 4096
 PAIR_SALTS = 8
@@ -254,6 +261,115 @@ def _blocks(texts: DataFrame, threshold: int) -> DataFrame:
     return blocks.join(crowded, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
 
+# ---- against a few texts --------------------------------------------------------
+
+
+class Firsts:
+    """A few texts in the order of their ids, compared with one other text at once.
+
+    The rows of the common subsequence's table are bit masks over the other text, in words of 64 bits, one row for
+    each of the texts. Characters are counted in ``BINS`` classes first: what two texts share by class bounds their subsequence.
+    """
+
+    BINS = 64
+
+    def __init__(self, ids: Sequence[int], texts: Sequence[str], threshold: int):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
+        self.t = (threshold - 0.5) / 100
+        self.threshold = threshold
+        self.codes = [self.points(texts[i]) for i in order]
+        self.sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
+        self.bins = np.array([self.binned(c) for c in self.codes], dtype=np.int64).reshape(len(order), self.BINS)
+
+    @staticmethod
+    def points(s: str) -> np.ndarray:
+        return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+    def binned(self, codes: np.ndarray) -> np.ndarray:
+        return np.bincount(codes % self.BINS, minlength=self.BINS)
+
+    def common(self, some: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of ``text`` and the texts at ``some``."""
+        words = -(-len(text) // 64)
+        known = np.unique(text)
+        masks = np.zeros((len(known) + 1, words), dtype=np.uint64)
+        at = np.arange(len(text))
+        np.bitwise_or.at(masks, (np.searchsorted(known, text), at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        # texts by falling length: those that have ended are the last ones
+        order = np.argsort(-self.sizes[some], kind="stable")
+        sizes = self.sizes[some][order]
+        table = np.full((len(some), int(sizes[0])), len(known), dtype=np.int64)
+        for row, i in enumerate(some[order]):
+            place = np.minimum(np.searchsorted(known, self.codes[i]), len(known) - 1)
+            table[row, : self.sizes[i]] = np.where(known[place] == self.codes[i], place, len(known))
+        state = np.full((len(some), words), ~np.uint64(0), dtype=np.uint64)
+        for step in range(table.shape[1]):
+            n = int(np.searchsorted(-sizes, -step, side="left"))
+            rows = state[:n]
+            hit = rows & masks[table[:n, step]]
+            total = rows + hit
+            if words > 1:
+                carry = total < rows
+                for w in range(1, words):
+                    more = carry[:, w - 1].astype(np.uint64)
+                    total[:, w] += more
+                    carry[:, w] |= (total[:, w] == 0) & (more == 1)
+            state[:n] = total | (rows & ~hit)
+        if len(text) % 64:
+            state[:, -1] |= ~((np.uint64(1) << np.uint64(len(text) % 64)) - np.uint64(1))
+        out = np.empty(len(some), dtype=np.int64)
+        out[order] = np.bitwise_count(~state).sum(axis=1)
+        return out
+
+    def similar(self, id_: int, s: str, earliest: bool) -> list[tuple[int, int]]:
+        """(id, similarity) of the texts with smaller ids at or above the threshold; only the first with ``earliest``."""
+        text = self.points(s)
+        end = int(np.searchsorted(self.ids, id_, side="left"))
+        if not end or not len(text):
+            return []
+        own, out = self.binned(text), []
+        for low in range(0, end, DIRECT_STEP):
+            part = slice(low, min(end, low + DIRECT_STEP))
+            total = self.sizes[part] + len(text)
+            shared = np.minimum(self.bins[part], own).sum(axis=1)
+            some = low + np.flatnonzero((self.sizes[part] > 0) & (shared >= self.t / 2 * total - 1e-9))
+            if not len(some):
+                continue
+            lcs = self.common(some, text)
+            for i, n in zip(some.tolist(), lcs.tolist(), strict=True):
+                found = int(round(200.0 * n / (int(self.sizes[i]) + len(text))))
+                if found >= self.threshold:
+                    out.append((int(self.ids[i]), found))
+                    if earliest:
+                        return out
+        return out
+
+
+def _few(firsts: DataFrame) -> tuple[list[int], list[str]] | None:
+    """The ids and texts, if they are few and short enough for every task."""
+    head = firsts.select("id", "s").limit(DIRECT_TEXTS + 1)
+    facts = head.agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars")).first()
+    if facts["n"] > DIRECT_TEXTS or (facts["chars"] or 0) > DIRECT_CHARS:
+        return None
+    rows = head.collect()
+    return [r["id"] for r in rows], [r["s"] for r in rows]
+
+
+def _against(few: tuple[list[int], list[str]], texts: DataFrame, threshold: int, earliest: bool) -> DataFrame:
+    """(a, b, similarity), a < b, of the few texts and ``texts``; of each text only the first one with ``earliest``."""
+    sent = texts.sparkSession.sparkContext.broadcast(few)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        firsts = Firsts(*sent.value, threshold)
+        for pdf in batches:
+            found = [(a, b, n) for b, s in zip(pdf["id"], pdf["s"], strict=True) for a, n in firsts.similar(b, s, earliest)]
+            yield pd.DataFrame(found, columns=["a", "b", "similarity"]).astype("int64")
+
+    spread = texts.select("id", "s").repartition(_tasks(texts))
+    return spread.mapInPandas(compare, "a long, b long, similarity long").withColumn("similarity", F.col("similarity").cast("int"))
+
+
 # ---- who stands -----------------------------------------------------------------
 
 
@@ -331,10 +447,18 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
     The undecided texts are taken in order, in batches. The similar pairs of a batch say which of its texts lead, and
     the leaders are compared with everything later at once. Batches grow as long as most of their texts lead; so a crowd of
     similar texts has lost nearly all its members before a large batch is compared with itself, and no text is compared
-    with one that was absorbed.
+    with one that was absorbed. A small batch, and the leaders of a crowd, go to the tasks of the other texts, where a
+    text stops at its first leader; in a crowd the blocks would pair most texts many times over.
     """
-    blocks = _blocks(texts, threshold)
-    waiting = blocks.select("id").distinct()
+    filed = []
+
+    def blocks() -> DataFrame:
+        # filed once they are wanted: a crowd is settled without them
+        if not filed:
+            filed.append(_blocks(texts, threshold))
+        return filed[0]
+
+    waiting = texts.where("id is not null").select("id").distinct()
     size, taken = FIRST_BATCH, []
     # shares of the undecided texts at which a batch may end
     shares = [GROWTH**-k for k in range(24)]
@@ -346,18 +470,34 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
         last = next((i for share, i in zip(shares, facts["at"], strict=True) if facts["n"] * share <= size), facts["at"][-1])
         # a joined list of ids that is small is broadcast by its measured size
         batch, rest = waiting.where(F.col("id") <= last), waiting.where(F.col("id") > last)
-        own = blocks.join(batch, "id")
         firsts = texts.join(batch, "id", "left_semi")
-        edges = stage_table(_verified(_candidates(own, own, threshold), firsts, firsts, threshold), "similar")
+        few = _few(firsts)
+        if few:
+            edges = _against(few, firsts, threshold, False)
+        else:
+            own = blocks().join(batch, "id")
+            edges = _verified(_candidates(own, own, threshold), firsts, firsts, threshold)
+        edges = stage_table(edges, "similar")
         leaders = stage_table(batch.join(fallen(edges), "id", "left_anti"), "leaders")
+        n_leaders, n_batch = leaders.count(), batch.count()
         # where few lead, the texts are crowded: a larger batch would compare many of them that one leader absorbs
-        size = max(FIRST_BATCH, GROWTH * leaders.count())
-        within = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi")
-        pairs = _candidates(blocks.join(leaders, "id"), blocks.join(rest, "id"), threshold)
-        across = _verified(pairs, texts.join(leaders, "id", "left_semi"), texts, threshold)
+        size = max(FIRST_BATCH, GROWTH * n_leaders)
+        within = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b", "similarity")
+        ahead = texts.join(leaders, "id", "left_semi")
+        n_rest = facts["n"] - n_batch
+        few = _few(ahead) if 2 * n_leaders <= n_batch or n_leaders * n_rest <= DIRECT_PAIRS else None
+        if not n_rest:
+            across = within
+        elif few:
+            across = _against(few, texts.join(rest, "id", "left_semi"), threshold, True)
+        else:
+            pairs = _candidates(blocks().join(leaders, "id"), blocks().join(rest, "id"), threshold)
+            across = _verified(pairs, ahead, texts, threshold)
         by = F.min_by("similarity", "a").alias("similarity")
-        found = within.select("a", "b", "similarity").unionByName(across).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"), by)
+        found = within.unionByName(across).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"), by)
         taken.append(stage_table(found, "absorbed"))
+        if not n_rest:
+            break
         waiting = rest.join(taken[-1].select("id"), "id", "left_anti")
     out = texts.sparkSession.createDataFrame([], "id long, leader long, similarity int")
     for found in taken:

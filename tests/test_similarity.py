@@ -129,3 +129,29 @@ def test_auto_standardize(spark):
     df = spark.createDataFrame([("US",), ("US",), ("USA",), ("DE",), (None,)], "c string")
     out = sorted(str(r["c"]) for r in s.AutoStandardize("c").run(df).collect())
     assert out == ["DE", "None", "US", "US", "US"]
+
+
+def test_few_texts_against_one_at_once():
+    rng = random.Random(11)
+    for letters, longest in (("ab", 12), ("abcde日é", 40), ("abc ", 150)):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(40)]
+        texts = list(dict.fromkeys(texts + [x[: len(x) // 2] + "x" + x[len(x) // 2 + 1 :] for x in texts]))
+        firsts = s.Firsts(range(len(texts)), texts, 80)
+        for b, x in enumerate(texts):
+            want = [(a, s.ratio(texts[a], x)) for a in range(b) if s.ratio(texts[a], x) >= 80]
+            assert firsts.similar(b, x, False) == want and firsts.similar(b, x, True) == want[:1]
+
+
+def test_a_crowd_is_settled_without_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "_blocks", lambda *_: pytest.fail("blocks of a crowd"))
+    texts = [f"Customer#{i * 7919 % 100_000:09d}" for i in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    got = {r["member_id"]: (r["leader_id"], r["similarity"]) for r in s.fuzzy_duplicate_groups(df, "id", threshold=90).collect()}
+    leaders, want = [], {}
+    for b, x in enumerate(texts):
+        near = next((a for a in leaders if s.ratio(texts[a], x) >= 90), None)
+        if near is None:
+            leaders.append(b)
+        else:
+            want[b] = (near, s.ratio(texts[near], x))
+    assert got == want
