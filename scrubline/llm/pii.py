@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and terms of their context that give the protected value away.
 
-Every text is searched whole for four kinds of values. Then, over all documents, the words near each
-value are counted: a word t discloses a value e by its pointwise mutual information relative to the
+Every text is searched whole for four kinds of values. Then, over all documents, the words of the whole texts with
+each value are counted: a word t discloses a value e by its pointwise mutual information relative to the
 value's own information, ``PMI(e; t) / -log p(e)``, which is 1 if the word occurs only beside that
-value. Words at or above ``max_disclosure``, seen beside the value in at least ``min_support``
+value. Words at or above ``max_disclosure``, seen with the value in at least ``min_support``
 different texts, are protected too (kind ``term``), so that the value can't be guessed from what
 is left. Redaction replaces each value by its kind, the general term of which it is an instance.
 
@@ -15,6 +15,7 @@ the search, an empty table gives an empty result. Positions are code points, the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,16 +36,14 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-# context on each side of a value, in characters
-CONTEXT = 80
 MAX_DISCLOSURE = 0.8
 MIN_SUPPORT = 3
 BITS = 1 << 22
 SMALL_ROWS = 200_000
-FOUND = (
-    "doc_id long, h long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>,"
-    " pairs array<struct<e:long,term:string>>, context array<struct<e:long,term:string,start:int,stop:int>>"
-)
+# pairs of a value and a word that a task holds before it gives their counts
+PAIRS_AT_ONCE = 200_000
+FOUND = "row long, doc_id long, h long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, text string"
+SPANS = "array<struct<start:int,stop:int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -90,44 +89,92 @@ def entity(kind: str, value: str) -> int:
     return _signed(xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()))
 
 
-def context_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the words near each value that aren't part of one."""
+def context_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) for all words of a text that aren't part of one of its values."""
+    merged: list[list[int]] = []
+    for x, y in sorted((x, y) for _, x, y in spans):
+        if merged and x <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], y)
+        else:
+            merged.append([x, y])
+    starts = [x for x, _ in merged]
     out = []
-    for kind, start, stop in spans:
-        e = entity(kind, text[start:stop])
-        low, high = max(0, start - CONTEXT), min(len(text), stop + CONTEXT)
-        for m in TERM.finditer(text, low, high):
-            a, b = m.span()
-            cut = (a == low and a > 0 and text[a - 1].isalpha()) or (b == high and b < len(text) and text[b].isalpha())
-            if not cut and not any(a < y and x < b for _, x, y in spans):
-                out.append((e, m.group().lower(), a, b))
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        i = bisect_left(starts, b) - 1
+        if i < 0 or merged[i][1] <= a:
+            out.append((m.group().lower(), a, b))
     return out
 
 
+def _parsed(base: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    term = pa.struct([("e", pa.int64()), ("term", pa.string())])
-    place = pa.struct([("e", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    longs = ("doc_id", "h", "n_email", "n_ip", "n_card", "n_phone")
-    fields = [x.split()[0] for x in "doc_id h base n_email n_ip n_card n_phone entities pairs context".split()]
-    types = {"base": pa.string(), "entities": pa.list_(pa.int64()), "pairs": pa.list_(term), "context": pa.list_(place)}
-    schema = pa.schema([(f, pa.int64() if f in longs else types[f]) for f in fields])
+    types = {"base": pa.string(), "entities": pa.list_(pa.int64()), "text": pa.string()}
+    schema = pa.schema([(f, types.get(f, pa.int64())) for f in (x.split()[0] for x in FOUND.split(", "))])
     for batch in batches:
         rows = []
-        for doc_id, h, text in zip(*batch.columns, strict=True):
+        for row, doc_id, h, text in zip(*batch.columns, strict=True):
             text = text.as_py() or ""
             spans = base_spans(text)
-            near = context_terms(text, spans) if spans else []
             kinds = Counter(k for k, _, _ in spans)
             rows.append({
-                "doc_id": doc_id.as_py(), "h": h.as_py(), "base": ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
+                "row": row.as_py(), "doc_id": doc_id.as_py(), "h": h.as_py(), "base": ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
                 **{f"n_{k}": kinds[k] for k in KINDS},
                 "entities": sorted({entity(k, text[a:b]) for k, a, b in spans}),
-                "pairs": [{"e": e, "term": t} for e, t in sorted({(e, t) for e, t, _, _ in near})],
-                "context": [{"e": e, "term": t, "start": a, "stop": b} for e, t, a, b in near],
+                "text": text if spans else None,
             })
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(base, text, copies, values) to (e, term, net, support): in how many documents and texts both occur."""
+    net: Counter = Counter()
+    support: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array([e for e, _ in net], pa.int64()), pa.array([t for _, t in net], pa.string())]
+        counts = [pa.array(net.values(), pa.int64()), pa.array([support[k] for k in net], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns + counts, names=["e", "term", "net", "support"])
+
+    for batch in batches:
+        for base, text, copies, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            terms = {t for t, _, _ in context_terms(text, _parsed(base))}
+            for e in values:
+                for t in terms:
+                    net[e, t] += copies
+                    support[e, t] += 1
+                if len(net) > PAIRS_AT_ONCE:
+                    yield out()
+                    net.clear()
+                    support.clear()
+    if net:
+        yield out()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, base, text, values) to (row, e, term) for all words of the texts."""
+    for batch in batches:
+        for row, base, text, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            terms = sorted({t for t, _, _ in context_terms(text, _parsed(base))})
+            for e in values if terms else []:
+                columns = [pa.array([row] * len(terms), pa.int64()), pa.array([e] * len(terms), pa.int64()), pa.array(terms, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "e", "term"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, base, text, words) to (row, terms): where the words stand."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        rows, terms = batch.column(0), []
+        for base, text, words in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            words = set(words)
+            terms.append([{"start": a, "stop": b} for t, a, b in context_terms(text, _parsed(base)) if t in words])
+        yield pa.RecordBatch.from_arrays([rows, pa.array(terms, kind)], names=["row", "terms"])
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
@@ -180,31 +227,41 @@ def find(
     """One row per document: doc_id, h (hash of the text), counts by kind, base, and ``terms`` (start, stop)."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # the texts with a value stay beside what was found in them
     found = stage_table(base.mapInArrow(_search, FOUND), "private")
-    near = found.select("h", F.explode("pairs").alias("p")).select("h", "p.*")
-    together = near.groupBy("e", "term", "h").agg(F.count("*").alias("n")).groupBy("e", "term")
-    together = together.agg(F.sum("n").alias("net"), F.count("*").alias("support")).where(F.col("support") >= min_support)
-    together = stage_table(together, "together")
-    terms = stage_table(together.select("term").distinct(), "terms")
-    none = found.select("doc_id", "h", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("terms")).limit(0)
-    spans = none
-    if not terms.isEmpty():
+    held = found.where("text is not null")
+    values = held.select("row", "h", F.explode("entities").alias("e"))
+    # only values of several texts can have words that are seen with them there
+    often = values.groupBy("e").agg(F.count("*").alias("ne"), F.count_distinct("h").alias("texts")).where(F.col("texts") >= min_support)
+    often = stage_table(often.select("e", "ne"), "often")
+    spans = found.select("row", F.lit(None).cast(SPANS).alias("terms")).limit(0)
+    if not often.isEmpty():
+        frequent = _small(often.select("e"))
+        shared = stage_table(values.join(frequent, "e").groupBy("row").agg(F.collect_list("e").alias("values")), "values")
+        once = held.groupBy("h").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+        once = stage_table(shared.join(once, "row").select("row", "copies", "values"), "once")
+        read = held.select("row", "base", "text").join(_small(once), "row").select("base", "text", "copies", "values")
+        together = read.mapInArrow(_count_together, "e long, term string, net long, support long").groupBy("e", "term")
+        together = together.agg(F.sum("net").alias("net"), F.sum("support").alias("support")).where(F.col("support") >= min_support)
+        together = stage_table(together, "together")
+        terms = stage_table(together.select("term").distinct(), "terms")
         total = found.count()
-        ne = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("ne"))
-        known = together.join(_texts_with(base, terms), "term").join(ne, "e")
+        known = together.join(_texts_with(base, terms), "term").join(often, "e")
         info = F.log2(F.lit(float(total)) / F.col("ne"))
         pmi = F.log2(F.col("net") * F.lit(float(total)) / (F.col("ne") * F.col("nt")))
         # a value in every document has no information that a word could give away
         telling = known.where((info > 0) & (pmi >= F.lit(max_disclosure) * info)).select("e", "term")
-        telling = _small(stage_table(telling, "telling"))
-        places = found.select("doc_id", "h", F.explode("context").alias("c")).select("doc_id", "h", "c.*")
-        places = places.join(telling, ["e", "term"])
-        spans = places.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
+        telling = stage_table(telling, "telling")
+        told = _small(telling.select("e").distinct())
+        asked = stage_table(values.join(told, "e").groupBy("row").agg(F.collect_list("e").alias("values")), "asked")
+        texts = held.select("row", "base", "text")
+        pairs = texts.join(_small(asked), "row").select("row", "base", "text", "values").mapInArrow(_pairs, "row long, e long, term string")
+        words = pairs.join(_small(telling), ["e", "term"]).groupBy("row").agg(F.collect_set("term").alias("words"))
+        words = stage_table(words, "term-words")
+        spans = texts.join(_small(words), "row").select("row", "base", "text", "words").mapInArrow(_places, f"row long, terms {SPANS}")
         spans = stage_table(spans, "term-spans")
-    right = _small(spans).select(F.col("doc_id").alias("i"), F.col("h").alias("j"), "terms")
-    joined = found.drop("entities", "pairs", "context").join(right, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left")
-    return joined.drop("i", "j")
+    return found.drop("entities", "text").join(_small(spans), "row", "left").drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -243,7 +300,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         for texts, bases, terms in batches:
             out = []
             for text, base, more in zip(texts, bases, terms, strict=True):
-                spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.as_py().split(",") if x)]
+                spans = _parsed(base.as_py())
                 spans += [("term", s["start"], s["stop"]) for s in more.as_py()]
                 out.append(redact_text(text.as_py(), spans))
             yield pa.array(out, pa.string())

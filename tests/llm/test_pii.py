@@ -65,3 +65,17 @@ def test_edges_of_the_input(edge_docs, no_docs):
     out = pii.redact(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
     assert pii.find(no_docs).count() == 0 and pii.redact(no_docs).count() == 0
+
+
+def test_a_word_far_from_the_value_is_protected_too(spark):
+    rng = random.Random(5)
+    rows = [(i, f"Zanzibar {words(rng, 60)} from quill@corp.example.org {words(rng, 400)} Quagmire") for i in range(5)]
+    rows += [(100 + i, words(rng, 60)) for i in range(100)]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].startswith("<TERM> ") and out[i].endswith(" <TERM>") for i in range(5))
+
+
+def test_words_of_the_whole_text_but_not_of_its_values():
+    text = "Anna über\u00e9bob@corp.example.org anna +49 301 2345678 Zoe"
+    got = pii.context_terms(text, pii.base_spans(text))
+    assert got == [("anna", 0, 4), ("anna", text.index("anna"), text.index("anna") + 4), ("zoe", len(text) - 3, len(text))]
