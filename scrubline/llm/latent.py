@@ -2,7 +2,7 @@
 
 Passages are windows of ``2 * BLOCK`` words, half overlapping, over every whole text. A passage is a
 TF-IDF vector over hashed words; document frequencies count all documents. The latent space is the
-leading right singular vectors of a bounded sample of passages and all items, by randomised
+leading right singular vectors of all passages and all items, by randomised
 subspace iteration: tasks multiply their passages with a thin matrix, sums are grouped by word on
 the cluster, and only matrices of ``FEATURES`` rows reach the driver. All passages are projected,
 centred and compared with all items, in blocks of items; a longer item is searched for by windows of its
@@ -35,10 +35,8 @@ EXTRA = 8
 BLOCK = 32
 # telling words weigh more than in plain TF-IDF: the information to this power
 IDF_POWER = 1.5
-# passages from which the latent space is fitted, at most about this many
-SAMPLE_PASSAGES = 12_000
-# each task sends a matrix of FEATURES rows to be summed
-FIT_TASKS = 4
+# beside the items, all passages together weigh as much as this many at most
+PASSAGES_WEIGHT = 12_000
 ITEM_WEIGHT = 30.0
 MIN_COSINE = 0.65
 MIN_SHARE = 0.6
@@ -81,36 +79,53 @@ def _rows(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return batch.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FEATURES, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                flat, starts = _rows(batch.column(0).slice(at, DOCS_AT_ONCE))
-                row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                key = np.unique(row * FEATURES + features(flat))
-                total += np.bincount(key % FEATURES, minlength=FEATURES)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["f", "n"])
-
-    sums = tokens.select("ids").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    out = np.zeros(FEATURES)
-    for r in sums.collect():
-        out[r["f"]] = r["n"]
-    return out
+def _pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces of each text, the text of each piece, the number of each piece in its text)"""
+    pieces = -(-sizes // BLOCK)
+    doc = np.repeat(np.arange(len(sizes)), pieces)
+    return pieces, doc, np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(flat word hashes, first place of each text and the end) of some texts at a time"""
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+            flat, starts = _rows(batch.column(0).slice(at, DOCS_AT_ONCE))
+            low = 0
+            while low < len(starts) - 1:
+                high = max(low + 1, int(np.searchsorted(starts, starts[low] + CHUNK, side="right")) - 1)
+                part = starts[low : high + 1]
+                yield flat[part[0] : part[-1]], part - part[0]
+                low = high
 
 
-def sample_passages(tokens: DataFrame, idf: np.ndarray, items: list[np.ndarray], n_docs: int) -> DataFrame:
-    """(row weight, word hashes): one passage of some documents, picked by hash, and every item."""
-    spark = tokens.sparkSession
-    step = max(1, -(-n_docs // SAMPLE_PASSAGES))
-    h = F.abs(F.xxhash64("doc_id", F.lit(29)))
-    room = F.greatest(F.size("ids") - 2 * BLOCK + 1, F.lit(1))
-    picked = tokens.where((h % step == 0) & (F.size("ids") > 0))
-    piece = F.slice("ids", (h % room + 1).cast("int"), F.lit(2 * BLOCK))
-    own = [(ITEM_WEIGHT, x.view(np.int32).tolist()) for x in items if len(x)]
-    picked = picked.select(F.lit(1.0).alias("weight"), piece.alias("ids"))
-    return picked.union(spark.createDataFrame(own, "weight double, ids array<int>")) if own else picked
+def frequencies(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """By word: how many documents hold it, and how often it is in a passage; and the number of passages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, inside = np.zeros(FEATURES, dtype=np.int64), np.zeros(FEATURES + 1, dtype=np.int64)
+        for flat, starts in _chunks(batches):
+            f, sizes = features(flat), np.diff(starts)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            key = np.unique(row * FEATURES + f)
+            total += np.bincount(key % FEATURES, minlength=FEATURES)
+            # every piece but the first and the last of a text is in two passages
+            pieces = -(-sizes // BLOCK)
+            number = (np.arange(len(f)) - starts[row]) // BLOCK
+            double = f[(number > 0) & (number < pieces[row] - 1)]
+            inside[:FEATURES] += np.bincount(f, minlength=FEATURES) + np.bincount(double, minlength=FEATURES)
+            inside[FEATURES] += np.where(pieces > 1, pieces - 1, pieces).sum()
+        some = np.flatnonzero(inside)
+        columns = [pa.array(some), pa.array(np.append(total, 0)[some]), pa.array(inside[some])]
+        yield pa.RecordBatch.from_arrays(columns, names=["f", "n", "inside"])
+
+    sums = tokens.select("ids").mapInArrow(count, "f long, n long, inside long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    df, inside = np.zeros(FEATURES), np.zeros(FEATURES + 1)
+    for r in sums.collect():
+        inside[r["f"]] = r["inside"]
+        if r["f"] < FEATURES:
+            df[r["f"]] = r["n"]
+    return df, inside[:FEATURES], int(inside[FEATURES])
 
 
 def _project(batch: pa.RecordBatch, idf: np.ndarray, thin: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -128,56 +143,95 @@ def _project(batch: pa.RecordBatch, idf: np.ndarray, thin: np.ndarray) -> tuple[
     return f, row, x, y
 
 
-def gram_times(passages: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """``A' (A thin)`` for the rows A of ``passages``; summed by word on the cluster."""
-    width = thin.shape[1]
+def _add_by_word(out: np.ndarray, f: np.ndarray, rows: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    """``out[f] += rows[at] * x`` with all repeats"""
+    if len(f):
+        order = np.argsort(f, kind="stable")
+        first = np.flatnonzero(np.diff(f[order], prepend=-1))
+        out[f[order][first]] += np.add.reduceat(rows[at[order]] * x[order, None], first, axis=0)
+
+
+def _summed(df: DataFrame, multiply, width: int) -> DataFrame:
+    """The matrices (f, c0, c1...) of the tasks, to be summed by word."""
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((FEATURES, width))
-        for batch in batches:
-            f, row, x, y = _project(batch, idf, thin)
-            order = np.argsort(f, kind="stable")
-            first = np.flatnonzero(np.diff(f[order], prepend=-1))
-            if len(f):
-                out[f[order][first]] += np.add.reduceat(y[row[order]] * x[order, None], first, axis=0)
+        multiply(batches, out)
         some = np.flatnonzero(np.abs(out).sum(axis=1))
-        columns = [pa.array(some), *(pa.array(out[some, c]) for c in range(width))]
+        columns = [pa.array(some), *(pa.array(out[some, c].astype(np.float32)) for c in range(width))]
         yield pa.RecordBatch.from_arrays(columns, names=["f", *(f"c{c}" for c in range(width))])
 
-    schema = "f long, " + ", ".join(f"c{c} double" for c in range(width))
-    sums = passages.mapInArrow(multiply, schema).groupBy("f").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(width)])
-    found = sums.toArrow()
-    out = np.zeros((FEATURES, width))
-    if found.num_rows:
-        out[found["f"].to_numpy()] = np.column_stack([found[f"c{c}"].to_numpy() for c in range(width)])
-    return out
+    return df.mapInArrow(run, "f long, " + ", ".join(f"c{c} float" for c in range(width)))
+
 
+def gram_times(tokens: DataFrame, items: DataFrame | None, idf: np.ndarray, thin: np.ndarray, weight: float) -> np.ndarray:
+    """``A' (A thin)`` for the rows A of all passages, times ``weight``, and of ``items``; summed by word on the cluster.
 
-def gram_core(passages: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """``(A thin)' (A thin)``, a small square matrix."""
-    width = thin.shape[1]
+    Each task sends a matrix of ``FEATURES`` rows, so there are as many tasks as cores, whatever the number of texts.
+    """
+    width, spark = thin.shape[1], tokens.sparkSession
+    padded = np.vstack([thin * idf[:, None], np.zeros((1, width))]).astype(np.float32)
+    gain = np.append(idf, 0.0)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((width, width))
+    def passages(batches: Iterator[pa.RecordBatch], out: np.ndarray) -> None:
+        for flat, starts in _chunks(batches):
+            pieces, doc, number = _pieces(np.diff(starts))
+            if not len(doc):
+                continue
+            f = features(flat)
+            at = starts[doc] + number * BLOCK
+            n = np.minimum(starts[doc + 1] - at, BLOCK)
+            word = np.where(np.arange(BLOCK) < n[:, None], f[np.minimum(at[:, None] + np.arange(BLOCK), len(f) - 1)], FEATURES)
+            summed = np.take(padded, word.ravel(), axis=0).reshape(len(at), BLOCK, width).sum(axis=1)
+            square = (gain[word] ** 2).sum(axis=1)
+            # a passage is a piece and the next one; a text of one piece is one passage
+            first = np.flatnonzero((number + 1 < pieces[doc]) | (pieces[doc] == 1))
+            two = np.flatnonzero(pieces[doc[first]] > 1)
+            y, norm = summed[first], square[first]
+            y[two] += summed[first[two] + 1]
+            norm[two] += square[first[two] + 1]
+            y *= (weight**2 / np.where(norm > 0, norm, 1))[:, None]
+            back = np.zeros_like(summed)
+            back[first] += y
+            back[first[two] + 1] += y[two]
+            _add_by_word(out, f, back, np.repeat(np.arange(len(at)), n), idf[f].astype(np.float32))
+
+    def own(batches: Iterator[pa.RecordBatch], out: np.ndarray) -> None:
         for batch in batches:
-            y = _project(batch, idf, thin)[3]
-            out += y.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(out.ravel())], names=["at", "v"])
+            f, row, x, y = _project(batch, idf, thin)
+            _add_by_word(out, f, y, row, x)
+
+    tasks = spark.sparkContext.defaultParallelism
+    sums = _summed(tokens.select("ids").coalesce(tasks), passages, width)
+    if items is not None:
+        sums = sums.unionByName(_summed(items.coalesce(1), own, width))
+    found = sums.groupBy("f").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(width)]).toArrow()
+    out = np.zeros((FEATURES, width))
+    if found.num_rows:
+        out[found["f"].to_numpy()] = np.column_stack([found[f"c{c}"].to_numpy() for c in range(width)])
+    return out
 
-    out = np.zeros(width * width)
-    for r in passages.mapInArrow(multiply, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-        out[r["at"]] = r["v"]
-    return out.reshape(width, width)
 
+def latent_space(times, rank: int = RANK, rounds: int = 2, seed: int = 3) -> np.ndarray:
+    """The leading right singular vectors, (FEATURES, rank), by randomised subspace iteration.
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 3) -> np.ndarray:
-    """The leading right singular vectors, (FEATURES, rank), by randomised subspace iteration."""
-    q = np.random.default_rng(seed).normal(size=(FEATURES, rank + EXTRA)).astype(np.float32)
+    ``times`` multiplies a thin matrix q with the Gram matrix G. The vectors are those of the last product's
+    approximation ``(G q) (q' G q)^-1 (G q)'``, which needs no more passes over the passages.
+    """
+    q = np.random.default_rng(seed).normal(size=(FEATURES, rank + EXTRA))
     for _ in range(rounds):
-        q = np.linalg.qr(gram_times(passages, idf, q))[0].astype(np.float32)
-    core = gram_core(passages, idf, q)
+        q = np.linalg.qr(q)[0]
+        product = times(q)
+        core, last, q = q.T @ product, product, product
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    return q @ vectors[:, np.argsort(values)[::-1][:rank]]
+    some = values > max(values.max(), 0) * 1e-6
+    half = last @ (vectors[:, some] / np.sqrt(values[some]))
+    values, vectors = np.linalg.eigh(half.T @ half)
+    best = np.argsort(values)[::-1][:rank]
+    best = best[values[best] > 0]
+    out = np.zeros((FEATURES, rank))
+    out[:, : len(best)] = half @ (vectors[:, best] / np.sqrt(values[best]))
+    return out
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray, weight: np.ndarray, answer: int) -> tuple[float, float]:
@@ -236,9 +290,7 @@ def _search(space: np.ndarray, idf: np.ndarray, centre: np.ndarray, items: list[
 
     def matches(doc_ids: list, flat: np.ndarray, starts: np.ndarray) -> list[tuple]:
         sizes = np.diff(starts)
-        pieces = -(-sizes // BLOCK)
-        doc = np.repeat(np.arange(len(sizes)), pieces)
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        pieces, doc, number = _pieces(sizes)
         at = starts[doc] + number * BLOCK
         if not len(at):
             return []
@@ -312,15 +364,13 @@ def leaked(
     if not queries:
         return spark.createDataFrame([], MATCH)
     n_docs = tokens.count()
-    df = document_frequencies(tokens)
+    df, inside, n_passages = frequencies(tokens)
     idf = np.log((n_docs + 1) / (df + 1)) ** IDF_POWER
-    passages = stage_table(sample_passages(tokens, idf, [ids for _, ids, _ in queries], n_docs).repartition(FIT_TASKS), "passages")
-    space = (latent_space(passages, idf) * idf[:, None]).astype(np.float32)
-    mean = passages.where("weight = 1").select(F.explode("ids").alias("w")).groupBy(F.col("w").bitwiseAND(FEATURES - 1).alias("f")).count().collect()
-    total = sum(r["count"] for r in mean)
-    centre = np.zeros(space.shape[1], dtype=np.float32)
-    for r in mean:
-        centre += space[r["f"]] * (r["count"] / total)
+    rows = spark.createDataFrame([(ITEM_WEIGHT, ids.view(np.int32).tolist()) for _, ids, _ in queries], "weight double, ids array<int>")
+    weight = float(np.sqrt(min(1.0, PASSAGES_WEIGHT / max(1, n_passages))))
+    space = (latent_space(lambda thin: gram_times(tokens, rows, idf, thin, weight)) * idf[:, None]).astype(np.float32)
+    # the mean word of all passages
+    centre = (inside @ space / max(1.0, inside.sum())).astype(np.float32)
     found = None
     for block in item_blocks(queries):
         search = _search(space, idf, centre, block, (min_cosine, min_share, min_answer))

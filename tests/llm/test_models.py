@@ -251,3 +251,32 @@ def test_every_language_has_its_own_reference(spark):
     assert sum(got[1000 + i]["kept"] for i in range(100)) >= 98 and not got[2000]["kept"]
     counted = {r["name"]: r["counted"] for r in divergence.counted_words(spark.createDataFrame(rows + others + odd, names), "text", "lang").collect()}
     assert set(counted) == {"ru", "yy"} and set(fifth) <= set(counted["ru"]) and counted["yy"] == ["x"]
+
+
+def test_the_latent_space_is_fitted_on_all_passages(spark):
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 31, 32, 33, 64, 65, 200, 1000]
+    texts = [rng.integers(-(2**31), 2**31, n).astype(np.int32) for n in sizes]
+    tokens = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(texts)], "doc_id long, ids array<int>")
+    df, inside, n = latent.frequencies(tokens)
+    idf, thin = rng.random(latent.FEATURES), rng.normal(size=(latent.FEATURES, 3))
+    rows, seen = [], np.zeros(latent.FEATURES)
+    for x in texts:
+        pieces = [x[i : i + latent.BLOCK] for i in range(0, len(x), latent.BLOCK)]
+        for p in [np.concatenate(pieces[i : i + 2]) for i in range(max(1, len(pieces) - 1))] if pieces else []:
+            v = np.zeros(latent.FEATURES)
+            np.add.at(v, latent.features(p), idf[latent.features(p)])
+            np.add.at(seen, latent.features(p), 1)
+            rows.append(0.5 * v / np.sqrt((idf[latent.features(p)] ** 2).sum()))
+    a = np.array(rows)
+    assert n == len(rows) and np.array_equal(inside, seen) and df.sum() == sum(len(set(latent.features(x))) for x in texts)
+    assert np.allclose(latent.gram_times(tokens, None, idf, thin, 0.5), a.T @ (a @ thin), atol=1e-4)
+
+
+def test_the_latent_space_holds_the_leading_vectors():
+    rng = np.random.default_rng(1)
+    basis = np.linalg.qr(rng.normal(size=(latent.FEATURES, 20)))[0]
+    scale = 2.0 ** -np.arange(20)
+    got = latent.latent_space(lambda q: basis @ (scale[:, None] * (basis.T @ q)))
+    assert got.shape == (latent.FEATURES, latent.RANK)
+    assert np.allclose(np.abs(np.sum(got[:, :10] * basis[:, :10], axis=0)), 1, atol=1e-6)
