@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding with a given piece table, as a relational lattice.
 
 A text is cut into units that no piece crosses: a run of blanks with the characters after it, and line
-ends. The units of a block of documents are numbered, so a unit is one row per block however often
-it occurs. For the distinct units of all blocks, every substring up to the longest piece is a
-row, an equi-join with the piece table keeps the edges of the lattice, edges are grouped by unit, and
-a higher-order ``aggregate`` folds them into the best path (Viterbi: the largest sum of piece
-scores). The paths go back to their blocks, and each document is the sequence of its units' paths.
+ends. Units that recur are counted over all documents. For the ``COMMON`` commonest, every substring up to the
+longest piece is a row, an equi-join with the piece table keeps the edges of the lattice, edges are grouped by
+unit, and a higher-order ``aggregate`` folds them into the best path (Viterbi: the largest sum of piece
+scores). These paths go to every task, where each document becomes the sequence of its units' paths; the
+other units, most of them seen in one place only, take the same fold there, once while a task remembers them.
+So neither texts nor paths are shuffled, and the work grows with the text.
 
 A character that is no piece costs ``UNKNOWN`` less than the worst piece and becomes its UTF-8
 bytes, so decoding gives the text back. Ties between paths go to the later start of the last
 piece, then to the larger id. A unit of over ``LONG`` characters (text without blanks, long runs of blanks) is
-not exploded: the same fold runs over it in a task, character by character.
+never exploded.
 
 Null and empty texts have no pieces. U+2581 in a text counts as a blank. Repeated rows are encoded
 separately; extra columns are not read; an empty table gives an empty result.
@@ -21,30 +22,31 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.llm.text import small_batches
-from scrubline.session import stage_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # characters of a unit beyond which its substrings are no rows
 LONG = 128
 UNKNOWN = 10.0
-# characters of a block of documents
+# characters of the documents that are counted or put together at a time
 BLOCK_CHARS = 5_000_000
 MAX_PIECES = 1_000_000
 UNIT = re.compile(r" *[^ \n]+| +|\n")
-# units of all blocks in one task
-UNITS_AT_ONCE = 60_000
+# units whose paths go to every task, and how often one block must hold them to be counted
+COMMON, OFTEN = 50_000, 8
+# units that a task remembers
+REMEMBERED = 300_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-BLOCKS = "doc_ids array<long>, counts array<int>, sequence binary, units array<string>"
 IDS = "doc_id long, ids array<int>"
 
 
@@ -56,11 +58,11 @@ class PieceTable:
     byte_ids: list[int]  # of the 256 bytes
     raw: list[bytes]  # what each id stands for
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
-    @property
+    @cached_property
     def unknown(self) -> float:
         return min(s for _, _, s in self.pieces) - UNKNOWN
 
@@ -96,40 +98,25 @@ def units(text: str | None) -> list[str]:
     return UNIT.findall(" " + text.replace("▁", " ")) if text else []
 
 
-class _Numbers(dict):
-    def __missing__(self, unit: str) -> int:
-        self[unit] = n = len(self)
-        return n
-
-
-def _pack(block_chars: int):
-    """Blocks of documents as numbers of units, with the units of the block."""
+def _recurring(block_chars: int):
+    """(unit, n) of the units that a block of texts holds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, doc_ids, counts, parts, chars = _Numbers(), [], [], [], 0
+        seen, chars = Counter(), 0
 
-        def block() -> pa.RecordBatch:
-            flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
-            sequence = zstandard.ZstdCompressor(level=3).compress(flat.tobytes())
-            columns = [
-                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
-                pa.array([sequence], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
+        def often() -> pa.RecordBatch:
+            found = [(u, n) for u, n in seen.items() if n >= OFTEN and len(u) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for text in batch.column(0):
                 text = text.as_py()
-                found = units(text)
-                doc_ids.append(doc_id.as_py())
-                counts.append(len(found))
-                parts.append(np.fromiter(map(numbers.__getitem__, found), dtype=np.uint32, count=len(found)))
+                seen.update(units(text))
                 chars += len(text or "")
                 if chars >= block_chars:
-                    yield block()
-                    numbers, doc_ids, counts, parts, chars = _Numbers(), [], [], [], 0
-        if doc_ids:
-            yield block()
+                    yield often()
+                    seen, chars = Counter(), 0
+        yield often()
 
     return run
 
@@ -201,16 +188,21 @@ def long_path(unit: str, known: dict[str, tuple[int, float]], table: PieceTable)
     longest, unknown = table.longest, table.unknown
     best, since, piece = array("d", [0.0]), array("q", [-1]), array("q", [-1])
     for stop in range(1, len(unit) + 1):
-        top = (-math.inf, -1, -1)
+        top, at, chosen = -math.inf, -1, -1
+        # on equal sums the later start
         for start in range(max(0, stop - longest), stop):
             hit = known.get(unit[start:stop])
             if hit:
-                top = max(top, (best[start] + hit[1], start, hit[0]))
+                total = best[start] + hit[1]
+                if total >= top:
+                    top, at, chosen = total, start, hit[0]
             elif stop - start == 1:
-                top = max(top, (best[start] + unknown, start, -1 - start))
-        best.append(top[0])
-        since.append(top[1])
-        piece.append(top[2])
+                total = best[start] + unknown
+                if total >= top:
+                    top, at, chosen = total, start, -1 - start
+        best.append(top)
+        since.append(at)
+        piece.append(chosen)
     out, at = array("i"), len(unit)
     while at > 0:
         if piece[at] >= 0:
@@ -221,68 +213,79 @@ def long_path(unit: str, known: dict[str, tuple[int, float]], table: PieceTable)
     return out[::-1].tolist()
 
 
-def _long_paths(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = {p: (i, s) for p, i, s in table.pieces}
-        for batch in batches:
-            yield pa.array([long_path(unit.as_py(), known, table) for unit in batch], pa.list_(pa.int32()))
+# ---- documents ------------------------------------------------------------------
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return distinct.select("unit", F.arrow_udf(run, "array<int>")(F.col("unit")).alias("path"))
 
+def common_paths(texts: DataFrame, table: PieceTable, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(unit, path) of at most ``COMMON`` units, the commonest among those that recur."""
+    counted = texts.mapInArrow(_recurring(block_chars), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    common = counted.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit")
+    common = common.repartition(texts.sparkSession.sparkContext.defaultParallelism, "unit")
+    return _with_bytes(best_paths(edges(common, table)), table)
+
+
+class _Lexicon(dict):
+    """Unit to its number; the path of number n is ``flat[starts[n] : starts[n + 1]]``."""
+
+    def __init__(self, common: pa.Table, table: PieceTable, known: dict[str, tuple[int, float]]):
+        super().__init__()
+        self.table, self.known = table, known
+        self.flat, self.starts = array("i"), array("q", [0])
+        for unit, path in zip(common["unit"].to_pylist(), common["path"].to_pylist(), strict=True):
+            self.add(unit, path)
+
+    def add(self, unit: str, path: list[int]) -> int:
+        self[unit] = n = len(self)
+        self.flat.extend(path)
+        self.starts.append(len(self.flat))
+        return n
+
+    def __missing__(self, unit: str) -> int:
+        return self.add(unit, long_path(unit, self.known, self.table))
 
-# ---- documents ------------------------------------------------------------------
 
+def _assemble(doc_ids: list, counts: list[int], sequence: np.ndarray, lexicon: _Lexicon) -> pa.RecordBatch:
+    """Documents as the paths of their units, given by number."""
+    flat, starts = np.array(lexicon.flat, dtype=np.int32), np.array(lexicon.starts)
+    count = starts[sequence + 1] - starts[sequence]
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(total[-1]) + np.repeat(starts[sequence] - total[:-1], count)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    ids = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(flat[at]))
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], names=["doc_id", "ids"])
 
-def _assemble(paths: pa.Table, blocks: pa.Table) -> pa.Table:
-    """The documents of a block from the paths of its units."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if not blocks.num_rows:
-        return schema.empty_table()
-    row = blocks.select(["doc_ids", "counts", "sequence"]).to_pylist()[0]
-    paths = paths.combine_chunks()
-    n = paths.num_rows
-    order = np.empty(n, dtype=np.int64)
-    order[paths["number"].to_numpy()] = np.arange(n)
-    lists = paths["path"].chunk(0) if n else pa.array([], pa.list_(pa.int32()))
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, first = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)[:-1]]) if n else np.zeros(0, dtype=np.int64)
-    sequence = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["sequence"]), dtype=np.uint32)
-    ends = np.concatenate([[0], np.cumsum(row["counts"])])
-    out = []
-    # some documents at a time: all pieces of a block are several times its text
-    step = 256
-    for low in range(0, len(row["doc_ids"]), step):
-        high = min(low + step, len(row["doc_ids"]))
-        unit = order[sequence[ends[low] : ends[high]]]
-        count = sizes[unit]
-        total = np.concatenate([[0], np.cumsum(count)])
-        at = np.arange(total[-1]) - np.repeat(total[:-1], count) + np.repeat(first[unit], count)
-        offsets = total[ends[low : high + 1] - ends[low]].astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at].astype(np.int32)))
-        out.append(pa.table([pa.array(row["doc_ids"][low:high], pa.int64()), ids], schema=schema))
-    return pa.concat_tables(out)
+
+def _encode(common: pa.Table, table: PieceTable, block_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {p: (i, s) for p, i, s in table.pieces}
+        lexicon = _Lexicon(common, table, known)
+        doc_ids, counts, parts, chars = [], [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                found = units(text)
+                doc_ids.append(doc_id.as_py())
+                counts.append(len(found))
+                parts.append(np.fromiter(map(lexicon.__getitem__, found), dtype=np.int64, count=len(found)))
+                chars += len(text or "")
+                if chars >= block_chars:
+                    yield _assemble(doc_ids, counts, np.concatenate(parts), lexicon)
+                    doc_ids, counts, parts, chars = [], [], [], 0
+                    if len(lexicon) > REMEMBERED:
+                        lexicon = _Lexicon(common, table, known)
+        if doc_ids:
+            yield _assemble(doc_ids, counts, np.concatenate(parts), lexicon)
+
+    return run
 
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id and ids."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = base.mapInArrow(_pack(block_chars), BLOCKS).withColumn("block", F.monotonically_increasing_id())
-    blocks = stage_table(packed, "blocks")
-    # so many parts that the lattice of each fits in memory
-    parts = (blocks.agg(F.sum(F.size("units")).alias("n")).first()["n"] or 0) // UNITS_AT_ONCE + 1
-    numbered = blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("number", "unit"))
-    numbered = numbered.repartition(parts, "unit")
-    # both sides of the join read the same columns, so the units are shuffled once
-    distinct = numbered.groupBy("unit").agg(F.min("of").alias("x"), F.min("number").alias("y"))
-    distinct = distinct.where("x >= 0 and y >= 0").select("unit")
-    lexicon = _with_bytes(best_paths(edges(distinct.where(F.length("unit") <= LONG), table)), table)
-    if blocks.where(F.exists("units", lambda u: F.length(u) > LONG)).limit(1).count():
-        lexicon = lexicon.union(_long_paths(distinct.where(F.length("unit") > LONG), table))
-    paths = numbered.join(lexicon, "unit").select("of", "number", "path")
-    rows = blocks.select("block", "doc_ids", "counts", "sequence")
-    return paths.groupBy("of").cogroup(rows.groupBy("block")).applyInArrow(_assemble, IDS)
+    # bounded by COMMON
+    common = common_paths(base.select("text"), table, block_chars).toArrow()
+    return base.mapInArrow(_encode(common, table, block_chars), IDS)
 
 
 def decode(df: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

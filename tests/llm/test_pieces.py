@@ -71,3 +71,20 @@ def test_long_units_are_not_cut(spark, table):
     short = " " + joined[:100]
     row = pieces._with_bytes(pieces.best_paths(pieces.edges(spark.createDataFrame([(short,)], "unit string"), table)), table).first()
     assert row["path"] == pieces.long_path(short, known, table)
+
+
+def test_common_units_come_from_the_lattice_and_nothing_is_shuffled(spark, table, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(pieces, "COMMON", 5)
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    texts = [words(rng, 300) + " the" * 9 + " 日本" * (8 + i) for i in range(4)]
+    known = {p: (i, s) for p, i, s in table.pieces}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    common = {r["unit"]: r["path"] for r in pieces.common_paths(df.select("text"), table, 1000).collect()}
+    assert len(common) == 5 and " the" in common and " 日本" in common
+    assert all(path == pieces.long_path(unit, known, table) for unit, path in common.items())
+    # neither blocks nor paths are shuffled or written
+    encoded = pieces.encode(df, table, block_chars=1000)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    assert got == {i: [x for u in pieces.units(t) for x in plain(u, table, known)] for i, t in enumerate(texts)}
