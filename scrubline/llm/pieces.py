@@ -5,7 +5,8 @@ ends. Units that recur are counted over all documents. For the ``COMMON`` common
 longest piece is a row, an equi-join with the piece table keeps the edges of the lattice, edges are grouped by
 unit, and a higher-order ``aggregate`` folds them into the best path (Viterbi: the largest sum of piece
 scores). These paths go to every task, where each document becomes the sequence of its units' paths; the
-other units, most of them seen in one place only, take the same fold there, once while a task remembers them.
+other units, most of them seen in one place only, take the same fold there, many units at a time and once while a
+task remembers them.
 So neither texts nor paths are shuffled, and the work grows with the text.
 
 A character that is no piece costs ``UNKNOWN`` less than the worst piece and becomes its UTF-8
@@ -26,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,11 @@ MAX_PIECES = 1_000_000
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 # units whose paths go to every task, and how often one block must hold them to be counted
 COMMON, OFTEN = 50_000, 8
+# characters of the documents, and of the units, that a task encodes at a time
+TEXT_AT_ONCE, UNITS_AT_ONCE = 1_000_000, 200_000
 # units that a task remembers
 REMEMBERED = 300_000
+FACTOR, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 IDS = "doc_id long, ids array<int>"
 
@@ -183,6 +188,10 @@ def _with_bytes(paths: DataFrame, table: PieceTable) -> DataFrame:
     return paths.select("unit", F.when(some, expanded).otherwise(F.col("path")).alias("path"))
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+
+
 def long_path(unit: str, known: dict[str, tuple[int, float]], table: PieceTable) -> list[int]:
     """The ids of the best path of one unit, in time and memory linear in its length."""
     longest, unknown = table.longest, table.unknown
@@ -213,6 +222,89 @@ def long_path(unit: str, known: dict[str, tuple[int, float]], table: PieceTable)
     return out[::-1].tolist()
 
 
+class Lattice:
+    """The same fold over many units at once: pieces found by hashes and compared, sums by the end of the last piece."""
+
+    def __init__(self, table: PieceTable):
+        self.table = table
+        # by size: the high bits of the hashes that occur, the hashes, and the pieces in their order
+        self.sizes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, table.longest + 1):
+            # of equal pieces the last, as in a dictionary
+            some = {p: (i, s) for p, i, s in table.pieces if len(p) == size}
+            chars = code_points("".join(some)).reshape(len(some), size)
+            h = np.zeros(len(some), dtype=np.uint64)
+            for k in range(size):
+                h = h * FACTOR + chars[:, k]
+            order = np.argsort(h)
+            if (np.diff(h[order]) == 0).any():
+                raise ValueError("two pieces of one hash")
+            ids = np.array([i for i, _ in some.values()], dtype=np.int32)
+            scores = np.array([x for _, x in some.values()], dtype=np.float64)
+            seen = np.zeros(1 << 16, dtype=bool)
+            seen[(h * FACTOR) >> HIGH] = True
+            self.sizes.append((seen, h[order], chars[order], ids[order], scores[order]))
+
+    def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By size of the piece that starts at each character: its id and its score, -inf without one; ``left`` is the rest of the unit."""
+        ids, scores, h = [], [], np.zeros(len(chars), dtype=np.uint64)
+        for size, (seen, known, pieces, piece_ids, piece_scores) in enumerate(self.sizes, 1):
+            # no unit is as long
+            if size > left.max():
+                break
+            last = size - 1
+            h[: len(chars) - last] = h[: len(chars) - last] * FACTOR + chars[last:]
+            at = np.flatnonzero(seen[(h * FACTOR) >> HIGH] & (left >= size))
+            found, score = np.full(len(chars), -1, dtype=np.int32), np.full(len(chars), -np.inf)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+                hit = known[place] == h[at]
+                at, place = at[hit], place[hit]
+                same = (chars[at[:, None] + np.arange(size)] == pieces[place]).all(axis=1)
+                found[at[same]], score[at[same]] = piece_ids[place[same]], piece_scores[place[same]]
+            if size == 1:
+                score[found < 0] = self.table.unknown
+            ids.append(found)
+            scores.append(score)
+        return ids, scores
+
+    def paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all units one after the other, how many each unit has); ``units`` are not empty and longest first."""
+        n = np.array([len(u) for u in units])
+        chars = code_points("".join(units))
+        first = np.cumsum(n) - n
+        ids, scores = self.edges(chars, np.repeat(first + n, n) - np.arange(len(chars)))
+        # one place more than characters in a unit; by place the best sum, the size and the id of the last piece
+        zero = first + np.arange(len(n))
+        best, last, piece = np.zeros(len(chars) + len(n)), np.zeros(len(chars) + len(n), dtype=np.int64), np.full(len(chars) + len(n), -1, dtype=np.int32)
+        for stop in range(1, n[0] + 1):
+            some = int(np.searchsorted(-n, -stop, side="right"))
+            top, chosen, which = np.full(some, -np.inf), np.zeros(some, dtype=np.int64), np.full(some, -1, dtype=np.int32)
+            # on equal sums the later start
+            for size in range(min(stop, len(ids)), 0, -1):
+                total = best[zero[:some] + (stop - size)] + scores[size - 1][first[:some] + (stop - size)]
+                more = np.flatnonzero((total >= top) & (total > -np.inf))
+                top[more], chosen[more], which[more] = total[more], size, ids[size - 1][first[more] + (stop - size)]
+            at = zero[:some] + stop
+            best[at], last[at], piece[at] = top, chosen, which
+        ends, at = np.zeros(len(best), dtype=bool), zero + n
+        while len(at):
+            ends[at] = True
+            at = at - last[at]
+            at = at[last[at] > 0]
+        unit = np.repeat(np.arange(len(n)), n + 1)
+        at = np.flatnonzero(ends)
+        # a character that is no piece is its bytes
+        unknown = np.flatnonzero(piece[at] < 0)
+        texts = [chr(int(chars[x])).encode() for x in at[unknown] - unit[at[unknown]] - 1]
+        width = np.ones(len(at), dtype=np.int64)
+        width[unknown] = [len(x) for x in texts]
+        out, place = np.repeat(piece[at], width), np.cumsum(width) - width
+        for x, text in zip(place[unknown], texts, strict=True):
+            out[x : x + len(text)] = [self.table.byte_ids[b] for b in text]
+        return out, np.bincount(unit[at], width, len(n)).astype(np.int64)
+
+
 # ---- documents ------------------------------------------------------------------
 
 
@@ -227,13 +319,26 @@ def common_paths(texts: DataFrame, table: PieceTable, block_chars: int = BLOCK_C
 class _Lexicon(dict):
     """Unit to its number; the path of number n is ``flat[starts[n] : starts[n + 1]]``."""
 
-    def __init__(self, common: pa.Table, table: PieceTable, known: dict[str, tuple[int, float]]):
+    def __init__(self, common: pa.Table, lattice: Lattice):
         super().__init__()
-        self.table, self.known = table, known
+        self.lattice, self.known = lattice, {p: (i, s) for p, i, s in lattice.table.pieces}
         self.flat, self.starts = array("i"), array("q", [0])
         for unit, path in zip(common["unit"].to_pylist(), common["path"].to_pylist(), strict=True):
             self.add(unit, path)
 
+    def learn(self, found: set[str]) -> None:
+        """The paths of those units that are new and not long."""
+        new = sorted((u for u in found if u not in self and len(u) <= LONG), key=len, reverse=True)
+        total = np.cumsum([len(u) for u in new])
+        low = 0
+        while low < len(new):
+            high = int(np.searchsorted(total, (total[low - 1] if low else 0) + UNITS_AT_ONCE)) + 1
+            ids, counts = self.lattice.paths(new[low:high])
+            self.update(zip(new[low:high], range(len(self), len(self) + len(counts)), strict=True))
+            self.starts.frombytes((len(self.flat) + np.cumsum(counts)).tobytes())
+            self.flat.frombytes(ids.tobytes())
+            low = high
+
     def add(self, unit: str, path: list[int]) -> int:
         self[unit] = n = len(self)
         self.flat.extend(path)
@@ -241,7 +346,7 @@ class _Lexicon(dict):
         return n
 
     def __missing__(self, unit: str) -> int:
-        return self.add(unit, long_path(unit, self.known, self.table))
+        return self.add(unit, long_path(unit, self.known, self.lattice.table))
 
 
 def _assemble(doc_ids: list, counts: list[int], sequence: np.ndarray, lexicon: _Lexicon) -> pa.RecordBatch:
@@ -255,26 +360,31 @@ def _assemble(doc_ids: list, counts: list[int], sequence: np.ndarray, lexicon: _
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], names=["doc_id", "ids"])
 
 
-def _encode(common: pa.Table, table: PieceTable, block_chars: int):
+def _encode(common: pa.Table, table: PieceTable, chars_at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {p: (i, s) for p, i, s in table.pieces}
-        lexicon = _Lexicon(common, table, known)
-        doc_ids, counts, parts, chars = [], [], [], 0
+        lattice = Lattice(table)
+        lexicon = _Lexicon(common, lattice)
+        doc_ids, found, chars = [], [], 0
+
+        def encoded() -> pa.RecordBatch:
+            lexicon.learn(set().union(*found))
+            counts = [len(x) for x in found]
+            sequence = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=sum(counts))
+            return _assemble(doc_ids, counts, sequence, lexicon)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                found = units(text)
                 doc_ids.append(doc_id.as_py())
-                counts.append(len(found))
-                parts.append(np.fromiter(map(lexicon.__getitem__, found), dtype=np.int64, count=len(found)))
+                found.append(units(text))
                 chars += len(text or "")
-                if chars >= block_chars:
-                    yield _assemble(doc_ids, counts, np.concatenate(parts), lexicon)
-                    doc_ids, counts, parts, chars = [], [], [], 0
+                if chars >= chars_at_once:
+                    yield encoded()
+                    doc_ids, found, chars = [], [], 0
                     if len(lexicon) > REMEMBERED:
-                        lexicon = _Lexicon(common, table, known)
+                        lexicon = _Lexicon(common, lattice)
         if doc_ids:
-            yield _assemble(doc_ids, counts, np.concatenate(parts), lexicon)
+            yield encoded()
 
     return run
 
@@ -285,7 +395,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # bounded by COMMON
     common = common_paths(base.select("text"), table, block_chars).toArrow()
-    return base.mapInArrow(_encode(common, table, block_chars), IDS)
+    return base.mapInArrow(_encode(common, table, min(block_chars, TEXT_AT_ONCE)), IDS)
 
 
 def decode(df: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -299,7 +409,8 @@ def decode(df: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str
                 if not row.is_valid:
                     out.append(None)
                     continue
-                data = b"".join([raw[i] for i in row.values.to_numpy().tolist() if 0 <= i < len(raw)])
+                ids = row.values.drop_null().to_numpy()
+                data = b"".join(map(raw.__getitem__, ids[(ids >= 0) & (ids < len(raw))].tolist()))
                 text = data.decode("utf-8", errors="replace")
                 out.append(text[1:] if text[:1] == " " else text)
             yield pa.array(out, pa.string())

@@ -88,3 +88,14 @@ def test_common_units_come_from_the_lattice_and_nothing_is_shuffled(spark, table
     assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
     got = {r["doc_id"]: r["ids"] for r in encoded.collect()}
     assert got == {i: [x for u in pieces.units(t) for x in plain(u, table, known)] for i, t in enumerate(texts)}
+
+
+def test_the_fold_over_many_units_is_the_plain_one(spark, table):
+    rng = random.Random(6)
+    known = {p: (i, s) for p, i, s in table.pieces}
+    found = {u for n in (20, 300) for u in pieces.units(words(rng, n))} | {"é😀x", " 日本", "\n", "   ", "zz😀😀", " " * 40 + "a", "ab" * 60}
+    for some in (found, ["a"], [" 日"], ["\n", "\n"]):
+        some = sorted(some, key=len, reverse=True)
+        ids, counts = pieces.Lattice(table).paths(some)
+        assert len(counts) == len(some)
+        assert ids.tolist() == [x for u in some for x in plain(u, table, known)]
