@@ -44,6 +44,8 @@ MIN_ANSWER = 0.5
 ITEMS_AT_ONCE = 5_000
 # words and texts handled at a time
 CHUNK = 25_000
+# in the products, so that the rows of the words stay in a core's cache
+PRODUCT_CHUNK = 8_000
 DOCS_AT_ONCE = 256
 MATCH = "doc_id long, item_id long, cosine double, share double, answer double, start int, stop int"
 NOT_WORD = "[^\\p{L}\\p{N}]+"
@@ -51,10 +53,9 @@ NOT_WORD = "[^\\p{L}\\p{N}]+"
 
 def word_ids(text: Column) -> Column:
     """32-bit hashes of the words (runs of letters and digits, lower case)."""
-    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    found = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
     # the low 32 bits, as a signed number
-    ids = F.transform(F.split(plain, " "), lambda w: F.shiftright(F.shiftleft(F.xxhash64(w), 32), 32).cast("int"))
-    return F.when(plain == "", F.array().cast("array<int>")).otherwise(ids)
+    return F.transform(found, lambda w: F.shiftright(F.shiftleft(F.xxhash64(w), 32), 32).cast("int"))
 
 
 def item_words(text: str) -> tuple[np.ndarray, int]:
@@ -86,14 +87,14 @@ def _pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pieces, doc, np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], words: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(flat word hashes, first place of each text and the end) of some texts at a time"""
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS_AT_ONCE):
             flat, starts = _rows(batch.column(0).slice(at, DOCS_AT_ONCE))
             low = 0
             while low < len(starts) - 1:
-                high = max(low + 1, int(np.searchsorted(starts, starts[low] + CHUNK, side="right")) - 1)
+                high = max(low + 1, int(np.searchsorted(starts, starts[low] + words, side="right")) - 1)
                 part = starts[low : high + 1]
                 yield flat[part[0] : part[-1]], part - part[0]
                 low = high
@@ -143,12 +144,24 @@ def _project(batch: pa.RecordBatch, idf: np.ndarray, thin: np.ndarray) -> tuple[
     return f, row, x, y
 
 
-def _add_by_word(out: np.ndarray, f: np.ndarray, rows: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
-    """``out[f] += rows[at] * x`` with all repeats"""
+def _add_by_word(out: np.ndarray, f: np.ndarray, rows: np.ndarray, at: np.ndarray, x: np.ndarray | None = None) -> None:
+    """``out[f] += rows[at] * x`` with all repeats; ``x`` is 1 if left out"""
     if len(f):
-        order = np.argsort(f, kind="stable")
+        # small keys are sorted by radix
+        order = np.argsort(f.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(f[order], prepend=-1))
-        out[f[order][first]] += np.add.reduceat(rows[at[order]] * x[order, None], first, axis=0)
+        summands = rows[at[order]]
+        if x is not None:
+            summands = summands * x[order, None]
+        out[f[order][first]] += np.add.reduceat(summands, first, axis=0)
+
+
+def _piece_sums(padded: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each piece's words."""
+    out = padded[word[:, 0]]
+    for k in range(1, word.shape[1]):
+        out += padded[word[:, k]]
+    return out
 
 
 def _summed(df: DataFrame, multiply, width: int) -> DataFrame:
@@ -174,7 +187,7 @@ def gram_times(tokens: DataFrame, items: DataFrame | None, idf: np.ndarray, thin
     gain = np.append(idf, 0.0)
 
     def passages(batches: Iterator[pa.RecordBatch], out: np.ndarray) -> None:
-        for flat, starts in _chunks(batches):
+        for flat, starts in _chunks(batches, PRODUCT_CHUNK):
             pieces, doc, number = _pieces(np.diff(starts))
             if not len(doc):
                 continue
@@ -182,7 +195,7 @@ def gram_times(tokens: DataFrame, items: DataFrame | None, idf: np.ndarray, thin
             at = starts[doc] + number * BLOCK
             n = np.minimum(starts[doc + 1] - at, BLOCK)
             word = np.where(np.arange(BLOCK) < n[:, None], f[np.minimum(at[:, None] + np.arange(BLOCK), len(f) - 1)], FEATURES)
-            summed = np.take(padded, word.ravel(), axis=0).reshape(len(at), BLOCK, width).sum(axis=1)
+            summed = _piece_sums(padded, word)
             square = (gain[word] ** 2).sum(axis=1)
             # a passage is a piece and the next one; a text of one piece is one passage
             first = np.flatnonzero((number + 1 < pieces[doc]) | (pieces[doc] == 1))
@@ -194,7 +207,9 @@ def gram_times(tokens: DataFrame, items: DataFrame | None, idf: np.ndarray, thin
             back = np.zeros_like(summed)
             back[first] += y
             back[first[two] + 1] += y[two]
-            _add_by_word(out, f, back, np.repeat(np.arange(len(at)), n), idf[f].astype(np.float32))
+            _add_by_word(out, f, back, np.repeat(np.arange(len(at)), n))
+        # a word's weight is the same wherever it is
+        out *= idf[:, None]
 
     def own(batches: Iterator[pa.RecordBatch], out: np.ndarray) -> None:
         for batch in batches:
@@ -298,7 +313,7 @@ def _search(space: np.ndarray, idf: np.ndarray, centre: np.ndarray, items: list[
         n = np.minimum(starts[doc + 1] - at, BLOCK)
         place = at[:, None] + np.arange(BLOCK)
         word = np.where(np.arange(BLOCK) < n[:, None], features(flat)[np.minimum(place, len(flat) - 1)], FEATURES)
-        summed = np.take(padded, word.ravel(), axis=0).reshape(len(at), BLOCK, -1).sum(axis=1)
+        summed = _piece_sums(padded, word)
         summed -= n[:, None].astype(np.float32) * centre
         # a passage is a piece and the next one; a text of one piece is one passage
         first = np.flatnonzero((number + 1 < pieces[doc]) | (pieces[doc] == 1))

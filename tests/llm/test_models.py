@@ -280,3 +280,24 @@ def test_the_latent_space_holds_the_leading_vectors():
     got = latent.latent_space(lambda q: basis @ (scale[:, None] * (basis.T @ q)))
     assert got.shape == (latent.FEATURES, latent.RANK)
     assert np.allclose(np.abs(np.sum(got[:, :10] * basis[:, :10], axis=0)), 1, atol=1e-6)
+
+
+def test_sums_by_word_and_by_piece_are_the_plain_ones():
+    rng = np.random.default_rng(5)
+    f, at, rows = rng.integers(0, 40, 500), rng.integers(0, 30, 500), rng.normal(size=(30, 7)).astype(np.float32)
+    for x in (None, rng.random(500)):
+        out, want = np.ones((latent.FEATURES, 7)), np.ones((latent.FEATURES, 7))
+        latent._add_by_word(out, f, rows, at, x)
+        np.add.at(want, f, rows[at].astype(float) * (1 if x is None else x[:, None]))
+        assert np.allclose(out, want, atol=1e-4)
+    word = rng.integers(0, 30, (20, latent.BLOCK))
+    assert np.allclose(latent._piece_sums(rows, word), rows[word].sum(axis=1), atol=1e-4)
+
+
+def test_words_of_the_latent_space(spark):
+    texts = ["", None, " .. ", "a", "..Über, naïve-2nd\n日本 x! ", "a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["ids"] for r in df.select("i", latent.word_ids(df["t"]).alias("ids")).collect()}
+    for i, t in enumerate(texts):
+        want = latent.item_words(t)[0] if t and t.strip(" .") else np.zeros(0, dtype=np.uint32)
+        assert got[i] == want.view(np.int32).tolist()
