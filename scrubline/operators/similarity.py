@@ -32,8 +32,15 @@ DIRECT_TEXTS = 4096
 DIRECT_CHARS = 4_000_000
 # comparisons that are made there even if no crowd would end them early
 DIRECT_PAIRS = 20_000_000
-# such texts compared at once
-DIRECT_STEP = 256
+# texts of a crowd, and their characters, that one task settles; its work there, in about nanoseconds
+CROWD_TEXTS = 262_144
+CROWD_CHARS = 8_000_000
+CROWD_WORK = 10_000_000_000
+# texts that are sorted, and characters that are compared, together in a task; texts of a bunch; bytes of masks kept
+SORTED_TEXTS = 65_536
+SORTED_CHARS = 2_000_000
+BUNCH_TEXTS = 4096
+MASK_BYTES = 64_000_000
 # rows of a block that one task pairs up; tasks that the comparisons of one text are spread over
 BLOCK_ROWS = 4096
 PAIR_SALTS = 8
@@ -261,115 +268,336 @@ def _blocks(texts: DataFrame, threshold: int) -> DataFrame:
     return blocks.join(crowded, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
 
-# ---- against a few texts --------------------------------------------------------
+# ---- many texts against one at once ---------------------------------------------
 
 
-class Firsts:
-    """A few texts in the order of their ids, compared with one other text at once.
+def _points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+class Bunch:
+    """Texts alike enough to be compared with another one together.
+
+    The rows of the common subsequence's table are bit masks over these texts, in words, a column for each text. What
+    all of them begin and end with is not compared with a text that does so too.
+    """
+
+    def __init__(self, at: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bins: np.ndarray):
+        self.at, self.sizes, self.bins, self.most = at, sizes, bins, bins.max(axis=0)
+        self.short, self.long = int(sizes.min()), int(sizes.max())
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        self.head = self.alike(codes, starts, 1, self.short)
+        self.tail = self.alike(codes, ends - 1, -1, self.short - len(self.head))
+        self.kind = np.uint16 if self.long <= 16 else np.uint32 if self.long <= 32 else np.uint64
+        self.bits = np.iinfo(self.kind).bits
+        self.words = -(-self.long // self.bits)
+        column = np.repeat(np.arange(len(at), dtype=np.int32), sizes)
+        place = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.int32)
+        order = np.argsort(codes, kind="stable")
+        self.column, self.place = column[order], place[order]
+        known, first = np.unique(codes[order], return_index=True)
+        self.spans = dict(zip(known.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(codes)], strict=True), strict=True))
+        self.masks: dict[int, np.ndarray] = {}
+        self.limits: dict[int, np.ndarray] = {}
+        self.buffers = [np.empty((self.words, len(at)), self.kind) for _ in range(3)]
+
+    @staticmethod
+    def alike(codes: np.ndarray, at: np.ndarray, step: int, most: int) -> list[int]:
+        """The characters that follow in all texts from their places ``at``."""
+        out = []
+        while len(out) < most:
+            here = codes[at + step * len(out)]
+            if (here != here[0]).any():
+                break
+            out.append(int(here[0]))
+        return out
+
+    def mask(self, code: int) -> np.ndarray:
+        """Where the texts have a character."""
+        low, high = self.spans[code]
+        place = self.place[low:high]
+        out = np.zeros((self.words, len(self.at)), self.kind)
+        np.bitwise_or.at(out, (place // self.bits, self.column[low:high]), self.kind(1) << (place % self.bits).astype(self.kind))
+        return out
 
-    The rows of the common subsequence's table are bit masks over the other text, in words of 64 bits, one row for
-    each of the texts. Characters are counted in ``BINS`` classes first: what two texts share by class bounds their subsequence.
+    def low_bits(self, counts: np.ndarray) -> np.ndarray:
+        """Words with so many low bits set."""
+        inside = np.clip(counts - self.bits * np.arange(self.words)[:, None], 0, self.bits)
+        ones = ~self.kind(0) >> (self.bits - np.maximum(inside, 1)).astype(self.kind)
+        return np.where(inside > 0, ones, self.kind(0))
+
+    def common(self, codes: list[int], some: np.ndarray | None, masks_left: int) -> tuple[np.ndarray, int, int]:
+        """Lengths of the longest common subsequences of another text and all or some texts; the steps taken; bytes of masks added."""
+        most, head, tail, added = min(len(codes), self.short), 0, 0, 0
+        while head < min(most, len(self.head)) and codes[head] == self.head[head]:
+            head += 1
+        while tail < min(most - head, len(self.tail)) and codes[-1 - tail] == self.tail[tail]:
+            tail += 1
+        state, hit, rest = self.buffers if some is None else [np.empty((self.words, len(some)), self.kind) for _ in range(3)]
+        state[:] = ~self.low_bits(np.array([head]))
+        between = codes[head : len(codes) - tail]
+        for code in between:
+            if code not in self.spans:
+                continue
+            mask = self.masks.get(code)
+            if mask is None:
+                mask = self.mask(code)
+                if added + mask.nbytes <= masks_left:
+                    self.masks[code] = mask
+                    added += mask.nbytes
+            np.bitwise_and(state, mask if some is None else mask[:, some], out=hit)
+            np.bitwise_xor(state, hit, out=rest)
+            np.add(state, hit, out=hit)
+            if self.words > 1:
+                carry = hit < state
+                for w in range(1, self.words):
+                    more = carry[w - 1].astype(self.kind)
+                    hit[w] += more
+                    carry[w] |= (hit[w] == 0) & (more == 1)
+            np.bitwise_or(hit, rest, out=state)
+        np.bitwise_not(state, out=state)
+        if tail:
+            if tail not in self.limits:
+                self.limits[tail] = self.low_bits(self.sizes - tail)
+            np.bitwise_and(state, self.limits[tail] if some is None else self.limits[tail][:, some], out=state)
+        return np.bitwise_count(state).sum(axis=0, dtype=np.int64) + tail, len(between) * self.words, added
+
+
+class Crowd:
+    """Texts compared with one other at once, in bunches; those that are dropped take part no longer.
+
+    Characters are counted in ``BINS`` classes first: what a text shares by class with the most that a text of the bunch has
+    bounds the subsequence; long texts are bounded one by one. Bunches are cut from the sorted counts of texts of about a length,
+    where neighbours are too different to be similar.
     """
 
     BINS = 64
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[str], threshold: int):
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
+    def __init__(self, texts: Sequence[str], threshold: int):
+        self.texts = texts
         self.t = (threshold - 0.5) / 100
         self.threshold = threshold
-        self.codes = [self.points(texts[i]) for i in order]
-        self.sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.bins = np.array([self.binned(c) for c in self.codes], dtype=np.int64).reshape(len(order), self.BINS)
+        self.gone = np.zeros(len(texts), dtype=bool)
+        self.work = 0
+        self.file()
+
+    def file(self) -> None:
+        at = np.flatnonzero(~self.gone)
+        self.left = self.filed = len(at)
+        self.masks_left = MASK_BYTES
+        self.bunches = [x for low in range(0, len(at), SORTED_TEXTS) for x in self.bunched(at[low : low + SORTED_TEXTS])]
+        self.most = np.array([x.most for x in self.bunches], dtype=np.int64).reshape(-1, self.BINS)
+        self.short = np.array([x.short for x in self.bunches], dtype=np.int64)
+        self.long = np.array([x.long for x in self.bunches], dtype=np.int64)
+
+    def bunched(self, at: np.ndarray) -> Iterator[Bunch]:
+        texts = [self.texts[i] for i in at]
+        codes = _points("".join(texts))
+        sizes = np.array([len(s) for s in texts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        bins = np.bincount(np.repeat(np.arange(len(at)) * self.BINS, sizes) + codes % self.BINS, minlength=len(at) * self.BINS)
+        bins = bins.astype(np.int32).reshape(-1, self.BINS)
+        by_counts = np.argsort(np.minimum(bins, 255).astype(np.uint8).view(f"S{self.BINS}").ravel(), kind="stable")
+        # no column is more than twice as long as its text
+        long = np.ceil(np.log2(np.maximum(sizes, 1)))
+        order = by_counts[np.argsort(long[by_counts], kind="stable")]
+        order = order[sizes[order] > 0]
+        between = np.abs(np.diff(bins[order], axis=0)).sum(axis=1) / (sizes[order][1:] + sizes[order][:-1]) - (1 - self.t)
+        widest = np.argsort(-between, kind="stable")[: 8 * len(order) // BUNCH_TEXTS]
+        ends = np.union1d(widest[between[widest] > 0], np.flatnonzero(np.diff(long[order])))
+        for part in np.split(order, ends + 1):
+            for some in np.array_split(part, -(-len(part) // BUNCH_TEXTS)) if len(part) else []:
+                place = np.arange(sizes[some].sum()) + np.repeat(starts[some] - (np.cumsum(sizes[some]) - sizes[some]), sizes[some])
+                yield Bunch(at[some], codes[place], sizes[some], bins[some])
+
+    def drop(self, at: np.ndarray) -> None:
+        self.gone[at] = True
+        self.left -= len(at)
+
+    def similar(self, s: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the texts at or above the threshold, in the order of their places."""
+        if 2 * self.left <= self.filed:
+            self.file()
+        codes = _points(s)
+        own, n, codes = np.bincount(codes % self.BINS, minlength=self.BINS), len(codes), codes.tolist()
+        shared = np.minimum(self.most, own).sum(axis=1)
+        may = (shared >= self.t / 2 * (n + self.short) - 1e-9) & (self.long >= self.t / 2 * (n + self.long) - 1e-9)
+        places, scores = [], []
+        for k in np.flatnonzero(may).tolist():
+            bunch, some = self.bunches[k], None
+            at, sizes = bunch.at, bunch.sizes
+            if n * bunch.words > 4 * self.BINS:
+                # worth a look at each text: those that are gone or have other characters are left out
+                shared = np.minimum(bunch.bins, own).sum(axis=1)
+                some = np.flatnonzero((shared >= self.t / 2 * (n + sizes) - 1e-9) & ~self.gone[at])
+                if not len(some):
+                    continue
+                at, sizes = at[some], sizes[some]
+            lcs, steps, added = bunch.common(codes, some, self.masks_left)
+            self.masks_left -= added
+            self.work += 50_000 + steps * len(lcs)
+            near = np.flatnonzero(lcs >= self.t / 2 * (n + sizes) - 1e-9)
+            found = np.rint(200.0 * lcs[near] / (n + sizes[near])).astype(np.int64)
+            kept = (found >= self.threshold) & ~self.gone[at[near]]
+            places.append(at[near][kept])
+            scores.append(found[kept])
+        if not places:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        at, found = np.concatenate(places), np.concatenate(scores)
+        order = np.argsort(at)
+        return at[order], found[order]
 
-    @staticmethod
-    def points(s: str) -> np.ndarray:
-        return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-    def binned(self, codes: np.ndarray) -> np.ndarray:
-        return np.bincount(codes % self.BINS, minlength=self.BINS)
-
-    def common(self, some: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Lengths of the longest common subsequences of ``text`` and the texts at ``some``."""
-        words = -(-len(text) // 64)
-        known = np.unique(text)
-        masks = np.zeros((len(known) + 1, words), dtype=np.uint64)
-        at = np.arange(len(text))
-        np.bitwise_or.at(masks, (np.searchsorted(known, text), at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-        # texts by falling length: those that have ended are the last ones
-        order = np.argsort(-self.sizes[some], kind="stable")
-        sizes = self.sizes[some][order]
-        table = np.full((len(some), int(sizes[0])), len(known), dtype=np.int64)
-        for row, i in enumerate(some[order]):
-            place = np.minimum(np.searchsorted(known, self.codes[i]), len(known) - 1)
-            table[row, : self.sizes[i]] = np.where(known[place] == self.codes[i], place, len(known))
-        state = np.full((len(some), words), ~np.uint64(0), dtype=np.uint64)
-        for step in range(table.shape[1]):
-            n = int(np.searchsorted(-sizes, -step, side="left"))
-            rows = state[:n]
-            hit = rows & masks[table[:n, step]]
-            total = rows + hit
-            if words > 1:
-                carry = total < rows
-                for w in range(1, words):
-                    more = carry[:, w - 1].astype(np.uint64)
-                    total[:, w] += more
-                    carry[:, w] |= (total[:, w] == 0) & (more == 1)
-            state[:n] = total | (rows & ~hit)
-        if len(text) % 64:
-            state[:, -1] |= ~((np.uint64(1) << np.uint64(len(text) % 64)) - np.uint64(1))
-        out = np.empty(len(some), dtype=np.int64)
-        out[order] = np.bitwise_count(~state).sum(axis=1)
-        return out
+
+class Firsts:
+    """A few texts in the order of their ids, compared with one other text at once."""
+
+    def __init__(self, ids: Sequence[int], texts: Sequence[str], threshold: int):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
+        self.crowd = Crowd([texts[i] for i in order], threshold)
 
     def similar(self, id_: int, s: str, earliest: bool) -> list[tuple[int, int]]:
         """(id, similarity) of the texts with smaller ids at or above the threshold; only the first with ``earliest``."""
-        text = self.points(s)
-        end = int(np.searchsorted(self.ids, id_, side="left"))
-        if not end or not len(text):
-            return []
-        own, out = self.binned(text), []
-        for low in range(0, end, DIRECT_STEP):
-            part = slice(low, min(end, low + DIRECT_STEP))
-            total = self.sizes[part] + len(text)
-            shared = np.minimum(self.bins[part], own).sum(axis=1)
-            some = low + np.flatnonzero((self.sizes[part] > 0) & (shared >= self.t / 2 * total - 1e-9))
-            if not len(some):
-                continue
-            lcs = self.common(some, text)
-            for i, n in zip(some.tolist(), lcs.tolist(), strict=True):
-                found = int(round(200.0 * n / (int(self.sizes[i]) + len(text))))
-                if found >= self.threshold:
-                    out.append((int(self.ids[i]), found))
-                    if earliest:
-                        return out
-        return out
+        at, found = self.crowd.similar(s)
+        end = int(np.searchsorted(self.ids[at], id_, side="left"))
+        out = list(zip(self.ids[at[:end]].tolist(), found[:end].tolist(), strict=True))
+        return out[:1] if earliest else out
+
+
+def settle(
+    ids: Sequence[int], texts: Sequence[str], threshold: int, most: int = DIRECT_TEXTS, work: int = CROWD_WORK
+) -> tuple[np.ndarray, np.ndarray]:
+    """The leader and the similarity of each text after the greedy loop in the order of the ids.
+
+    A leader leads itself. The loop ends early at so many leaders or so much work: the texts that no leader has absorbed
+    by then have the similarity -1. Texts of one id share their fate.
+    """
+    order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
+    ids = np.asarray(ids, dtype=np.int64)[order]
+    repeated = bool((ids[1:] == ids[:-1]).any())
+    texts = [texts[i] for i in order]
+    crowd = Crowd(texts, threshold)
+    leader, similarity = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1, dtype=np.int32)
+    leaders = chars = 0
+    for i in range(len(ids)):
+        if crowd.gone[i]:
+            continue
+        own = np.arange(i, np.searchsorted(ids, ids[i], side="right"))
+        chars += sum(len(texts[k]) for k in own)
+        leaders += len(own)
+        if i and (leaders > most or chars > DIRECT_CHARS or crowd.work > work):
+            break
+        leader[own], similarity[own] = ids[i], 100
+        crowd.drop(own)
+        for k in own:
+            at, found = crowd.similar(texts[k])
+            if repeated and len(at):
+                fellows = np.flatnonzero(np.isin(ids, ids[at]) & ~crowd.gone)
+                at, found = fellows, found[np.searchsorted(ids[at], ids[fellows])]
+            leader[at], similarity[at] = ids[i], found
+            crowd.drop(at)
+    back = np.argsort(order, kind="stable")
+    return leader[back], similarity[back]
+
+
+def first_leaders(few: tuple[list[int], list[str]], texts: Sequence[str], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the first of the few texts, which are in order, at or above the threshold; the similarity is -1 if there is none."""
+    leader, similarity = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), -1, dtype=np.int32)
+    crowd = Crowd(texts, threshold)
+    for id_, s in zip(*few, strict=True):
+        if not crowd.left:
+            break
+        at, found = crowd.similar(s)
+        leader[at], similarity[at] = id_, found
+        crowd.drop(at)
+    return leader, similarity
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in larger batches."""
+    some, n, chars = [], 0, 0
+    for pdf in batches:
+        some.append(pdf)
+        n, chars = n + len(pdf), chars + int(pdf["s"].str.len().sum())
+        if n >= SORTED_TEXTS or chars >= SORTED_CHARS:
+            yield pd.concat(some, ignore_index=True)
+            some, n, chars = [], 0, 0
+    if n:
+        yield pd.concat(some, ignore_index=True)
+
+
+LED = "id long, s string, leader long, similarity int"
+
+
+def _led(pdf: pd.DataFrame, leader: np.ndarray, similarity: np.ndarray) -> pd.DataFrame:
+    # the text of an absorbed row is not needed again
+    kept = pdf["s"].where((similarity < 0) | (leader == pdf["id"].to_numpy()), None)
+    return pd.DataFrame({"id": pdf["id"], "s": kept, "leader": leader, "similarity": similarity})
+
+
+def _settled(texts: DataFrame, threshold: int) -> DataFrame:
+    """(id, s, leader, similarity) of a few texts, settled by one task as far as ``settle`` goes."""
+    limits = DIRECT_TEXTS, CROWD_WORK
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(batches)
+        if found:
+            pdf = pd.concat(found, ignore_index=True)
+            yield _led(pdf, *settle(pdf["id"].tolist(), pdf["s"].tolist(), threshold, *limits))
+
+    return texts.select("id", "s").repartition(1).mapInPandas(run, LED)
 
 
 def _few(firsts: DataFrame) -> tuple[list[int], list[str]] | None:
-    """The ids and texts, if they are few and short enough for every task."""
+    """The ids and texts in order, if they are few and short enough for every task."""
     head = firsts.select("id", "s").limit(DIRECT_TEXTS + 1)
-    facts = head.agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars")).first()
-    if facts["n"] > DIRECT_TEXTS or (facts["chars"] or 0) > DIRECT_CHARS:
+    n, chars = _extent(head)
+    if n > DIRECT_TEXTS or chars > DIRECT_CHARS:
         return None
-    rows = head.collect()
+    rows = sorted(head.collect())
     return [r["id"] for r in rows], [r["s"] for r in rows]
 
 
-def _against(few: tuple[list[int], list[str]], texts: DataFrame, threshold: int, earliest: bool) -> DataFrame:
-    """(a, b, similarity), a < b, of the few texts and ``texts``; of each text only the first one with ``earliest``."""
+def _extent(texts: DataFrame) -> tuple[int, int]:
+    """How many texts, and how many characters they have."""
+    return tuple(texts.agg(F.count("*"), F.coalesce(F.sum(F.length("s")), F.lit(0))).first())
+
+
+def _among(few: tuple[list[int], list[str]], texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, similarity), a < b, of the few texts and ``texts``, compared by many tasks."""
     sent = texts.sparkSession.sparkContext.broadcast(few)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         firsts = Firsts(*sent.value, threshold)
         for pdf in batches:
-            found = [(a, b, n) for b, s in zip(pdf["id"], pdf["s"], strict=True) for a, n in firsts.similar(b, s, earliest)]
+            found = [(a, b, n) for b, s in zip(pdf["id"], pdf["s"], strict=True) for a, n in firsts.similar(b, s, False)]
             yield pd.DataFrame(found, columns=["a", "b", "similarity"]).astype("int64")
 
     spread = texts.select("id", "s").repartition(_tasks(texts))
     return spread.mapInPandas(compare, "a long, b long, similarity long").withColumn("similarity", F.col("similarity").cast("int"))
 
 
+def _against(few: tuple[list[int], list[str]], texts: DataFrame, threshold: int) -> DataFrame:
+    """(id, s, leader, similarity) of ``texts`` and the first of the few texts, all of them earlier, that is similar."""
+    sent = texts.sparkSession.sparkContext.broadcast(few)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, strings = sent.value
+        firsts = None
+        for pdf in _gathered(batches):
+            if len(pdf) >= len(ids):
+                yield _led(pdf, *first_leaders((ids, strings), pdf["s"].tolist(), threshold))
+                continue
+            # the more numerous side is the one in bunches
+            firsts = firsts or Firsts(ids, strings, threshold)
+            found = [(firsts.similar(b, s, True) or [(0, -1)])[0] for b, s in zip(pdf["id"], pdf["s"], strict=True)]
+            leader, similarity = np.array(found, dtype=np.int64).T
+            yield _led(pdf, leader, similarity.astype(np.int32))
+
+    return texts.select("id", "s").mapInPandas(compare, LED)
+
+
 # ---- who stands -----------------------------------------------------------------
 
 
@@ -434,21 +662,19 @@ def fuzzy_duplicate_groups(
     fate = texts.join(absorbed, "id", "left").select(
         "s", "id", "n", F.coalesce("leader", "id").alias("leader_id"), F.coalesce("similarity", F.lit(100)).alias("similarity")
     )
-    involved = fate.where((F.col("n") > 1) | (F.col("id") != F.col("leader_id")))
-    members = ValueTable(involved.drop("id"), "s").attach(rows, "s")
-    return members.where("leader_id is not null and leader_id <> row").select(
-        "leader_id", F.col("row").alias("member_id"), F.col("similarity").cast("int")
-    )
+    # a text without copies is its row; only the others are looked for among the rows
+    alone = fate.where("n = 1 and leader_id <> id").select("leader_id", F.col("id").alias("member_id"), "similarity")
+    members = ValueTable(fate.where("n > 1").drop("id"), "s").attach(rows, "s").where("leader_id <> row")
+    return alone.unionByName(members.select("leader_id", F.col("row").alias("member_id"), F.col("similarity").cast("int")))
 
 
 def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
     """(id, leader, similarity) of every text that an earlier leader absorbs.
 
-    The undecided texts are taken in order, in batches. The similar pairs of a batch say which of its texts lead, and
-    the leaders are compared with everything later at once. Batches grow as long as most of their texts lead; so a crowd of
-    similar texts has lost nearly all its members before a large batch is compared with itself, and no text is compared
-    with one that was absorbed. A small batch, and the leaders of a crowd, go to the tasks of the other texts, where a
-    text stops at its first leader; in a crowd the blocks would pair most texts many times over.
+    The undecided texts are taken in order, in batches. A batch says which of its texts lead, and the leaders are compared
+    with everything later at once. Batches grow as long as most of their texts lead, and their similar pairs come from blocks.
+    Where few lead, the texts are crowded, and blocks would pair most of them many times over: one task runs the greedy loop
+    over a large batch, whose leaders go to the tasks of the other texts, where a text stops at its first leader.
     """
     filed = []
 
@@ -458,51 +684,84 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
             filed.append(_blocks(texts, threshold))
         return filed[0]
 
-    waiting = texts.where("id is not null").select("id").distinct()
-    size, taken = FIRST_BATCH, []
+    n_tasks = _tasks(texts)
+    waiting = stage_table(texts.where("id is not null").select("id", "s").repartition(n_tasks, "id"), "undecided")
+    # texts of one id share their fate
+    repeated = not waiting.groupBy("id").count().where("count > 1").isEmpty()
+    size, crowded, taken, facts = FIRST_BATCH, False, [], None
     # shares of the undecided texts at which a batch may end
-    shares = [GROWTH**-k for k in range(24)]
+    shares = [2.0**-k for k in range(48)]
     while True:
-        waiting = stage_table(waiting, "undecided")
-        facts = waiting.agg(F.count("*").alias("n"), F.percentile_approx("id", shares, 100_000).alias("at")).first()
+        ends = F.percentile_approx("id", shares, 100_000).alias("at")
+        facts = facts or waiting.agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), ends).first()
         if not facts["n"]:
             break
-        last = next((i for share, i in zip(shares, facts["at"], strict=True) if facts["n"] * share <= size), facts["at"][-1])
-        # a joined list of ids that is small is broadcast by its measured size
-        batch, rest = waiting.where(F.col("id") <= last), waiting.where(F.col("id") > last)
-        firsts = texts.join(batch, "id", "left_semi")
-        few = _few(firsts)
-        if few:
-            edges = _against(few, firsts, threshold, False)
+        wanted = max(1, min(size, CROWD_CHARS * facts["n"] // max(1, facts["chars"]))) if crowded else size
+        last = next((i for share, i in zip(shares, facts["at"], strict=True) if facts["n"] * share <= wanted), facts["at"][-1])
+        firsts, rest = waiting.where(F.col("id") <= last), waiting.where(F.col("id") > last)
+        n_batch, chars = _extent(firsts)
+        # the ends are estimates: twice the wanted number is still a batch for one task
+        most, longest = (2 * CROWD_TEXTS, 2 * CROWD_CHARS) if crowded else (DIRECT_TEXTS, DIRECT_CHARS)
+        direct, n_open = n_batch <= most and chars <= longest, 0
+        if crowded and not direct and wanted > FIRST_BATCH:
+            size = wanted // 2
+            continue
+        # if all of them lead
+        heavy = n_batch * chars / 2 * math.ceil(chars / n_batch / 64) > CROWD_WORK
+        if direct and (crowded or not heavy):
+            settled = stage_table(_settled(firsts, threshold), "settled")
+            leaders = settled.where("similarity >= 0 and leader = id").select("id", "s")
+            within = settled.where("similarity >= 0 and leader <> id").select("id", "leader", "similarity")
+            undecided = settled.where("similarity < 0").select("id", "s")
+            n_leaders, n_open = settled.agg(F.count_if(F.expr("similarity >= 0 and leader = id")), F.count_if(F.col("similarity") < 0)).first()
         else:
-            own = blocks().join(batch, "id")
-            edges = _verified(_candidates(own, own, threshold), firsts, firsts, threshold)
-        edges = stage_table(edges, "similar")
-        leaders = stage_table(batch.join(fallen(edges), "id", "left_anti"), "leaders")
-        n_leaders, n_batch = leaders.count(), batch.count()
+            if direct:
+                edges = _among(tuple(zip(*firsts.select("id", "s").collect(), strict=True)), firsts, threshold)
+            else:
+                own = blocks().join(firsts.select("id").distinct(), "id")
+                edges = _verified(_candidates(own, own, threshold), firsts, firsts, threshold)
+            edges = stage_table(edges, "similar")
+            leaders = stage_table(firsts.join(fallen(edges), "id", "left_anti"), "leaders")
+            within = edges.join(leaders.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+            within = within.select(F.col("b").alias("id"), F.col("a").alias("leader"), "similarity")
+            n_leaders = leaders.count()
+        n_rest = facts["n"] - n_batch + n_open
+        probe = direct and not crowded
+        crowded = 2 * n_leaders <= n_batch - n_open
         # where few lead, the texts are crowded: a larger batch would compare many of them that one leader absorbs
-        size = max(FIRST_BATCH, GROWTH * n_leaders)
-        within = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b", "similarity")
-        ahead = texts.join(leaders, "id", "left_semi")
-        n_rest = facts["n"] - n_batch
-        few = _few(ahead) if 2 * n_leaders <= n_batch or n_leaders * n_rest <= DIRECT_PAIRS else None
-        if not n_rest:
-            across = within
-        elif few:
-            across = _against(few, texts.join(rest, "id", "left_semi"), threshold, True)
-        else:
-            pairs = _candidates(blocks().join(leaders, "id"), blocks().join(rest, "id"), threshold)
-            across = _verified(pairs, ahead, texts, threshold)
-        by = F.min_by("similarity", "a").alias("similarity")
-        found = within.unionByName(across).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"), by)
-        taken.append(stage_table(found, "absorbed"))
+        size = CROWD_TEXTS if crowded else max(FIRST_BATCH, GROWTH * n_leaders)
+        if probe and crowded and n_rest:
+            # a small batch has told that: its few leaders are found again in a large one
+            continue
         if not n_rest:
+            taken.append(within)
             break
-        waiting = rest.join(taken[-1].select("id"), "id", "left_anti")
+        if n_open:
+            rest = rest.unionByName(undecided).repartition(n_tasks, "id")
+        few = _few(leaders) if crowded or n_leaders * n_rest <= DIRECT_PAIRS else None
+        if few:
+            compared = stage_table(_against(few, rest, threshold), "undecided")
+            across = compared.where("similarity >= 0").select("id", "leader", "similarity")
+            waiting = compared.where("similarity < 0").select("id", "s")
+            found = within.unionByName(across)
+        else:
+            pairs = _candidates(blocks().join(leaders.select("id").distinct(), "id"), blocks().join(rest.select("id").distinct(), "id"), threshold)
+            across = _verified(pairs, leaders, texts, threshold).select(F.col("b").alias("id"), F.col("a").alias("leader"), "similarity")
+            found = stage_table(_earliest(within.unionByName(across)), "absorbed")
+        taken.append(found)
+        facts = None
+        if repeated or not few:
+            waiting = stage_table((waiting if few else rest).join(found.select("id"), "id", "left_anti"), "undecided")
     out = texts.sparkSession.createDataFrame([], "id long, leader long, similarity int")
     for found in taken:
         out = out.unionByName(found)
-    return out
+    return _earliest(out)
+
+
+def _earliest(found: DataFrame) -> DataFrame:
+    """(id, leader, similarity) of the first leader of each text."""
+    by = F.min_by("similarity", "leader").alias("similarity")
+    return found.groupBy("id").agg(F.min("leader").alias("leader"), by)
 
 
 def similar_pairs(texts: DataFrame, threshold: int) -> DataFrame:

@@ -155,3 +155,76 @@ def test_a_crowd_is_settled_without_blocks(spark, monkeypatch):
         else:
             want[b] = (near, s.ratio(texts[near], x))
     assert got == want
+
+
+def greedy(rows, threshold):
+    """{id: (leader, similarity)} of the greedy loop over ids, each with one text or several."""
+    texts = {}
+    for i, x in sorted(rows):
+        texts.setdefault(i, []).append(x)
+    fate = {}
+    for a in texts:
+        if a not in fate:
+            fate[a] = (a, 100)
+            for b in texts:
+                near = [s.ratio(x, y) for x in texts[a] for y in texts[b] if s.ratio(x, y) >= threshold]
+                if near and b not in fate:
+                    fate[b] = (a, near[0])
+    return fate
+
+
+@pytest.mark.parametrize("letters,longest,ends", [("0123456789", 7, ("Customer#00", " BUILDING")), ("ab日😀", 40, ("", "")), ("abc ", 150, ("x" * 70, "")), ("abcdefgh", 300, ("", "yz"))])
+def test_settling_equals_the_greedy_loop(monkeypatch, letters, longest, ends):
+    """In bunches of any size, with masks kept or made anew, and as far as it goes if it ends early."""
+    rnd = random.Random(longest)
+    cut = [x for _, x in texts(longest, 120, longest, letters)]
+    rows = [f"{ends[0]}{x}{ends[1]}" if rnd.random() < 0.9 else x for x in dict.fromkeys(cut)]
+    rows = list(zip(rnd.sample(range(1000), len(set(rows))), dict.fromkeys(rows), strict=True))
+    want = greedy(rows, 90)
+    for bunch, masks, most in ((4, 0, 4096), (16, 1000, 5), (4096, 10**7, 4096)):
+        monkeypatch.setattr(s, "BUNCH_TEXTS", bunch)
+        monkeypatch.setattr(s, "MASK_BYTES", masks)
+        leader, similarity = s.settle(*zip(*rows, strict=True), 90, most)
+        first = sorted(a for a, (b, _) in want.items() if a == b)[:most]
+        got = {i: (a, n) for (i, _), a, n in zip(rows, leader.tolist(), similarity.tolist(), strict=True) if n >= 0}
+        assert got == {i: f for i, f in want.items() if f[0] in first}
+        few = first[:7], [dict(rows)[a] for a in first[:7]]
+        rest = [(i, x) for i, x in rows if i not in few[0]]
+        leader, similarity = s.first_leaders(few, [x for _, x in rest], 90)
+        for (_, x), a, n in zip(rest, leader.tolist(), similarity.tolist(), strict=True):
+            assert (a, n) == next(((b, s.ratio(x, y)) for b, y in zip(*few, strict=True) if s.ratio(x, y) >= 90), (0, -1))
+
+
+def crowd(n):
+    return [f"Customer#{i * 7919 % 1_000_003:09d} {('BUILDING', 'MACHINERY')[i % 3 % 2]}" for i in range(n)]
+
+
+def test_a_crowd_takes_few_rounds(spark, monkeypatch):
+    """Each leader of a crowd absorbs few texts of a small batch, so the tables written must not grow with the leaders."""
+    staged, stage = [], s.stage_table
+    monkeypatch.setattr(s, "stage_table", lambda df, label: staged.append(label) or stage(df, label))
+    rows = list(enumerate(crowd(6000)))
+    got = s.fuzzy_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id").collect()
+    leader, similarity = s.settle(*zip(*rows, strict=True), 90)
+    assert sorted(map(tuple, got)) == sorted((a, i, n) for i, (a, n) in enumerate(zip(leader.tolist(), similarity.tolist(), strict=True)) if a != i)
+    assert len(staged) <= 8, staged
+
+
+@pytest.mark.parametrize("first,few,crowd_texts,work", [(5, 5, 40, 10**10), (5, 5, 262_144, 10**10), (2, 1, 40, 10**10), (200, 200, 40, 0)])
+def test_batches_that_end_early_and_repeated_ids(spark, monkeypatch, first, few, crowd_texts, work):
+    """With leaders of a crowd in many rounds, through blocks, and pairs of a heavy batch, the answer must not change."""
+    monkeypatch.setattr(s, "FIRST_BATCH", first)
+    monkeypatch.setattr(s, "DIRECT_TEXTS", few)
+    monkeypatch.setattr(s, "CROWD_TEXTS", crowd_texts)
+    monkeypatch.setattr(s, "CROWD_WORK", work)
+    rnd = random.Random(2)
+    # an id may come with several texts, a text with several ids
+    rows = [(rnd.randrange(150) if rnd.random() < 0.2 else i, rnd.choice(crowd(100))) for i in range(150)] + [(None, x) for x in crowd(3)]
+    got = s.fuzzy_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", threshold=93).collect()
+    firsts = {}
+    for i, x in rows:
+        if i is not None:
+            firsts[x] = min(i, firsts.get(x, i))
+    fate = greedy([(i, x) for x, i in firsts.items()], 93)
+    want = Counter((fate[firsts[x]][0], i) for i, x in rows if i is not None and fate[firsts[x]][0] != i)
+    assert Counter((r["leader_id"], r["member_id"]) for r in got) == want
