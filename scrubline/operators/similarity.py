@@ -32,6 +32,11 @@ DIRECT_TEXTS = 4096
 DIRECT_CHARS = 4_000_000
 # comparisons that are made there even if no crowd would end them early
 DIRECT_PAIRS = 20_000_000
+# words of masks that the leaders step over; up to these, comparing them with all texts costs no more than filing the texts in blocks
+DIRECT_WORDS = 8192
+# leaders that absorb so many texts each, and at least 1/CROWD_SHARE of all later texts, stand in a crowd
+CROWD_EACH = 8
+CROWD_SHARE = 16
 # texts of a crowd, and their characters, that one task settles; its work there, in about nanoseconds
 CROWD_TEXTS = 262_144
 CROWD_CHARS = 8_000_000
@@ -673,8 +678,9 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
 
     The undecided texts are taken in order, in batches. A batch says which of its texts lead, and the leaders are compared
     with everything later at once. Batches grow as long as most of their texts lead, and their similar pairs come from blocks.
-    Where few lead, the texts are crowded, and blocks would pair most of them many times over: one task runs the greedy loop
-    over a large batch, whose leaders go to the tasks of the other texts, where a text stops at its first leader.
+    Where few lead, or they absorb many later texts each, the texts are crowded, and blocks would pair most of them many times
+    over: one task runs the greedy loop over a large batch, whose leaders go to the tasks of the other texts, where a text
+    stops at its first leader.
     """
     filed = []
 
@@ -688,7 +694,7 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
     waiting = stage_table(texts.where("id is not null").select("id", "s").repartition(n_tasks, "id"), "undecided")
     # texts of one id share their fate
     repeated = not waiting.groupBy("id").count().where("count > 1").isEmpty()
-    size, crowded, taken, facts = FIRST_BATCH, False, [], None
+    size, crowded, taken, facts, n_rest, n_leaders = FIRST_BATCH, False, [], None, 0, 0
     # shares of the undecided texts at which a batch may end
     shares = [2.0**-k for k in range(48)]
     while True:
@@ -696,6 +702,10 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
         facts = facts or waiting.agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), ends).first()
         if not facts["n"]:
             break
+        absorbed = n_rest - facts["n"]
+        if not crowded and absorbed >= max(1, CROWD_EACH * n_leaders, n_rest / CROWD_SHARE):
+            # texts of a crowd in any order: those of a small batch need not be similar to each other
+            crowded, size = True, CROWD_TEXTS
         wanted = max(1, min(size, CROWD_CHARS * facts["n"] // max(1, facts["chars"]))) if crowded else size
         last = next((i for share, i in zip(shares, facts["at"], strict=True) if facts["n"] * share <= wanted), facts["at"][-1])
         firsts, rest = waiting.where(F.col("id") <= last), waiting.where(F.col("id") > last)
@@ -738,7 +748,9 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
             break
         if n_open:
             rest = rest.unionByName(undecided).repartition(n_tasks, "id")
-        few = _few(leaders) if crowded or n_leaders * n_rest <= DIRECT_PAIRS else None
+        words = n_leaders * math.ceil(facts["chars"] / facts["n"] / 64)
+        # blocks that are filed already cost nothing more
+        few = _few(leaders) if crowded or n_leaders * n_rest <= DIRECT_PAIRS or (not filed and words <= DIRECT_WORDS) else None
         if few:
             compared = stage_table(_against(few, rest, threshold), "undecided")
             across = compared.where("similarity >= 0").select("id", "leader", "similarity")

@@ -228,3 +228,15 @@ def test_batches_that_end_early_and_repeated_ids(spark, monkeypatch, first, few,
     fate = greedy([(i, x) for x, i in firsts.items()], 93)
     want = Counter((fate[firsts[x]][0], i) for i, x in rows if i is not None and fate[firsts[x]][0] != i)
     assert Counter((r["leader_id"], r["member_id"]) for r in got) == want
+
+
+def test_a_crowd_in_any_order_is_settled_without_blocks(spark, monkeypatch):
+    """The first texts are all unlike each other and lead; that they absorb many later ones tells of the crowd."""
+    monkeypatch.setattr(s, "_blocks", lambda *_: pytest.fail("blocks of a crowd"))
+    monkeypatch.setattr(s, "FIRST_BATCH", 16)
+    monkeypatch.setattr(s, "DIRECT_PAIRS", 0)
+    rnd = random.Random(3)
+    heads = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(10)]
+    rows = list(enumerate([*heads, *(f"{heads[i % 10]}{'qrstuvwxyz'[i // 10 % 10]}{'qrstuvwxyz'[i // 100]}" for i in range(500))]))
+    got = s.fuzzy_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id").collect()
+    assert sorted(map(tuple, got)) == brute_groups(rows, 90)
