@@ -37,10 +37,11 @@ DIRECT_WORDS = 8192
 # leaders that absorb so many texts each, and at least 1/CROWD_SHARE of all later texts, stand in a crowd
 CROWD_EACH = 8
 CROWD_SHARE = 16
-# texts of a crowd, and their characters, that one task settles; its work there, in about nanoseconds
+# texts of a crowd, and their characters, that one task settles; its work there, in about nanoseconds, at most and for a text
 CROWD_TEXTS = 262_144
 CROWD_CHARS = 8_000_000
 CROWD_WORK = 10_000_000_000
+CROWD_WORK_EACH = 50_000
 # texts that are sorted, and characters that are compared, together in a task; texts of a bunch; bytes of masks kept
 SORTED_TEXTS = 65_536
 SORTED_CHARS = 2_000_000
@@ -541,9 +542,9 @@ def _led(pdf: pd.DataFrame, leader: np.ndarray, similarity: np.ndarray) -> pd.Da
     return pd.DataFrame({"id": pdf["id"], "s": kept, "leader": leader, "similarity": similarity})
 
 
-def _settled(texts: DataFrame, threshold: int) -> DataFrame:
+def _settled(texts: DataFrame, threshold: int, work: int) -> DataFrame:
     """(id, s, leader, similarity) of a few texts, settled by one task as far as ``settle`` goes."""
-    limits = DIRECT_TEXTS, CROWD_WORK
+    limits = DIRECT_TEXTS, work
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = list(batches)
@@ -719,7 +720,9 @@ def _absorb(texts: DataFrame, threshold: int) -> DataFrame:
         # if all of them lead
         heavy = n_batch * chars / 2 * math.ceil(chars / n_batch / 64) > CROWD_WORK
         if direct and (crowded or not heavy):
-            settled = stage_table(_settled(firsts, threshold), "settled")
+            # the loop of a crowd is short; where it is not, the other tasks shall not wait for it
+            work = min(CROWD_WORK, CROWD_WORK_EACH * max(n_batch, 8 * FIRST_BATCH)) if crowded else CROWD_WORK
+            settled = stage_table(_settled(firsts, threshold, work), "settled")
             leaders = settled.where("similarity >= 0 and leader = id").select("id", "s")
             within = settled.where("similarity >= 0 and leader <> id").select("id", "leader", "similarity")
             undecided = settled.where("similarity < 0").select("id", "s")
